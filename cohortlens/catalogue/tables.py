@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import schema
 from cohortlens.functions import clean
+from cohortlens.functions.project import with_exprs
 from cohortlens.operators import monitoring, quality, rates, serving
 from cohortlens.operators import standardize as std
 from cohortlens.plans.kpi_job import kpi_catalogue, write_kpis
@@ -215,7 +216,7 @@ def heatmap_lineitem(spark, sf_dir):
 def bands_events(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_type", "value")
     bands = ([(5, "0-5"), (20, "5-20"), (100, "20-100")], "100+")
-    banded = events.withColumn("value_band", clean.band(F.col("value"), bands))
+    banded = with_exprs(events, {"value_band": clean.band("value", bands)})
     checked = std.validate_ranges(banded, {"value": (1, 200)})
     return checked.groupBy("event_type", "value_band").agg(
         F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("value_in_range")).alias("out_of_range")

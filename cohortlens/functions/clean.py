@@ -1,12 +1,12 @@
-"""Column expressions for raw survey values."""
+"""SQL expressions for raw survey values.
+
+They are text so that a step of many columns reaches Spark as one projection.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from cohortlens import schema
 
 
@@ -16,54 +16,47 @@ def snake_case(name: str) -> str:
     return "_".join(words).lower()
 
 
-def coded(column: Column, codes: dict[str, int], allow_numeric: bool = False) -> Column:
+def quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def coded(column: str, codes: dict[str, int], allow_numeric: bool = False) -> str:
     """Text code to INT, any case; unknown text is NULL or, on request, read as a number."""
-    text = F.upper(column.cast("string"))
-    values = sorted(set(codes.values()), reverse=True)
-    out = None
-    for value in values:
-        hit = text.isin([code for code, v in codes.items() if v == value])
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    if allow_numeric:
-        return F.coalesce(out, column.cast("string").try_cast("int"))
-    return out
-
-
-def number(column: Column, kind: str = "double") -> Column:
+    whens = " ".join(
+        f"WHEN upper(`{column}`) IN ({quoted(k for k, v in codes.items() if v == value)}) THEN {value}"
+        for value in sorted(set(codes.values()), reverse=True)
+    )
+    other = f" ELSE try_cast(`{column}` AS INT)" if allow_numeric else ""
+    return f"CASE {whens}{other} END"
+
+
+def number(column: str, kind: str = "double") -> str:
     """Text to number; anything unreadable is NULL."""
-    return column.try_cast(kind)
+    return f"try_cast(`{column}` AS {kind})"
 
 
-def pressure_parts(column: Column, patterns: tuple = schema.PRESSURE) -> tuple[Column, ...]:
+def pressure_parts(column: str, patterns: tuple = schema.PRESSURE) -> tuple[str, str, str]:
     """(systolic, diastolic, ok) from one (pattern, group) pair each."""
     systolic, diastolic = (
-        F.nullif(F.regexp_extract(column, pattern, group), F.lit("")).try_cast("bigint")
+        f"try_cast(nullif(regexp_extract(`{column}`, r'{pattern}', {group}), '') AS BIGINT)"
         for pattern, group in patterns
     )
-    ok = (systolic.isNotNull() & diastolic.isNotNull()).cast("int")
-    return systolic, diastolic, F.coalesce(ok, F.lit(0))
+    return systolic, diastolic, f"int({systolic} IS NOT NULL AND {diastolic} IS NOT NULL)"
 
 
-def band(column: Column, bands: tuple, null_band: str = "null") -> Column:
+def band(column: str, bands: tuple, null_band: str = "null") -> str:
     """Label by exclusive upper cuts. A NULL input gives NULL or the last band."""
-    cuts, last = bands
     if null_band not in ("null", "last"):
         raise ValueError("null_band must be 'null' or 'last'")
-    upper, label = cuts[0]
-    out = F.when(column < upper, label)
-    for upper, label in cuts[1:]:
-        out = out.when(column < upper, label)
+    cuts, last = bands
+    whens = " ".join(f"WHEN `{column}` < {upper} THEN '{label}'" for upper, label in cuts)
     if null_band == "last":
-        return out.otherwise(last)
-    return out.when(column.isNotNull(), last)
+        return f"CASE {whens} ELSE '{last}' END"
+    return f"CASE {whens} WHEN `{column}` IS NOT NULL THEN '{last}' END"
 
 
-def total(columns: list[Column], nulls: str = "zero") -> Column:
+def total(terms: list[str], nulls: str = "zero") -> str:
     """Row-wise sum; a NULL counts as zero or makes the sum NULL."""
     if nulls not in ("zero", "null"):
         raise ValueError("nulls must be 'zero' or 'null'")
-    terms = [F.coalesce(c, F.lit(0)) if nulls == "zero" else c for c in columns]
-    out = terms[0]
-    for term in terms[1:]:
-        out = out + term
-    return out
+    return " + ".join(f"coalesce({t}, 0)" if nulls == "zero" else t for t in terms)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cohortlens import schema
 
 
-def _share(test: Column) -> Column:
-    return F.avg(F.when(test, 1.0).otherwise(0.0))
+def _null_share(column: str) -> Column:
+    return F.expr(f"avg(CASE WHEN `{column}` IS NULL THEN 1D ELSE 0D END)")
 
 
 def long_form(row: DataFrame, columns: list[str], name: str, value: str, keys=()) -> DataFrame:
@@ -34,7 +34,7 @@ def quality_report(df: DataFrame, label: str = schema.LABEL) -> DataFrame:
 def missing_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, missing_rate), all columns counted in a single pass."""
     columns = columns or df.columns
-    row = df.agg(*[_share(F.col(f"`{c}`").isNull()).alias(c) for c in columns])
+    row = df.agg(*[_null_share(c).alias(c) for c in columns])
     return long_form(row, columns, "column_name", "missing_rate")
 
 
@@ -78,7 +78,7 @@ def full_report(df: DataFrame, label: str = schema.LABEL) -> DataFrame:
         F.lit(df.columns).alias("columns"),
         F.struct(rate.alias("positive_rate")).alias("class_balance"),
         F.create_map(
-            *[part for c in df.columns for part in (F.lit(c), _share(F.col(f"`{c}`").isNull()))]
+            *[part for c in df.columns for part in (F.lit(c), _null_share(c))]
         ).alias("missing_rate_by_column"),
         F.avg("bp_parse_ok").alias("bp_parse_ok_rate"),
         F.avg("validity_ratio").alias("avg_validity_ratio"),

@@ -93,7 +93,7 @@ def kpi_cells(
 
 
 def kpi_table(cells: DataFrame, name: str) -> DataFrame:
-    """One KPI in its published shape from the long-form cells."""
+    """One KPI in its published shape and order from the long-form cells, as one partition."""
     if name not in schema.KPI_DIMENSIONS:
         raise KeyError(f"unknown KPI {name!r}; known: {sorted(schema.KPI_DIMENSIONS)}")
     dims = schema.KPI_DIMENSIONS[name]
@@ -109,7 +109,7 @@ def kpi_table(cells: DataFrame, name: str) -> DataFrame:
         )
     else:
         own = own.select(*dims, "n", "positives", "rate")
-    return own.orderBy(*dims)
+    return own.coalesce(1).sortWithinPartitions(*dims)
 
 
 def kpi_snapshot(
@@ -127,7 +127,8 @@ def kpi_snapshot(
         F.min("n").alias("min_n"),
         F.max("n").alias("max_n"),
     )
-    names = cells.sparkSession.createDataFrame([(k,) for k in kpis], "kpi string")
+    rows = ", ".join(f"('{k}')" for k in kpis)
+    names = cells.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS listed(kpi)")
     zero = F.lit(0).cast("bigint")
     filled = names.join(found, "kpi", "left").select(
         "kpi",

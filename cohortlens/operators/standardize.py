@@ -6,12 +6,12 @@ chain collapses into one code-generated stage over the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cohortlens import schema
 from cohortlens.functions import clean
+from cohortlens.functions.project import with_exprs
 
 
 def rename_columns(df: DataFrame) -> DataFrame:
@@ -28,14 +28,10 @@ def repair_aliases(df: DataFrame) -> DataFrame:
     if "discomfort_eyestrain" in df.columns and "discomfort_eye_strain" not in df.columns:
         df = df.withColumnRenamed("discomfort_eyestrain", "discomfort_eye_strain")
     if "blood_pressure" in df.columns:
-        df = df.withColumn("blood_pressure_raw", F.col("blood_pressure"))
+        df = with_exprs(df, {"blood_pressure_raw": "blood_pressure"})
     return df
 
 
-def _replace(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
-    return df.withColumns(changed) if changed else df
-
-
 def map_codes(
     df: DataFrame,
     binary: list[str] = schema.BINARY_COLUMNS,
@@ -43,67 +39,63 @@ def map_codes(
     codes: dict[str, int] = schema.BINARY_CODES,
     allow_numeric: bool = False,
 ) -> DataFrame:
-    changed = {
-        c: clean.coded(F.col(c), codes, allow_numeric)
-        for c in binary
-        if c in df.columns
-    }
-    if gender in df.columns:
-        changed[gender] = clean.coded(F.col(gender), schema.GENDER_CODES, allow_numeric)
-    return _replace(df, changed)
+    have = set(df.columns)
+    changed = {c: clean.coded(c, codes, allow_numeric) for c in binary if c in have}
+    if gender in have:
+        changed[gender] = clean.coded(gender, schema.GENDER_CODES, allow_numeric)
+    return with_exprs(df, changed)
 
 
 def cast_numbers(df: DataFrame, columns: list[str] | None = None, kind: str = "double") -> DataFrame:
     """Read text columns among the rule columns as numbers."""
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     wanted = schema.RANGE_RULES if columns is None else columns
-    return _replace(df, {c: clean.number(F.col(c), kind) for c in wanted if c in text})
+    return with_exprs(df, {c: clean.number(c, kind) for c in wanted if c in text})
 
 
 def parse_pressure(
     df: DataFrame, column: str = "blood_pressure", patterns: tuple = schema.PRESSURE
 ) -> DataFrame:
     if column in df.columns:
-        systolic, diastolic, ok = clean.pressure_parts(F.col(column), patterns)
+        systolic, diastolic, ok = clean.pressure_parts(column, patterns)
     else:
-        systolic = diastolic = F.lit(None).cast("bigint")
-        ok = F.lit(0)
-    return df.withColumns({"systolic": systolic, "diastolic": diastolic, "bp_parse_ok": ok})
+        systolic = diastolic = "CAST(NULL AS BIGINT)"
+        ok = "0"
+    return with_exprs(df, {"systolic": systolic, "diastolic": diastolic, "bp_parse_ok": ok})
 
 
 def validate_ranges(df: DataFrame, rules: dict[str, tuple] = schema.RANGE_RULES) -> DataFrame:
     """Flag, blank and rate: ``<c>_in_range``, NULL outside, ``validity_ratio``."""
-    present = {c: rules[c] for c in rules if c in df.columns}
-    inside = {c: F.col(c).between(low, high) for c, (low, high) in present.items()}
-    changed = {f"{c}_in_range": F.when(test, 1).otherwise(0) for c, test in inside.items()}
-    changed.update({c: F.when(test, F.col(c)) for c, test in inside.items()})
-    if inside:
-        hits = clean.total([F.when(test, 1).otherwise(0) for test in inside.values()])
-        changed["validity_ratio"] = hits / F.lit(float(len(inside)))
-    else:
-        changed["validity_ratio"] = F.lit(1.0)
-    return _replace(df, changed)
+    have = set(df.columns)
+    inside = {
+        c: f"`{c}` BETWEEN {low} AND {high}" for c, (low, high) in rules.items() if c in have
+    }
+    flags = {f"{c}_in_range": f"CASE WHEN {test} THEN 1 ELSE 0 END" for c, test in inside.items()}
+    changed = dict(flags)
+    changed.update({c: f"CASE WHEN {test} THEN `{c}` END" for c, test in inside.items()})
+    hits = " + ".join(flags.values())
+    changed["validity_ratio"] = f"({hits}) / {len(inside)}D" if inside else "1.0D"
+    return with_exprs(df, changed)
 
 
 def derive(df: DataFrame, null_band: str = "null", null_symptom: str = "zero") -> DataFrame:
     """bmi, the three bands and the symptom score, each when its inputs exist."""
     have = set(df.columns)
-    changed: dict[str, Column] = {}
+    changed: dict[str, str] = {}
     if {"weight", "height"} <= have:
-        metres = F.col("height") / F.lit(100.0)
-        changed["bmi"] = F.try_divide(F.col("weight").cast("double"), metres * metres)
+        changed["bmi"] = "try_divide(double(weight), (height / 100D) * (height / 100D))"
     for source, name, bands in (
         ("age", "age_band", schema.AGE_BANDS),
         ("average_screen_time", "screen_time_band", schema.SCREEN_BANDS),
         ("sleep_duration", "sleep_duration_band", schema.SLEEP_BANDS),
     ):
         if source in have:
-            changed[name] = clean.band(F.col(source), bands, null_band)
-    symptoms = [F.col(c) for c in schema.SYMPTOMS if c in have]
+            changed[name] = clean.band(source, bands, null_band)
+    symptoms = [c for c in schema.SYMPTOMS if c in have]
     changed["symptom_score"] = (
-        clean.total(symptoms, null_symptom) if symptoms else F.lit(None).cast("int")
+        clean.total(symptoms, null_symptom) if symptoms else "CAST(NULL AS INT)"
     )
-    return _replace(df, changed)
+    return with_exprs(df, changed)
 
 
 def standardize(

@@ -21,7 +21,7 @@ def write_kpis(df: DataFrame, out: str, csv: bool = False) -> DataFrame:
     """
     cells = materialize(rates.kpi_cells(df))
     for name, stored in schema.KPI_TABLES.items():
-        own = rates.kpi_table(cells, name).coalesce(1)
+        own = rates.kpi_table(cells, name)
         files.write_parquet(own, f"{out}/{stored}")
         if csv:
             files.write_csv(own, f"{out}/{stored}_csv")
