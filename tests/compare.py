@@ -15,7 +15,7 @@ sys.path.insert(0, ROOT)
 
 KINDS = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-    "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE",
+    "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE",
 }
 
 
