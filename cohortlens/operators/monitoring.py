@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import schema
+from cohortlens.operators.ranking import discrete_quantiles
 from cohortlens.operators.rates import with_rate
 
 
@@ -52,3 +53,59 @@ def missing_indicators(df: DataFrame, key: str = "row_id") -> DataFrame:
         flag("sleep_quality").alias("miss_sleep_quality"),
         flag(*schema.SYMPTOMS).alias("miss_symptom_group"),
     )
+
+
+def quality_alerts(
+    rates: DataFrame, limits: dict[str, float], default: float = 0.2
+) -> DataFrame:
+    """Columns whose missing rate exceeds their limit, with the limit."""
+    listed = F.create_map(*[x for c, v in limits.items() for x in (F.lit(c), F.lit(float(v)))])
+    limit = F.coalesce(F.try_element_at(listed, F.col("column_name")), F.lit(default))
+    return rates.withColumn("max_rate", limit).filter(F.col("missing_rate") > F.col("max_rate"))
+
+
+def by_month(df: DataFrame, time: str, value: str, keys: list[str], high: float) -> DataFrame:
+    """Rows, missing share, mean and share above a bound per month and key."""
+    month = F.date_trunc("month", F.col(time).cast("timestamp")).cast("timestamp_ntz")
+    return df.groupBy(month.alias("month"), *keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.when(F.col(value).isNull(), 1.0).otherwise(0.0)).alias("missing_rate"),
+        F.avg(value).alias("mean_value"),
+        F.avg(F.when(F.col(value) > high, 1.0).otherwise(0.0)).alias("high_rate"),
+    )
+
+
+def psi(
+    df: DataFrame, snapshot: str, bucket: str, keys: list[str], floor: float = 1e-6
+) -> DataFrame:
+    """Population stability index between the rows with snapshot 'base' and 'current'."""
+    counts = df.groupBy(*keys, bucket).agg(
+        F.count(F.when(F.col(snapshot) == "base", 1)).alias("base"),
+        F.count(F.when(F.col(snapshot) == "current", 1)).alias("current"),
+    )
+    totals = counts.groupBy(*keys).agg(F.sum("base").alias("all_base"), F.sum("current").alias("all_current"))
+    joined = counts.join(totals, keys)
+
+    def share(part: str):
+        return F.greatest(F.coalesce(F.try_divide(part, f"all_{part}"), F.lit(0.0)), F.lit(floor))
+
+    term = (share("current") - share("base")) * F.ln(share("current") / share("base"))
+    return joined.groupBy(*keys).agg(F.sum(term).alias("psi"))
+
+
+def drift(
+    df: DataFrame, snapshot: str, columns: list[str], bins: int = 10
+) -> DataFrame:
+    """PSI per numeric column, binned at the deciles of the base snapshot; NULL is its own bin."""
+    base = df.filter(F.col(snapshot) == "base")
+    shares = [i / bins for i in range(1, bins)]
+    cuts = {r["feature"]: r["cuts"] for r in discrete_quantiles(base, columns, shares).collect()}
+    listed = F.create_map(
+        *[x for c in columns for x in (F.lit(c), F.array(*[F.lit(v) for v in cuts.get(c, [])]).cast("array<double>"))]
+    )
+    doubles = df.select(snapshot, *[F.col(c).cast("double").alias(c) for c in columns])
+    long = doubles.unpivot([snapshot], columns, "feature", "value")
+    edges = F.element_at(listed, F.col("feature"))
+    place = F.size(F.filter(edges, lambda e: e < F.col("value")))
+    binned = long.withColumn("bin", F.when(F.col("value").isNull(), -1).otherwise(place))
+    return psi(binned, snapshot, "bin", ["feature"])
