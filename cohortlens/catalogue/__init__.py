@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["tables", "scoring"]
+MODULES = ["tables", "scoring", "analysis", "models"]
 
 
 def queries() -> dict:

@@ -30,7 +30,7 @@ BASE = {
     "screen_sleep_interaction": (("average_screen_time", "sleep_duration"), "average_screen_time * sleep_duration"),
     "stress_sleep_quality": (("stress_level", "sleep_quality"), "stress_level * sleep_quality"),
     "bmi_age": (("bmi", "age"), "bmi * age"),
-    "screen_to_sleep_ratio": (("average_screen_time", "sleep_duration"), "average_screen_time / (sleep_duration + 1)"),
+    "screen_to_sleep_ratio": (("average_screen_time", "sleep_duration"), "try_divide(average_screen_time, sleep_duration + 1)"),
     "steps_per_hour": (("daily_steps",), "daily_steps / 24D"),
     "screen_time_squared": (("average_screen_time",), "average_screen_time * average_screen_time"),
     "sleep_quality_squared": (("sleep_quality",), "sleep_quality * sleep_quality"),
@@ -46,7 +46,7 @@ MEDICAL = {
     "obesity_flag": (("bmi",), _flag("bmi >= 30")),
     "overweight_flag": (("bmi",), _flag("bmi >= 25 AND bmi < 30")),
     "recovery_score": (("sleep_duration", "sleep_quality"), "sleep_duration * sleep_quality"),
-    "sleep_efficiency": (("sleep_duration", "sleep_quality"), "sleep_quality / (sleep_duration + 1)"),
+    "sleep_efficiency": (("sleep_duration", "sleep_quality"), "try_divide(sleep_quality, sleep_duration + 1)"),
     "sleep_disruption": (("wake_up_during_night", "feel_sleepy_during_day"), "wake_up_during_night + feel_sleepy_during_day"),
     "substance_risk": (("caffeine_consumption", "alcohol_consumption", "smoking"), "caffeine_consumption + alcohol_consumption * 1.5D + smoking * 2"),
     "activity_composite": (("physical_activity", "daily_steps"), "physical_activity * log1p(daily_steps)"),

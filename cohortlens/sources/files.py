@@ -37,18 +37,25 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file of a dataset, and one over the sorted list of them.
+def fingerprint(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """SHA-256 of a dataset: of the bytes of a single file, else a hash tree over the files.
 
-    Each file is hashed in the task that reads it; only the digests are brought together.
+    Each file is hashed in the task that reads it. The sorted digests are hashed per prefix
+    (4,096 groups) and these once more, so no task holds the list of all files.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    hashed = found.select(F.col("path"), F.sha2("content", 256).alias("sha256"))
-    return hashed.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.when(F.count(F.lit(1)) == 1, F.max("sha256"))
-        .otherwise(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("sha256"))), 256))
-        .alias("sha256"),
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    digests = found.select(F.sha2("content", 256).alias("sha256"))
+
+    def joined(column: str):
+        return F.sha2(F.concat_ws("", F.sort_array(F.collect_list(column))), 256)
+
+    count = F.count(F.lit(1))
+    groups = digests.groupBy(F.substring("sha256", 1, 3).alias("prefix")).agg(
+        count.alias("files"), F.max("sha256").alias("one"), joined("sha256").alias("many")
+    )
+    files = F.sum("files")
+    return groups.agg(
+        files.alias("files"), F.when(files == 1, F.max("one")).otherwise(joined("many")).alias("sha256")
     )
 
 

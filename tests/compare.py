@@ -46,6 +46,8 @@ def difference(df, con, sql: str) -> str | None:
     if set(types) != set(theirs):
         return f"columns {sorted(set(types) ^ set(theirs))}"
     ours, other = _rows(df.columns, df.collect()), _rows(rel.columns, rel.fetchall())
+    if not ours:
+        return "no rows"
     wrong = {c: (types[c], theirs[c]) for c in types if types[c] != theirs[c]}
     if len(ours) != len(other):
         return f"rows {len(ours)} against {len(other)}; types {wrong}"
