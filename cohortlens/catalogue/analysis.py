@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from cohortlens import schema
 from cohortlens.functions.features import add_features, feature_names
 from cohortlens.functions.project import with_exprs
-from cohortlens.operators import comparison, encoding, metrics, monitoring, profiling, quality
-from cohortlens.operators import scoring, splitting
+from cohortlens.operators import comparison, encoding, metrics, monitoring, neighbours, profiling
+from cohortlens.operators import quality, resampling, scoring, splitting
 from cohortlens.plans.assess_job import FEATURE_TO_REQUEST
 from cohortlens.plans.survey import raw_survey, survey, table
 from cohortlens.sources import files, registry
@@ -136,6 +136,30 @@ def scale_robust(spark, sf_dir):
     return rounded(encoding.scale_robust(data, NUMERIC))
 
 
+def knn_impute(spark, sf_dir):
+    columns = [*NUMERIC, "smoking", "smart_device_before_bed", "redness_in_eye"]
+    data = survey(spark, sf_dir).select("row_id", *columns)
+    return rounded(neighbours.knn_impute(data, "row_id", columns))
+
+
+def _training_rows(spark, sf_dir):
+    columns = ["age", "bmi", "sleep_duration", "average_screen_time", "stress_level", "daily_steps"]
+    data = survey(spark, sf_dir).select("row_id", LABEL, *columns)
+    split = splitting.stratified_split(data, "row_id", LABEL)
+    train = split.filter(F.col("split") == "train").drop("split")
+    return encoding.median_impute(train, columns), columns
+
+
+def smote(spark, sf_dir):
+    rows, columns = _training_rows(spark, sf_dir)
+    return rounded(resampling.smote(rows, "row_id", columns, strategy=resampling.STRATEGIES["aggressive"]))
+
+
+def tomek_links(spark, sf_dir):
+    rows, columns = _training_rows(spark, sf_dir)
+    return resampling.tomek_links(rows, "row_id", columns)
+
+
 def anova_topk(spark, sf_dir):
     columns = [*schema.STAGE_B_FEATURES, "symptom_score"]
     return rounded(encoding.anova_topk(survey(spark, sf_dir), columns), 4)
@@ -303,6 +327,9 @@ QUERIES = {
     "model_matrix": model_matrix,
     "median_impute": median_impute,
     "mode_impute": mode_impute,
+    "knn_impute": knn_impute,
+    "smote": smote,
+    "tomek_links": tomek_links,
     "scale_standard": scale_standard,
     "scale_robust": scale_robust,
     "anova_topk": anova_topk,

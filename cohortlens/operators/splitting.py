@@ -42,7 +42,7 @@ def _cut_hashes(df: DataFrame, label: str, shares: dict[str, float]) -> DataFram
     bounds, share = [], 0.0
     for name, part in shares.items():
         share += part
-        quota = F.floor(F.lit(round(share, 6)) * F.col("total") + 0.5)
+        quota = F.floor(F.lit(round(share, 12)) * F.col("total") + 0.5)
         bounds.append(F.struct(F.lit(name).alias("name"), quota.alias("rank")))
     wanted = totals.select("*", F.explode(F.array(*bounds)).alias("cut")).filter(
         (F.col("cut.rank") > F.col("before")) & (F.col("cut.rank") <= F.col("before") + F.col("n"))
@@ -73,7 +73,10 @@ def stratified_split(
     ``key`` must be unique. Rows without a label are left out. The rows themselves are
     never shuffled; the cuts (one row per class) come back by broadcast.
     """
-    rows = hashed(df.filter(F.col(label).isNotNull()), key, seed)
+    labelled = df.filter(F.col(label).isNotNull())
+    if not shares:
+        return labelled.withColumn("split", F.lit(rest))
+    rows = hashed(labelled, key, seed)
     cuts = _cut_hashes(rows.select(label, "row_hash"), label, shares)
     joined = rows.join(F.broadcast(cuts), rows[label] == cuts["class"], "left")
     split = None
