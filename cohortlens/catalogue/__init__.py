@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from cohortlens.session import tuned
+
 MODULES = ["tables", "scoring", "analysis", "models"]
 
 
+def _in_tuned_session(query):
+    return lambda spark, sf_dir: query(tuned(spark), sf_dir)
+
+
 def queries() -> dict:
     found: dict = {}
     for name in MODULES:
         found.update(import_module(f"cohortlens.catalogue.{name}").QUERIES)
-    return found
+    return {name: _in_tuned_session(query) for name, query in found.items()}

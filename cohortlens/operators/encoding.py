@@ -11,6 +11,7 @@ from cohortlens.functions import clean
 from cohortlens.functions.project import with_exprs
 from cohortlens.operators import ranking
 from cohortlens.operators.lookup import attach
+from cohortlens.session import materialize
 
 # --- fixed values: text taken as binary in a model matrix ------------------
 MATRIX_CODES = {"Y": 1, "N": 0, "YES": 1, "NO": 0, "TRUE": 1, "FALSE": 0}
@@ -58,9 +59,15 @@ def fill(df: DataFrame, values: dict[str, float]) -> DataFrame:
     )
 
 
-def median_impute(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """NULL to the exact median of ``fit_on`` (default: the rows themselves), 0 without values."""
-    return fill(df, ranking.medians(df if fit_on is None else fit_on, columns))
+def median_impute(
+    df: DataFrame, columns: list[str], fit_on: DataFrame | None = None, exact: bool = True
+) -> DataFrame:
+    """NULL to the median of ``fit_on`` (default: the rows themselves), 0 without values.
+
+    With ``exact=False`` medians come from one pass with Spark's approximate percentile.
+    """
+    find = ranking.medians if exact else ranking.approximate_medians
+    return fill(df, find(df if fit_on is None else fit_on, columns))
 
 
 def mode_impute(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -99,24 +106,25 @@ def _scaled(df: DataFrame, fitted: dict[str, tuple]) -> DataFrame:
     )
 
 
-def target_table(df: DataFrame, category: str, label: str, smoothing: float = 10.0) -> DataFrame:
-    """category, n and the label mean drawn towards the overall mean."""
-    overall = df.agg(F.avg(label)).scalar()
-    grouped = df.filter(F.col(category).isNotNull() & F.col(label).isNotNull()).groupBy(category)
-    counted = grouped.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("hits"))
-    value = (F.col("hits") + F.lit(smoothing) * overall) / (F.col("n") + F.lit(smoothing))
-    return counted.select(category, "n", value.alias("encoded"))
+def target_counts(df: DataFrame, category: str, label: str) -> DataFrame:
+    """category, n and hits over the labelled rows, NULL being a category; one scan, written once."""
+    labelled = df.filter(F.col(label).isNotNull()).groupBy(category)
+    return materialize(labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("hits")))
 
 
 def target_encode(
     df: DataFrame, category: str, label: str, smoothing: float = 10.0, fit_on: DataFrame | None = None,
     **limits: int,
 ) -> DataFrame:
-    """Add ``<category>_encoded``; categories not seen in the fit get the overall mean."""
-    source = df if fit_on is None else fit_on
-    table = target_table(source, category, label, smoothing)
+    """Add ``<category>_encoded``: the label mean of the category drawn towards the overall mean.
+
+    Categories not seen in the fit, and NULL, get the overall mean.
+    """
+    counts = target_counts(df if fit_on is None else fit_on, category, label)
+    overall = counts.agg(F.try_divide(F.sum("hits"), F.sum("n"))).scalar()
+    value = (F.col("hits") + F.lit(smoothing) * overall) / (F.col("n") + F.lit(smoothing))
+    table = counts.filter(F.col(category).isNotNull()).select(category, "n", value.alias("encoded"))
     joined = attach(df, table, category, weight="n", **limits)
-    overall = source.agg(F.avg(label)).scalar()
     return joined.withColumn(f"{category}_encoded", F.coalesce("encoded", overall)).drop("n", "encoded")
 
 

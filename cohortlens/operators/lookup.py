@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.session import materialize
+
 BROADCAST_ROWS = 100_000
 SALTS = 32
 
@@ -27,8 +29,10 @@ def attach(
     A table within ``broadcast_rows`` is broadcast. A larger one is shuffled; keys whose
     ``weight`` (their row count in ``df``) exceeds 1/(4 * salts) of all rows, at most
     4 * salts of them, are spread over several tasks: their table rows are repeated once
-    per salt and the data rows take a salt from the hash of the row.
+    per salt and the data rows take a salt from the hash of the row. The table is written
+    once first, so that neither the check nor the join works it out again.
     """
+    table = materialize(table)
     if fits(table, broadcast_rows):
         return df.join(F.broadcast(table), key, "left")
     if weight is None:

@@ -128,14 +128,20 @@ def threshold_curve(
         *[c.alias(n) for n, c in _counts(label).items()]
     )
     listed = F.array(*[F.lit(t) for t in thresholds])
-    every = counted.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("n").alias("all_n"))
-    points = every.select(*keys, "p", "all_n", F.posexplode(listed).alias("at", "threshold"))
-    points = points.withColumn("bucket", F.col("at") + 1)
-    joined = points.join(counted, [*keys, "bucket"], "left")
+    # At most one entry per bucket.
+    entry = F.collect_list(F.struct("bucket", F.struct("pos", "n").alias("c")))
+    every = counted.groupBy(*keys).agg(
+        F.sum("pos").alias("p"), F.sum("n").alias("all_n"), F.map_from_entries(entry).alias("cells")
+    )
+    points = every.select(*keys, "p", "all_n", "cells", F.posexplode(listed).alias("at", "threshold"))
+    here = F.try_element_at("cells", F.col("at") + 1)
+    joined = points.select(
+        *keys, "threshold", "p", "all_n", F.col("at").alias("bucket"),
+        F.coalesce(here["pos"], F.lit(0)).alias("pos"), F.coalesce(here["n"], F.lit(0)).alias("n"),
+    )
     from_top = Window.partitionBy(*keys).orderBy(F.desc("bucket"))
     from_top = from_top.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tp = F.sum(F.coalesce("pos", F.lit(0))).over(from_top)
-    predicted = F.sum(F.coalesce("n", F.lit(0))).over(from_top)
+    tp, predicted = F.sum("pos").over(from_top), F.sum("n").over(from_top)
     summed = joined.select(*keys, "threshold", "p", "all_n", tp.alias("hit_p"), predicted.alias("hit"))
     p, q = F.col("p"), F.col("all_n") - F.col("p")
     cells = confusion(F.col("hit_p"), F.col("hit") - F.col("hit_p"), p, q)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import schema
-from cohortlens.operators.ranking import discrete_quantiles
+from cohortlens.operators.ranking import quantile_bin, running_totals
 from cohortlens.operators.rates import with_rate
 
 
@@ -83,6 +83,11 @@ def psi(
         F.count(F.when(F.col(snapshot) == "base", 1)).alias("base"),
         F.count(F.when(F.col(snapshot) == "current", 1)).alias("current"),
     )
+    return psi_of_counts(counts, keys, floor)
+
+
+def psi_of_counts(counts: DataFrame, keys: list[str], floor: float = 1e-6) -> DataFrame:
+    """From one row per key and bucket with its ``base`` and ``current`` counts."""
     totals = counts.groupBy(*keys).agg(F.sum("base").alias("all_base"), F.sum("current").alias("all_current"))
     joined = counts.join(totals, keys)
 
@@ -93,19 +98,19 @@ def psi(
     return joined.groupBy(*keys).agg(F.sum(term).alias("psi"))
 
 
-def drift(
-    df: DataFrame, snapshot: str, columns: list[str], bins: int = 10
-) -> DataFrame:
-    """PSI per numeric column, binned at the deciles of the base snapshot; NULL is its own bin."""
-    base = df.filter(F.col(snapshot) == "base")
-    shares = [i / bins for i in range(1, bins)]
-    cuts = {r["feature"]: r["cuts"] for r in discrete_quantiles(base, columns, shares).collect()}
-    listed = F.create_map(
-        *[x for c in columns for x in (F.lit(c), F.array(*[F.lit(v) for v in cuts.get(c, [])]).cast("array<double>"))]
-    )
+def drift(df: DataFrame, snapshot: str, columns: list[str], bins: int = 10) -> DataFrame:
+    """PSI per numeric column, binned at the deciles of the base snapshot; NULL is its own bin.
+
+    One scan: bins follow from the number of base rows below each distinct value.
+    """
     doubles = df.select(snapshot, *[F.col(c).cast("double").alias(c) for c in columns])
-    long = doubles.unpivot([snapshot], columns, "feature", "value")
-    edges = F.element_at(listed, F.col("feature"))
-    place = F.size(F.filter(edges, lambda e: e < F.col("value")))
-    binned = long.withColumn("bin", F.when(F.col("value").isNull(), -1).otherwise(place))
-    return psi(binned, snapshot, "bin", ["feature"])
+    long = doubles.unpivot([snapshot], columns, "feature", "value").select(
+        snapshot, "feature", F.col("value").isNull().alias("absent"), F.coalesce("value", F.lit(0.0)).alias("value")
+    )
+    sums = {side: F.count(F.when(F.col(snapshot) == side, 1)) for side in ("base", "current")}
+    totals = running_totals(long, "value", sums, keys=("feature", "absent"))
+    place = F.when(F.col("absent"), -1).otherwise(quantile_bin("base", bins))
+    counts = totals.groupBy("feature", place.alias("bin")).agg(
+        *[F.sum(side).alias(side) for side in sums]
+    )
+    return psi_of_counts(counts, ["feature"])

@@ -50,7 +50,7 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         total += np.where(known, gap * gap, 0.0)
         seen += known
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(seen > 0, np.sqrt(total * x.shape[1] / seen), np.inf)
+        return np.where(seen > 0, np.sqrt(total * (x.shape[1] / seen)), np.inf)
 
 
 def _compare(columns: list[str], k: int, per_column: bool):

@@ -154,29 +154,27 @@ def categorical_top(df: DataFrame, columns: list[str] | None = None, k: int = 5)
 def mutual_information(
     df: DataFrame, columns: list[str], label: str = schema.LABEL, bins: int = 10
 ) -> DataFrame:
-    """Plug-in mutual information (nats) of each column, cut at its quantiles, with the label.
+    """Plug-in mutual information (nats) of each column, cut at its quantiles, with a 0/1 label.
 
-    Rows are counted per (column, bin, label) before anything else is done, so only
-    columns x bins x classes rows go on.
+    One scan: the bin of a value follows from the number of rows below it, so the running
+    totals give bins and class counts together; columns x bins rows go on from there.
     """
-    labelled = df.filter(F.col(label).isNotNull())
-    shares = [i / bins for i in range(1, bins)]
-    cuts = {r["feature"]: r["cuts"] for r in ranking.discrete_quantiles(labelled, columns, shares).collect()}
-    listed = F.create_map(
-        *[x for c in columns for x in (F.lit(c), F.array(*[F.lit(v) for v in cuts.get(c, [])]).cast("array<double>"))]
-    )
-    long = ranking.long_values(labelled, columns, keep=(label,))
-    edges = F.element_at(listed, F.col("feature"))
-    binned = long.select(
-        "feature", label, F.size(F.filter(edges, lambda e: e < F.col("value"))).alias("bin")
+    long = ranking.long_values(df.filter(F.col(label).isNotNull()), columns, keep=(label,))
+    sums = {"n": F.count(F.lit(1)), "pos": F.sum(F.col(label).cast("bigint"))}
+    totals = ranking.running_totals(long, "value", sums, keys=("feature",))
+    binned = totals.withColumn("bin", ranking.quantile_bin("n", bins))
+    joint = binned.groupBy("feature", "bin").agg(
+        F.sum("pos").alias("ones"), F.sum(F.col("n") - F.col("pos")).alias("zeros"),
+        F.max("all_pos").alias("all_ones"), F.max("all_n").alias("all_n"),
     )
-    joint = binned.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n").cast("double")
-    all_n = F.sum(n).over(Window.partitionBy("feature"))
-    in_bin = F.sum(n).over(Window.partitionBy("feature", "bin"))
-    in_class = F.sum(n).over(Window.partitionBy("feature", label))
-    terms = joint.select("feature", (n / all_n * F.ln(n * all_n / (in_bin * in_class))).alias("term"))
-    return terms.groupBy("feature").agg(F.sum("term").alias("mutual_information"))
+    all_n, in_bin = F.col("all_n").cast("double"), F.col("ones") + F.col("zeros")
+
+    def term(cell: Column, in_class: Column) -> Column:
+        share = cell / all_n * F.ln(cell * all_n / (in_bin * in_class))
+        return F.when(cell > 0, share).otherwise(0.0)
+
+    both = term(F.col("ones"), F.col("all_ones")) + term(F.col("zeros"), F.col("all_n") - F.col("all_ones"))
+    return joint.groupBy("feature").agg(F.sum(both).alias("mutual_information"))
 
 
 def label_conflicts(df: DataFrame, features: list[str], label: str = schema.LABEL) -> DataFrame:

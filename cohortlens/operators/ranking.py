@@ -84,19 +84,18 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float]
     return found.select("feature", "n", "distinct_n", *out)
 
 
-def discrete_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
-    """Per column the array of distinct smallest values that reach each share of the rows."""
-    totals = running_totals(
-        long_values(df, columns), "value", {"n": F.count(F.lit(1))}, keys=("feature",)
-    )
-    parts = []
-    for i, share in enumerate(shares):
-        need = F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * F.col("all_n")))
-        here = (F.col("cum_n") >= need) & (F.col("cum_n") - F.col("n") < need)
-        parts.append(F.max(F.when(here, F.col("value"))).alias(f"cut_{i}"))
-    found = totals.groupBy("feature").agg(*parts)
-    cuts = F.array_sort(F.array_distinct(F.array_compact(F.array(*[f"cut_{i}" for i in range(len(shares))]))))
-    return found.select("feature", cuts.alias("cuts"))
+def quantile_bin(count: str, bins: int) -> Column:
+    """Over running totals: how many of the bins - 1 discrete quantiles lie below the value.
+
+    Quantile i is the smallest value with at least i/bins of the counted rows up to it, so
+    it lies below a value exactly if that many rows do.
+    """
+    below = F.col(f"cum_{count}") - F.col(count)
+    out = F.lit(0)
+    for i in range(1, bins):
+        need = F.greatest(F.lit(1), F.ceil(F.lit(i / bins) * F.col(f"all_{count}")))
+        out = out + (below >= need).cast("int")
+    return out
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -104,3 +103,8 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     rows = quantiles(df, columns, {"q50": 0.5}).collect()
     found = {r["feature"]: r["q50"] for r in rows}
     return {c: found.get(c, 0.0) for c in columns}
+
+
+def approximate_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> dict[str, float]:
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in columns]).first()
+    return {c: row[c] if row[c] is not None else 0.0 for c in columns}

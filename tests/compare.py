@@ -79,7 +79,7 @@ def main() -> int:
             if name in sqls:
                 note = difference(df, con, sqls[name])
             else:
-                note = None if df.count() >= 0 else "no rows"
+                note = None if df.collect() else "no rows"
         except Exception as error:  # noqa: BLE001
             note = f"{type(error).__name__}: {str(error)[:600]}"
         failed += note is not None
