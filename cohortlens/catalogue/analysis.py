@@ -201,6 +201,20 @@ def binary_metrics_documents(spark, sf_dir):
     return rounded(metrics.binary_metrics(scored, "score", "quality", 0.5, ("lang",)))
 
 
+def _documents(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(
+        table(spark, sf_dir, "labels"), "doc_id"
+    )
+    return with_exprs(joined, {"score": "n_chars / (n_chars + 2000D)"})
+
+
+def split_documents(spark, sf_dir):
+    split = splitting.stratified_split(
+        _documents(spark, sf_dir), "doc_id", "toxic", splitting.SHARES["70/15/15"]
+    )
+    return split.select("doc_id", "toxic", "split")
+
+
 def _curve(grid, score="prob_b"):
     return lambda s, d: metrics.threshold_curve(_labelled(s, d), score, "y", grid)
 
@@ -350,6 +364,11 @@ QUERIES = {
     "threshold_triage": _chosen(metrics.triage_threshold, metrics.TRIAGE_GRID),
     "threshold_youden": lambda s, d: rounded(metrics.youden_threshold(_labelled(s, d), "prob_b", "y")),
     "threshold_youden_lineitem": lambda s, d: rounded(metrics.youden_threshold(_lines(s, d), "score", "deep")),
+    "calibration_documents": lambda s, d: rounded(
+        metrics.calibration_bins(_documents(s, d), "score", "quality", keys=("source",))
+    ),
+    "class_weights_documents": lambda s, d: encoding.class_weights(_documents(s, d), "toxic"),
+    "split_documents": split_documents,
     "overfit_check": overfit_check,
     "best_checkpoint": best_checkpoint,
     "model_comparison": model_comparison,

@@ -83,17 +83,40 @@ def _stream(spark, sf_dir, name):
     return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def stream_scoring(spark, sf_dir):
-    """The audit log again, written by a stream over the same records."""
+def _audit_stream(spark, sf_dir):
     raw = spark.sql(
         RAW_SURVEY_SQL.replace("FROM orders", "FROM {orders}"), orders=_stream(spark, sf_dir, "orders")
     )
     response = scoring.respond(assess_job.score_requests(std.standardize(raw)))
+    return scoring.audit_rows(response)
+
+
+def stream_scoring(spark, sf_dir):
+    """The audit log again, written by a stream over the same records."""
     out = files.new_folder(spark, "audit-stream")
-    jobs.start_audit(scoring.audit_rows(response), out, f"{out}-state").awaitTermination()
+    jobs.start_audit(_audit_stream(spark, sf_dir), out, f"{out}-state").awaitTermination()
     return audit.read(spark, out)
 
 
+def _closed_windows(spark, rows):
+    out = files.new_folder(spark, "windows")
+    jobs.start_windows(rows, out, f"{out}-state").awaitTermination()
+    stored = spark.read.schema(rows.schema).parquet(out)
+    return with_exprs(stored, {c: f"CAST(`{c}` AS TIMESTAMP_NTZ)" for c in ("start", "end")})
+
+
+def stream_audit_monitor(spark, sf_dir):
+    """Daily share of high risk and of incomplete answers over the audit stream."""
+    measures = {
+        "n": F.count(F.lit(1)),
+        "high": F.count(F.when(F.col("risk_level") == "High", 1)),
+        "high_rate": F.avg(F.when(F.col("risk_level") == "High", 1.0).otherwise(0.0)),
+        "incomplete_rate": F.avg(F.when(F.col("missing_fields_count") > 0, 1.0).otherwise(0.0)),
+    }
+    rows = jobs.windowed(_audit_stream(spark, sf_dir), "timestamp", ["mode_used"], measures)
+    return _closed_windows(spark, rows)
+
+
 def stream_monitor(spark, sf_dir):
     """Daily counts and means per event type, written when their window has closed."""
     measures = {
@@ -102,10 +125,7 @@ def stream_monitor(spark, sf_dir):
         "high_rate": F.avg(F.when(F.col("value") > 20, 1.0).otherwise(0.0)),
     }
     rows = jobs.windowed(_stream(spark, sf_dir, "events"), "ts", ["event_type"], measures)
-    out = files.new_folder(spark, "windows")
-    jobs.start_windows(rows, out, f"{out}-state").awaitTermination()
-    stored = spark.read.schema(rows.schema).parquet(out)
-    return with_exprs(stored, {c: f"CAST(`{c}` AS TIMESTAMP_NTZ)" for c in ("start", "end")})
+    return _closed_windows(spark, rows)
 
 
 QUERIES = {
@@ -121,4 +141,5 @@ QUERIES = {
     "audit_log": audit_log,
     "stream_scoring": stream_scoring,
     "stream_monitor": stream_monitor,
+    "stream_audit_monitor": stream_audit_monitor,
 }

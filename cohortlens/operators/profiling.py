@@ -49,17 +49,14 @@ def majority_baseline(df: DataFrame, label: str = schema.LABEL) -> DataFrame:
 
 
 def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sample deviation, extremes, exact quartiles and distinct count per column."""
-    stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    row = df.agg(
-        *[
-            F.struct(*[f(F.col(c).cast("double")).alias(n) for n, f in stats.items()]).alias(c)
-            for c in columns
-        ]
-    )
-    moments = row.unpivot([], columns, "feature", "s").select("feature", "s.*")
-    quartiles = ranking.quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return moments.join(quartiles, "feature", "left").withColumns(
+    """count, mean, sample deviation, extremes, exact quartiles and distinct count per column.
+
+    One scan; a column without values keeps its row with n = 0.
+    """
+    found = ranking.quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75}, moments=True)
+    rows = ", ".join(f"('{c}')" for c in columns)
+    listed = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS listed(feature)")
+    return listed.join(found, "feature", "left").withColumns(
         {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n", "distinct_n")}
     )
 

@@ -61,27 +61,45 @@ def long_values(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -
     return doubles.unpivot(list(keep), columns, "feature", "value").filter(F.col("value").isNotNull())
 
 
-def quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles per column by linear interpolation, plus n and the distinct count."""
-    totals = running_totals(
-        long_values(df, columns), "value", {"n": F.count(F.lit(1))}, keys=("feature",)
-    )
+def quantiles(
+    df: DataFrame, columns: list[str], probabilities: dict[str, float], moments: bool = False
+) -> DataFrame:
+    """Exact quantiles per column by linear interpolation, plus n and the distinct count.
+
+    With ``moments`` also mean, sample deviation, min and max, from the same scan. A column
+    without values has no row.
+    """
+    sums = {"n": F.count(F.lit(1))}
+    if moments:
+        sums["total"] = F.sum("value")
+    totals = running_totals(long_values(df, columns), "value", sums, keys=("feature",))
     parts = []
     for name, p in probabilities.items():
         spot = F.lit(float(p)) * (F.col("all_n") - 1)
         for side, rank in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
             here = (F.col("cum_n") > rank) & (F.col("cum_n") - F.col("n") <= rank)
             parts.append(F.max(F.when(here, F.col("value"))).alias(f"{name}_{side}"))
+    extra = []
+    if moments:
+        mean = F.col("all_total") / F.col("all_n")
+        off = F.col("value") - mean
+        parts += [
+            F.max(mean).alias("mean"),
+            F.sum(F.col("n") * off * off).alias("squares"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        ]
+        std = F.sqrt(F.try_divide("squares", F.col("n") - 1)).alias("std")
+        extra = ["mean", std, "min", "max"]
     found = totals.groupBy("feature").agg(
         F.max("all_n").alias("n"), F.count(F.lit(1)).alias("distinct_n"), *parts
     )
-    low = {name: F.col(f"{name}_lo") for name in probabilities}
     out = []
     for name, p in probabilities.items():
         spot = F.lit(float(p)) * (F.col("n") - 1)
-        step = (F.col(f"{name}_hi") - low[name]) * (spot - F.floor(spot))
-        out.append((low[name] + step).alias(name))
-    return found.select("feature", "n", "distinct_n", *out)
+        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        out.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
+    return found.select("feature", "n", "distinct_n", *extra, *out)
 
 
 def quantile_bin(count: str, bins: int) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens import schema
+from cohortlens.operators.lookup import fits
+from cohortlens.session import materialize
 
 # --- fixed values: the split shares in use ---------------------------------
 SHARES = {
@@ -14,6 +16,7 @@ SHARES = {
     "70/15/15": {"test": 0.15, "val": 0.15},
 }
 PREFIX = 4  # hex digits: 65,536 buckets per class
+MAX_CLASSES = 1000
 
 
 def hashed(df: DataFrame, key: str, seed: int = schema.SEED) -> DataFrame:
@@ -27,9 +30,10 @@ def _cut_hashes(df: DataFrame, label: str, shares: dict[str, float]) -> DataFram
     A histogram over hash prefixes finds the bucket of each boundary; only the rows of
     those buckets (1/65,536 of a class each) are then put in order.
     """
-    buckets = df.groupBy(label, F.substring("row_hash", 1, PREFIX).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    counted = df.groupBy(label, F.substring("row_hash", 1, PREFIX).alias("bucket"))
+    buckets = materialize(counted.agg(F.count(F.lit(1)).alias("n")))
+    if not fits(buckets.select(label).distinct(), MAX_CLASSES):
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     within = Window.partitionBy(label)
     running = within.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = buckets.select(
@@ -50,7 +54,7 @@ def _cut_hashes(df: DataFrame, label: str, shares: dict[str, float]) -> DataFram
     wanted = wanted.select(
         F.col(label).alias("class"), "bucket", "cut.name", (F.col("cut.rank") - F.col("before")).alias("place")
     )
-    # One row per class and boundary.
+    # One row per class and boundary; the number of classes was checked above.
     near = df.select(F.col(label).alias("class"), "row_hash", F.substring("row_hash", 1, PREFIX).alias("bucket"))
     near = near.join(F.broadcast(wanted), ["class", "bucket"])
     order = Window.partitionBy("class", "name").orderBy("row_hash")

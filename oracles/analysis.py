@@ -285,6 +285,18 @@ RUNS = (
 DOCS = (
     "WITH docs AS (SELECT d.doc_id, lang, quality, n_chars / (n_chars + 2000.0::DOUBLE) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 )
+TOXIC = "WITH docs AS (SELECT d.doc_id, source, quality, toxic, n_chars / (n_chars + 2000.0::DOUBLE) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+TOMEK_COLUMNS = ["age", "bmi", "sleep_duration", "average_screen_time", "stress_level", "daily_steps"]
+TOMEK = (
+    f"{STD}, placed AS (SELECT *, row_number() OVER (PARTITION BY {Y} ORDER BY md5('42:' || row_id)) AS r, COUNT(*) OVER (PARTITION BY {Y}) AS c "
+    f"FROM std WHERE {Y} IS NOT NULL), train AS (SELECT row_id, {Y} AS y, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in TOMEK_COLUMNS)
+    + " FROM placed WHERE r > floor(0.4::DOUBLE * c + 0.5)), med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in TOMEK_COLUMNS)
+    + " FROM train), points AS (SELECT row_id, y, " + ", ".join(f"COALESCE({c}, m_{c}) AS {c}" for c in TOMEK_COLUMNS)
+    + " FROM train, med), near AS (SELECT a.row_id AS id, ANY_VALUE(a.y) AS y, min({'d': sqrt("
+    + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in TOMEK_COLUMNS)
+    + "), 'id': b.row_id}).id AS other FROM points a JOIN points b ON a.row_id <> b.row_id GROUP BY a.row_id) "
+    "SELECT p.id AS low, q.id AS high FROM near p JOIN near q ON p.other = q.id AND q.other = p.id WHERE p.y <> q.y AND p.id < q.id"
+)
 HALF = (
     "WITH half AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'base' ELSE 'current' END AS snapshot, "
     "CAST(json_extract_string(props, '$.k') AS DOUBLE) AS props_k FROM events)"
@@ -389,6 +401,13 @@ ORACLES = {
     "threshold_triage": best(0.20, 40, "0.5::DOUBLE * f1 + 0.3::DOUBLE * recall + 0.2::DOUBLE * precision", 0.4),
     "threshold_youden": f"{LABELLED} " + youden("points", "prob_b", "y"),
     "threshold_youden_lineitem": f"{LINES} " + youden("lines", "score", "deep"),
+    "calibration_documents": f"{TOXIC} SELECT source, CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, COUNT(*) AS n, round(AVG(score), 6) AS mean_score, "
+    "round(AVG(quality), 6) AS rate FROM docs GROUP BY 1, 2",
+    "class_weights_documents": f"{TOXIC}, c AS (SELECT COUNT(CASE WHEN toxic = 0 THEN 1 END) AS n0, COUNT(CASE WHEN toxic = 1 THEN 1 END) AS n1 FROM docs) "
+    "SELECT n0, n1, CAST(n0 AS DOUBLE) / n1 AS scale_pos_weight, CAST(n0 + n1 AS DOUBLE) / (n0 * 2) AS weight_0, CAST(n0 + n1 AS DOUBLE) / (n1 * 2) AS weight_1 FROM c",
+    "split_documents": f"{TOXIC}, placed AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || doc_id)) AS r, COUNT(*) OVER (PARTITION BY toxic) AS c "
+    "FROM docs) SELECT doc_id, toxic, CASE WHEN r <= floor(0.15::DOUBLE * c + 0.5) THEN 'test' WHEN r <= floor(0.3::DOUBLE * c + 0.5) THEN 'val' ELSE 'train' END AS split FROM placed",
+    "tomek_links": TOMEK,
     "overfit_check": OVERFIT,
     "best_checkpoint": f"{RUNS}, e AS ({evaluate('runs', 'score', 'y', 0.5, 'iteration')}), "
     "b AS (SELECT iteration, roc_auc, COALESCE(MAX(roc_auc) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS best_before FROM e) "
