@@ -137,7 +137,10 @@ def scale_robust(spark, sf_dir):
 
 
 def knn_impute(spark, sf_dir):
-    columns = [*NUMERIC, "smoking", "smart_device_before_bed", "redness_in_eye"]
+    columns = [
+        "age", "sleep_duration", "sleep_quality", "average_screen_time", "stress_level", "heart_rate",
+        "daily_steps", "physical_activity",
+    ]
     data = survey(spark, sf_dir).select("row_id", *columns)
     return rounded(neighbours.knn_impute(data, "row_id", columns))
 

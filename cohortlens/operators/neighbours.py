@@ -24,7 +24,7 @@ from cohortlens.functions.project import with_exprs
 from cohortlens.operators.lookup import attach
 from cohortlens.session import materialize
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 MAX_BUCKETS = 20_000
 FOUND = "qid bigint, target int, distance double, neighbour bigint, value double"
 
@@ -53,35 +53,52 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, np.sqrt(total * (x.shape[1] / seen)), np.inf)
 
 
+def _k_best(far: np.ndarray, ids: list, k: int) -> tuple[np.ndarray, ...]:
+    """(row, place, distance, id) of the k nearest ids per row; ties go to the smaller id."""
+    limit = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(far), np.inf)
+    row, place = np.nonzero((far <= limit[:, None]) & np.isfinite(far))
+    copies = np.array([len(i) for i in ids])[place]
+    row, place = np.repeat(row, copies), np.repeat(place, copies)
+    starts = np.cumsum([0, *(len(i) for i in ids)])[:-1]
+    within = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+    own = np.concatenate([np.asarray(i) for i in ids])[starts[place] + within]
+    distance = far[row, place]
+    order = np.lexsort((own, distance, row))
+    row, place, distance, own = row[order], place[order], distance[order], own[order]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < k
+    return row[kept], place[kept], distance[kept], own[kept]
+
+
 def _compare(columns: list[str], k: int, per_column: bool):
     """Group function: the k best donor rows per query (and per missing column)."""
 
     def compare(queries: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        empty = {"qid": [], "target": [], "distance": [], "neighbour": [], "value": []}
-        if queries.empty or donors.empty:
-            return pd.DataFrame(empty)
-        donors = donors.sort_values("qid")  # ties go to the smaller key
-        x, y = queries[columns].to_numpy(float), donors[columns].to_numpy(float)
-        qids, ids = queries["qid"].to_numpy(), donors["ids"].tolist()
-        far = _distances(x, y)
-        out: list[tuple] = []
-        for target in range(len(columns)) if per_column else (-1,):
-            asking = np.flatnonzero(np.isnan(x[:, target])) if per_column else np.arange(len(x))
-            giving = np.flatnonzero(~np.isnan(y[:, target])) if per_column else np.arange(len(y))
-            if not len(asking) or not len(giving):
-                continue
-            part = far[np.ix_(asking, giving)]
-            best = np.argsort(part, axis=1, kind="stable")[:, :k]
-            for row, places in enumerate(best):
-                rows = [
-                    (float(part[row, p]), int(i), float(y[giving[p], target]))
-                    for p in places
-                    if np.isfinite(part[row, p])
-                    for i in ids[giving[p]]
-                ]
-                rows.sort(key=lambda r: r[:2])
-                out.extend((int(qids[asking[row]]), target, *r) for r in rows[:k])
-        return pd.DataFrame(out, columns=list(empty)) if out else pd.DataFrame(empty)
+        parts = [pd.DataFrame({"qid": [], "target": [], "distance": [], "neighbour": [], "value": []})]
+        if len(queries) and len(donors):
+            x, y = queries[columns].to_numpy(float), donors[columns].to_numpy(float)
+            qids, ids = queries["qid"].to_numpy(), donors["ids"].tolist()
+            far = _distances(x, y)
+            for target in range(len(columns)) if per_column else (-1,):
+                asking = np.flatnonzero(np.isnan(x[:, target])) if per_column else np.arange(len(x))
+                giving = np.flatnonzero(~np.isnan(y[:, target])) if per_column else np.arange(len(y))
+                if not len(asking) or not len(giving):
+                    continue
+                row, place, distance, own = _k_best(
+                    far[np.ix_(asking, giving)], [ids[g] for g in giving], k
+                )
+                parts.append(
+                    pd.DataFrame(
+                        {
+                            "qid": qids[asking[row]],
+                            "target": target,
+                            "distance": distance,
+                            "neighbour": own,
+                            "value": y[giving[place], target],
+                        }
+                    )
+                )
+        return pd.concat(parts[1:]) if len(parts) > 1 else parts[0]
 
     return compare
 
@@ -126,11 +143,16 @@ class Blocks:
         right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         group = ["bucket", "part", "chunk"]
         asking = [*group, "qid", *self.columns]
+        giving = [*group, "qid", "ids", *self.columns]
+        # The groups are small in bytes but dear to compute: a stated number of tasks keeps
+        # them from being merged into few tasks by size.
+        tasks = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # toDF gives new column ids: both sides may come from one table.
+        left = left.select(*asking).toDF(*asking).repartition(tasks, *group)
+        right = right.select(*giving).repartition(tasks, *group)
         return (
-            left.select(*asking)
-            .toDF(*asking)  # new column ids: both sides may come from one table
-            .groupBy(*group)
-            .cogroup(right.select(*group, "qid", "ids", *self.columns).groupBy(*group))
+            left.groupBy(*group)
+            .cogroup(right.groupBy(*group))
             .applyInPandas(_compare(self.columns, k, per_column), FOUND)
         )
 

@@ -297,6 +297,21 @@ TOMEK = (
     + "), 'id': b.row_id}).id AS other FROM points a JOIN points b ON a.row_id <> b.row_id GROUP BY a.row_id) "
     "SELECT p.id AS low, q.id AS high FROM near p JOIN near q ON p.other = q.id AND q.other = p.id WHERE p.y <> q.y AND p.id < q.id"
 )
+KNN_COLUMNS = ["age", "sleep_duration", "sleep_quality", "average_screen_time", "stress_level", "heart_rate", "daily_steps", "physical_activity"]
+KNN_SEEN = " + ".join(f"(CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 0 ELSE 1 END)" for c in KNN_COLUMNS)
+KNN = (
+    f"{STD}, points AS (SELECT row_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in KNN_COLUMNS) + " FROM std), "
+    "asking AS (SELECT * FROM points WHERE " + " OR ".join(f"{c} IS NULL" for c in KNN_COLUMNS) + "), "
+    "pairs AS (SELECT a.row_id, b.row_id AS other, sqrt(("
+    + " + ".join(f"COALESCE((a.{c} - b.{c}) * (a.{c} - b.{c}), 0.0)" for c in KNN_COLUMNS)
+    + f") * (8.0::DOUBLE / NULLIF({KNN_SEEN}, 0))) AS d, "
+    + ", ".join(f"CASE WHEN a.{c} IS NULL THEN b.{c} END AS {c}" for c in KNN_COLUMNS)
+    + " FROM asking a, points b), near AS (SELECT row_id, "
+    + ", ".join(f"list_avg(list_transform(min({{'d': d, 'id': other, 'v': {c}}}, 5) FILTER (WHERE {c} IS NOT NULL AND d IS NOT NULL), lambda x: x.v)) AS {c}" for c in KNN_COLUMNS)
+    + " FROM pairs GROUP BY row_id) SELECT p.row_id, "
+    + ", ".join(f"round(COALESCE(p.{c}, n.{c}, (SELECT AVG({c}) FROM points)), 6) + 0.0 AS {c}" for c in KNN_COLUMNS)
+    + " FROM points p LEFT JOIN near n ON p.row_id = n.row_id"
+)
 HALF = (
     "WITH half AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'base' ELSE 'current' END AS snapshot, "
     "CAST(json_extract_string(props, '$.k') AS DOUBLE) AS props_k FROM events)"
@@ -408,6 +423,7 @@ ORACLES = {
     "split_documents": f"{TOXIC}, placed AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || doc_id)) AS r, COUNT(*) OVER (PARTITION BY toxic) AS c "
     "FROM docs) SELECT doc_id, toxic, CASE WHEN r <= floor(0.15::DOUBLE * c + 0.5) THEN 'test' WHEN r <= floor(0.3::DOUBLE * c + 0.5) THEN 'val' ELSE 'train' END AS split FROM placed",
     "tomek_links": TOMEK,
+    "knn_impute": KNN,
     "overfit_check": OVERFIT,
     "best_checkpoint": f"{RUNS}, e AS ({evaluate('runs', 'score', 'y', 0.5, 'iteration')}), "
     "b AS (SELECT iteration, roc_auc, COALESCE(MAX(roc_auc) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS best_before FROM e) "
