@@ -129,7 +129,7 @@ def target_encode(
 
 
 def factor_codes(
-    df: DataFrame, columns: list[str], order: str, below: int | None = 10
+    df: DataFrame, columns: list[str], order: str, below: int = 10
 ) -> DataFrame:
     """(feature, value, code): codes by first appearance, for columns with few values.
 
@@ -139,9 +139,7 @@ def factor_codes(
     text = df.select(order, *[F.col(c).cast("string").alias(c) for c in columns])
     long = text.unpivot([order], columns, "feature", "value").filter(F.col("value").isNotNull())
     first = long.groupBy("feature", "value").agg(F.min(order).alias("first_seen"))
-    few = first.groupBy("feature").agg(F.count(F.lit(1)).alias("values"))
-    if below is not None:
-        few = few.filter(F.col("values") < below)
+    few = first.groupBy("feature").agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") < below)
     # One row per column.
     kept = first.join(F.broadcast(few), "feature")
     by_first = Window.partitionBy("feature").orderBy("first_seen", "value")

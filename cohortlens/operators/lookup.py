@@ -29,7 +29,8 @@ def attach(
     A table within ``broadcast_rows`` is broadcast. A larger one is shuffled; keys whose
     ``weight`` (their row count in ``df``) exceeds 1/(4 * salts) of all rows, at most
     4 * salts of them, are spread over several tasks: their table rows are repeated once
-    per salt and the data rows take a salt from the hash of the row. The table is written
+    per salt and the data rows take a salt from the hash of their other columns, which must
+    tell the rows apart (a row id does). The table is written
     once first, so that neither the check nor the join works it out again.
     """
     table = materialize(table)

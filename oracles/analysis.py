@@ -297,6 +297,20 @@ TOMEK = (
     + "), 'id': b.row_id}).id AS other FROM points a JOIN points b ON a.row_id <> b.row_id GROUP BY a.row_id) "
     "SELECT p.id AS low, q.id AS high FROM near p JOIN near q ON p.other = q.id AND q.other = p.id WHERE p.y <> q.y AND p.id < q.id"
 )
+UNIT = "('0x' || substr(md5('42:{}:' || row_id || ':' || copy), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+SMOTE = (
+    TOMEK[: TOMEK.index(", near AS")]
+    + ", sizes AS (SELECT COUNT(CASE WHEN y = 0 THEN 1 END) AS few, COUNT(CASE WHEN y = 1 THEN 1 END) AS many FROM points), "
+    "need AS (SELECT few, CAST(round(0.8::DOUBLE * many) AS BIGINT) - few AS wanted FROM sizes), small AS (SELECT * FROM points WHERE y = 0), "
+    "near AS (SELECT a.row_id, min({'d': sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in TOMEK_COLUMNS)
+    + "), 'id': b.row_id}, 5) AS near FROM small a JOIN small b ON a.row_id <> b.row_id GROUP BY a.row_id), "
+    "ranked AS (SELECT small.*, near, wanted, few, row_number() OVER (ORDER BY md5('42:' || small.row_id)) AS r FROM small JOIN near USING (row_id), need), "
+    "copies AS (SELECT *, unnest(range(1, wanted // few + CASE WHEN r <= wanted % few THEN 2 ELSE 1 END)) AS copy FROM ranked), "
+    f"picked AS (SELECT *, near[1 + CAST(floor({UNIT.format('near')} * len(near)) AS INTEGER)].id AS other, {UNIT.format('gap')} AS gap FROM copies) "
+    f"SELECT row_id, y AS {Y}, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in TOMEK_COLUMNS) + ", 0 AS synthetic FROM points UNION ALL "
+    "SELECT -(p.row_id * (wanted // few + 2) + copy), p.y, " + ", ".join(f"round(p.{c} + gap * (o.{c} - p.{c}), 6) + 0.0" for c in TOMEK_COLUMNS)
+    + ", 1 FROM picked p JOIN small o ON o.row_id = p.other"
+)
 KNN_COLUMNS = ["age", "sleep_duration", "sleep_quality", "average_screen_time", "stress_level", "heart_rate", "daily_steps", "physical_activity"]
 KNN_SEEN = " + ".join(f"(CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 0 ELSE 1 END)" for c in KNN_COLUMNS)
 KNN = (
@@ -424,6 +438,7 @@ ORACLES = {
     "FROM docs) SELECT doc_id, toxic, CASE WHEN r <= floor(0.15::DOUBLE * c + 0.5) THEN 'test' WHEN r <= floor(0.3::DOUBLE * c + 0.5) THEN 'val' ELSE 'train' END AS split FROM placed",
     "tomek_links": TOMEK,
     "knn_impute": KNN,
+    "smote": SMOTE,
     "overfit_check": OVERFIT,
     "best_checkpoint": f"{RUNS}, e AS ({evaluate('runs', 'score', 'y', 0.5, 'iteration')}), "
     "b AS (SELECT iteration, roc_auc, COALESCE(MAX(roc_auc) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS best_before FROM e) "
