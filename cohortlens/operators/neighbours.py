@@ -133,9 +133,12 @@ class Blocks:
     def visit(self, queries: DataFrame, k: int, per_column: bool) -> DataFrame:
         """Compare (qid, columns, bucket) with the blocks of that bucket."""
         asked = queries.groupBy("bucket").agg(F.count(F.lit(1)).alias("queries"))
-        plan = self.sizes.join(asked, "bucket").select(
-            "bucket", "parts", F.ceil(F.col("queries") / self.block_rows).cast("int").alias("chunks")
+        plan = materialize(
+            self.sizes.join(asked, "bucket").select(
+                "bucket", "parts", F.ceil(F.col("queries") / self.block_rows).cast("int").alias("chunks")
+            )
         )
+        groups = plan.agg(F.sum(F.col("parts") * F.col("chunks"))).first()[0] or 1
         chunk = F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int")
         left = queries.join(F.broadcast(plan), "bucket").withColumn("chunk", chunk)
         left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -146,7 +149,8 @@ class Blocks:
         giving = [*group, "qid", "ids", *self.columns]
         # The groups are small in bytes but dear to compute: a stated number of tasks keeps
         # them from being merged into few tasks by size.
-        tasks = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slots = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(4 * slots, groups)
         # toDF gives new column ids: both sides may come from one table.
         left = left.select(*asking).toDF(*asking).repartition(tasks, *group)
         right = right.select(*giving).repartition(tasks, *group)

@@ -64,7 +64,7 @@ def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     spark = build_session(
-        "compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "compare", "local[8]", spark__sql__shuffle__partitions=os.environ.get("PARTITIONS", "8"), spark__ui__enabled="false",
         spark__driver__memory="12g",
     )
     spark.sparkContext.setLogLevel("ERROR")
