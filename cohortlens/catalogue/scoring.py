@@ -106,14 +106,16 @@ def _closed_windows(spark, rows):
 
 
 def stream_audit_monitor(spark, sf_dir):
-    """Daily share of high risk and of incomplete answers over the audit stream."""
+    """Share of high risk and of incomplete answers per six hours of the audit stream."""
     measures = {
         "n": F.count(F.lit(1)),
         "high": F.count(F.when(F.col("risk_level") == "High", 1)),
         "high_rate": F.avg(F.when(F.col("risk_level") == "High", 1.0).otherwise(0.0)),
         "incomplete_rate": F.avg(F.when(F.col("missing_fields_count") > 0, 1.0).otherwise(0.0)),
     }
-    rows = jobs.windowed(_audit_stream(spark, sf_dir), "timestamp", ["mode_used"], measures)
+    rows = jobs.windowed(
+        _audit_stream(spark, sf_dir), "timestamp", ["mode_used"], measures, width="6 hours"
+    )
     return _closed_windows(spark, rows)
 
 

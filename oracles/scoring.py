@@ -106,11 +106,11 @@ ORACLES = {
     f"{URGENCY} AS urgency, CAST({FACTOR_COUNT} AS INTEGER) AS factor_count, 3 AS disclaimer_count FROM full_rows",
     "audit_log": AUDIT,
     "stream_scoring": AUDIT,
-    "stream_audit_monitor": f"{SCORED}, w AS (SELECT date_trunc('day', timestamp) AS start, mode_used, COUNT(*) AS n, "
+    "stream_audit_monitor": f"{SCORED}, w AS (SELECT time_bucket(INTERVAL 6 HOUR, timestamp) AS start, mode_used, COUNT(*) AS n, "
     "COUNT(CASE WHEN risk_level = 'High' THEN 1 END) AS high, AVG(CASE WHEN risk_level = 'High' THEN 1.0::DOUBLE ELSE 0.0 END) AS high_rate, "
     "AVG(CASE WHEN len(missing) > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS incomplete_rate FROM full_rows GROUP BY 1, 2) "
-    "SELECT start, start + INTERVAL 1 DAY AS \"end\", mode_used, n, high, high_rate, incomplete_rate FROM w "
-    "WHERE start + INTERVAL 1 DAY <= (SELECT MAX(timestamp) FROM full_rows) - INTERVAL 1 HOUR",
+    "SELECT start, start + INTERVAL 6 HOUR AS \"end\", mode_used, n, high, high_rate, incomplete_rate FROM w "
+    "WHERE start + INTERVAL 6 HOUR <= (SELECT MAX(timestamp) FROM full_rows) - INTERVAL 1 HOUR",
     "stream_monitor": "WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, COUNT(*) AS n, "
     "COUNT(CASE WHEN value IS NULL THEN 1 END) AS missing, AVG(CASE WHEN value > 20 THEN 1.0::DOUBLE ELSE 0.0 END) AS high_rate "
     "FROM events GROUP BY 1, 2) "
