@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,30 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers are found by module name there, wherever the
+    driver was started and whatever is installed on the workers.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="cohortlens-"), "cohortlens.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    path = os.path.join(folder, name)
+                    if name.endswith(".py"):
+                        out.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def build_session(app: str = "cohortlens", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
