@@ -14,11 +14,37 @@ WITH RECURSIVE w AS (
     SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), e AS (
     SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
-), both AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
 ), r AS (
     SELECT doc_id AS node, doc_id AS reach FROM documents
-    UNION SELECT r.node, both.b FROM r JOIN both ON r.reach = both.a
+    UNION SELECT r.node, ends.b FROM r JOIN ends ON r.reach = ends.a
 ), c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents JOIN c ON node = doc_id LEFT JOIN n USING (doc_id)
 """
+
+UNBROKEN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+OP5 = rf"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), {UNBROKEN}) AS ws FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), {UNBROKEN}) AS ws FROM benchmark
+), v AS (
+    SELECT DISTINCT item_id, least(len(ws), 13) AS n,
+        unnest([array_to_string(ws[i:i + 12], ' ') FOR i IN range(1, greatest(len(ws) - 12, 1) + 1)]) AS g
+    FROM b WHERE len(ws) > 0
+), l AS (SELECT DISTINCT n FROM v
+), d AS (
+    SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM w, l WHERE len(ws) >= n
+), h AS (
+    SELECT doc_id, i, d.n, item_id FROM d JOIN v ON d.n = v.n AND array_to_string(ws[i:i + d.n - 1], ' ') = g
+), p AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id
+), t AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
