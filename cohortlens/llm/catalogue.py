@@ -6,12 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm import sql
 from cohortlens.llm.common import table
+from cohortlens.llm.decontaminate import decontaminate
 from cohortlens.llm.near_dedup import near_duplicates
+from cohortlens.llm.pii import find_personal_data
+from cohortlens.llm.quality_crf import classify
+from cohortlens.llm.secrets import scan_secrets
+from cohortlens.llm.token_output import read_digests, write_ids
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup,)}
-SQL = {"op1_near_dedup": sql.OP1}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_digests(spark, write_ids(table(spark, sf_dir, "documents")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_near_dedup, op2_secrets, op4_quality_classifier, op5_decontamination, op7_token_output, op10_pii)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {"op1_near_dedup": sql.OP1, "op5_decontamination": sql.OP5}
