@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAST = 24  # occurrences that make a pair frequent
+LEAST = 48  # occurrences that make a pair frequent
 HASH_BITS = 20
-GAIN = 0.02  # a round that shortens the sequence by less than this share is the last
+GAIN = 0.03  # a round that shortens the sequence by less than this share is the last
 
 
 class Grammar:

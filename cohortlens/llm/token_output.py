@@ -19,6 +19,7 @@ Any document, or range of one, decodes from its shard's rules alone (``decode``)
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,8 @@ from cohortlens.sources.files import new_folder
 END_ID = 1
 SHARD_TOKENS = 1_000_000
 RULES = 16_000
-CACHE = 400_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
+TEXTS = 256  # texts encoded at a time
+CACHE = 500_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
 
 _SHARD = (
     "part int, shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_symbols array<bigint>, "
@@ -51,7 +53,8 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space, so the ids of a text are those of its
-    pieces between blanks and line breaks, and a piece that returns is not encoded again."""
+    pieces between blanks and line breaks, and a piece that returns is not encoded again. Its
+    lower-casing makes pieces that differ in A-Z only the same."""
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -62,20 +65,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.base = max(self.tokenizer.get_vocab_size(True), max(self.tokenizer.get_vocab().values()) + 1, end_id + 1)
         self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.bytes_of = np.zeros(self.base, dtype=np.int64)
+        for token, code in self.tokenizer.get_vocab().items():  # one character of a token is one byte of text
+            self.bytes_of[code] = len(token.removesuffix("</w>"))
         self.known: dict[str, bytes] = {"": b""}
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by the end id; ids per text)."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        plain = not any("<|" in t for t in texts)  # else upper case decides what is a special token
+        split = [(t.encode().lower().decode() if plain else t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known = {"": b""}
         known = self.known
-        fresh = list({w for words in split for w in words}.difference(known))
-        for word, code in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            known[word] = np.array(code.ids, dtype="<u4").tobytes()
+        fresh = list({w for words in split for w in words if w not in known})
+        known.update(zip(fresh, self._encoded(fresh)))
         coded = [b"".join(map(known.__getitem__, words)) + self.end for words in split]
         return np.frombuffer(b"".join(coded), dtype="<u4"), np.array([len(c) // 4 for c in coded])
 
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Many words go as one text, which is faster; the bytes that tokens stand for
+        tell where each word ends, and if they don't add up, the words are encoded one by one."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            sizes = [len(unicodedata.normalize("NFC", w).lower().encode()) for w in part]
+            ends, covered = np.cumsum(sizes), np.cumsum(self.bytes_of[ids])
+            stops = np.searchsorted(covered, ends)
+            if len(ids) and ends[-1] == covered[-1] and (covered[stops] == ends).all() and not any("<|" in w for w in part):
+                bounds = np.concatenate([[0], stops + 1]).tolist()
+                out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            else:
+                alone = self.tokenizer.encode_batch(part, add_special_tokens=False)
+                out += [np.array(code.ids, dtype="<u4").tobytes() for code in alone]
+        return out
+
 
 def _encoder(path: str, end_id: int) -> Encoder:
     key = (path, end_id)
@@ -107,9 +131,9 @@ def _writer(path: str, end_id: int, shard_tokens: int):
 
         for batch in batches:
             texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 64):
-                ids, counts = encoder.ids([t or "" for t in texts[at : at + 64]])
-                doc_ids += names[at : at + 64]
+            for at in range(0, len(texts), TEXTS):
+                ids, counts = encoder.ids([t or "" for t in texts[at : at + TEXTS]])
+                doc_ids += names[at : at + TEXTS]
                 held.append(ids)
                 sizes.append(counts)
                 size += len(ids)
