@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.llm import sql
 from cohortlens.llm.common import table
 from cohortlens.llm.decontaminate import decontaminate
+from cohortlens.llm.divergence import quality_rules
+from cohortlens.llm.mixing import mix
 from cohortlens.llm.near_dedup import near_duplicates
 from cohortlens.llm.pii import find_personal_data
 from cohortlens.llm.quality_crf import classify
@@ -22,6 +24,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,10 +40,17 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write_ids(table(spark, sf_dir, "documents")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), budget_share=1.0, target_entropy=0.95, max_epochs=4.0)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_near_dedup, op2_secrets, op4_quality_classifier, op5_decontamination, op7_token_output, op10_pii)
+_ALL = (
+    op1_near_dedup, op2_secrets, op3_quality_rules, op4_quality_classifier, op5_decontamination,
+    op7_token_output, op9_mixing, op10_pii,
+)
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op1_near_dedup": sql.OP1, "op5_decontamination": sql.OP5}
+SQL = {"op1_near_dedup": sql.OP1, "op5_decontamination": sql.OP5, "op9_mixing": sql.OP9}

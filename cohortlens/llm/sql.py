@@ -48,3 +48,48 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
     sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
 FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+# Parameters of the query: budget 1, entropy 0.95 of the largest, 4 passes at most, seed 0.
+OP9 = rf"""
+WITH d AS (
+    SELECT doc_id, source, coalesce('=' || source, '-') AS g,
+        md5(coalesce('=' || doc_id::VARCHAR, '-') || chr(31) || coalesce('=' || text, '-')) AS k,
+        len(regexp_extract_all(coalesce(text, ''), {SPACED}))::BIGINT AS n
+    FROM documents
+), t AS (SELECT g, sum(n)::BIGINT AS t, count(*) AS rows FROM d GROUP BY g
+), s AS (SELECT g, t / (SELECT sum(t) FROM t) AS p FROM t WHERE t > 0
+), a AS (
+    SELECT i, sum(pow(p, i / 4096.0)) AS z, sum(pow(p, i / 4096.0) * ln(p)) AS l, max(pow(p, i / 4096.0 - 1)) AS m
+    FROM s, range(0, 4097) r(i) GROUP BY i
+), e AS (
+    SELECT coalesce(min(i), 4096) / 4096.0 AS e FROM a
+    WHERE ln(z) - i / 4096.0 * l / z <= 0.95 * ln((SELECT count(*) FROM s)) + 1e-12 AND m / z <= 4 + 1e-12
+), w AS (
+    SELECT g, t, ceil(sqrt(rows))::BIGINT AS b, CASE WHEN t > 0 THEN floor(pow(t / (SELECT sum(t) FROM t), (SELECT e FROM e))
+        / (SELECT sum(pow(p, (SELECT e FROM e))) FROM s) * (SELECT sum(t) FROM t) + 0.5)::BIGINT ELSE 0 END AS want
+    FROM t
+), q AS (
+    SELECT g, b, CASE WHEN t > 0 THEN want // t ELSE 0 END AS passes, want - CASE WHEN t > 0 THEN want // t ELSE 0 END * t AS rest FROM w
+), x AS (
+    SELECT d.*, q.b, q.passes, q.rest, ('0x' || substr(md5('block0:' || passes || ':' || k), 1, 15))::BIGINT % b AS block,
+        ('0x' || substr(md5('row0:' || passes || ':' || k), 1, 15))::BIGINT AS o
+    FROM d JOIN q USING (g)
+), c AS (
+    SELECT g, block, rest, n, sum(n) OVER (PARTITION BY g ORDER BY block) AS upto
+    FROM (SELECT g, block, rest, sum(n) AS n FROM x GROUP BY ALL)
+), edge AS (
+    SELECT g, block AS edge, rest - upto + n AS space
+    FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY block) AS r FROM c WHERE upto > rest) WHERE r = 1
+), u AS (
+    SELECT k, sum(n) OVER (PARTITION BY g ORDER BY o, k ROWS UNBOUNDED PRECEDING) AS upto, space
+    FROM (SELECT g, k, o, space, sum(n) AS n FROM x JOIN edge USING (g) WHERE block = edge GROUP BY ALL)
+), f AS (
+    SELECT x.*, coalesce(block < edge OR (block = edge AND k IN (SELECT k FROM u WHERE upto <= space)), false) AS also
+    FROM x LEFT JOIN edge USING (g)
+), y AS (SELECT *, unnest(range(0, passes + also::BIGINT)) AS epoch FROM f
+)
+SELECT doc_id, source, n AS n_tokens, epoch::INTEGER AS epoch, new_block AS block,
+    ('0x' || substr(md5('order0:' || epoch || ':' || g || ':' || new_block), 1, 15))::BIGINT AS block_order,
+    ('0x' || substr(md5('row0:' || epoch || ':' || k), 1, 15))::BIGINT AS row_order
+FROM (SELECT *, ('0x' || substr(md5('block0:' || epoch || ':' || k), 1, 15))::BIGINT % b AS new_block FROM y)
+"""
