@@ -8,12 +8,14 @@ from cohortlens.llm import sql
 from cohortlens.llm.common import table
 from cohortlens.llm.decontaminate import decontaminate
 from cohortlens.llm.divergence import quality_rules
+from cohortlens.llm.language_fusion import identify
 from cohortlens.llm.mixing import mix
 from cohortlens.llm.near_dedup import near_duplicates
 from cohortlens.llm.pii import find_personal_data
 from cohortlens.llm.quality_crf import classify
 from cohortlens.llm.secrets import scan_secrets
 from cohortlens.llm.token_output import read_digests, write_ids
+from cohortlens.llm.warc_fixity import audit, worn_replica
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +38,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return audit(pages, worn_replica(pages))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write_ids(table(spark, sf_dir, "documents")))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), budget_share=1.0, target_entropy=0.95, max_epochs=4.0)
 
@@ -50,7 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_near_dedup, op2_secrets, op3_quality_rules, op4_quality_classifier, op5_decontamination,
-    op7_token_output, op9_mixing, op10_pii,
+    op6_warc_fixity, op7_token_output, op8_language, op9_mixing, op10_pii,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op1_near_dedup": sql.OP1, "op5_decontamination": sql.OP5, "op9_mixing": sql.OP9}
+SQL = {"op1_near_dedup": sql.OP1, "op5_decontamination": sql.OP5, "op6_warc_fixity": sql.OP6, "op9_mixing": sql.OP9}

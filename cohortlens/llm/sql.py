@@ -93,3 +93,22 @@ SELECT doc_id, source, n AS n_tokens, epoch::INTEGER AS epoch, new_block AS bloc
     ('0x' || substr(md5('row0:' || epoch || ':' || k), 1, 15))::BIGINT AS row_order
 FROM (SELECT *, ('0x' || substr(md5('block0:' || epoch || ':' || k), 1, 15))::BIGINT % b AS new_block FROM y)
 """
+
+_RECORD = r"""concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+        'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+        'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10))"""
+OP6 = f"""
+WITH r AS (SELECT page_id, {_RECORD} AS rec FROM pages
+), o AS (
+    SELECT page_id, sha256(rec) AS sha256, strlen(rec)::BIGINT AS n_bytes,
+        row_number() OVER (ORDER BY page_id) - 1 AS position,
+        (sum(strlen(rec)) OVER (ORDER BY page_id) - strlen(rec))::BIGINT AS "offset" FROM r
+), w AS (
+    SELECT CASE WHEN page_id % 211 = 3 THEN -page_id ELSE page_id END AS page_id, url,
+        CASE WHEN page_id % 97 = 5 THEN html || '#' WHEN page_id % 101 = 11 THEN html[1:40] ELSE html END AS html
+    FROM pages WHERE page_id % 103 != 7
+), t AS (SELECT page_id AS id, sha256({_RECORD}) AS found FROM w)
+SELECT coalesce(page_id, id) AS page_id, 0::BIGINT AS copy, position, "offset", n_bytes, sha256, found AS replica_sha256,
+    CASE WHEN page_id IS NULL THEN 'strange' WHEN id IS NULL THEN 'missing' WHEN found = sha256 THEN 'intact' ELSE 'altered' END AS status
+FROM o FULL JOIN t ON page_id = id
+"""
