@@ -89,7 +89,7 @@ def plan(rows: DataFrame, budget_share: float, target_entropy: float | None, max
     last = rows.join(small(plans, BROADCAST_SOURCES), "mix_group").withColumn("block", _block(F.col("passes"), seed))
     sums = last.groupBy("mix_group", "rest", "block").agg(F.sum("n_tokens").alias("tokens"))
     upto = F.sum("tokens").over(Window.partitionBy("mix_group").orderBy("block"))
-    cut = sums.withColumn("upto", upto).filter("upto > rest").groupBy("mix_group").agg(
+    cut = sums.withColumn("upto", upto).filter("rest > 0 AND upto > rest").groupBy("mix_group").agg(
         F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("e")
     )
     plans = stored(plans.join(cut, "mix_group", "left").select(*plans.columns, F.col("e.block").alias("edge"), F.col("e.left").alias("left")), "plans")

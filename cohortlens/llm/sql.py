@@ -79,7 +79,7 @@ WITH d AS (
     FROM (SELECT g, block, rest, sum(n) AS n FROM x GROUP BY ALL)
 ), edge AS (
     SELECT g, block AS edge, rest - upto + n AS space
-    FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY block) AS r FROM c WHERE upto > rest) WHERE r = 1
+    FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY block) AS r FROM c WHERE rest > 0 AND upto > rest) WHERE r = 1
 ), u AS (
     SELECT k, sum(n) OVER (PARTITION BY g ORDER BY o, k ROWS UNBOUNDED PRECEDING) AS upto, space
     FROM (SELECT g, k, o, space, sum(n) AS n FROM x JOIN edge USING (g) WHERE block = edge GROUP BY ALL)
