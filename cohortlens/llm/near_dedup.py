@@ -154,8 +154,8 @@ def _close(a: str, b: str, threshold: float, samples: int, bits: int):
 def confirm(docs: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     pairs = stored(pairs, "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _full_sets(docs, ids, width)
+    ends = [pairs.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
+    sets = _full_sets(docs, stored(ends[0].union(ends[1]).distinct(), "ids"), width)
     one, two = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - shared
@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
         F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")
     ).filter("parts > 1")
     open_rows = stored(placed.join(mixed.select("bucket", "main"), "bucket"), "open")
-    sets = stored(_full_sets(docs, open_rows.select("doc_id").distinct(), width, bands, rows), "sets")
+    in_question = stored(open_rows.select("doc_id").distinct(), "ids")
+    sets = stored(_full_sets(docs, in_question, width, bands, rows), "sets")
     open_rows = stored(open_rows.join(with_lone(sets), "doc_id"), "open")
     p = open_rows.filter("component != main").alias("p")
     q = open_rows.alias("q")
