@@ -294,7 +294,7 @@ def monitor_monthly(spark, sf_dir):
 
 
 def registry_latest(spark, sf_dir):
-    """One registry entry per order priority and month, then the latest one of them."""
+    """Two registry entries, one per stage, for each order priority and month, then the latest version."""
     month = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM")
     entries = table(spark, sf_dir, "orders").groupBy("o_orderpriority", month.alias("month")).agg(
         F.max("o_orderdate").alias("created_at"),
@@ -305,7 +305,7 @@ def registry_latest(spark, sf_dir):
         "created_at",
         "CASE WHEN o_orderpriority < '3' THEN 'improved' ELSE 'base' END AS channel",
         "sha2(o_orderpriority, 256) AS dataset_hash",
-        "'B' AS stage",
+        "explode(array('A', 'B')) AS stage",
         "roc_auc",
         "CAST(NULL AS DOUBLE) AS pr_auc",
         "0.5D AS threshold",

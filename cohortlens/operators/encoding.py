@@ -13,10 +13,6 @@ from cohortlens.operators import ranking
 from cohortlens.operators.lookup import attach
 from cohortlens.session import materialize
 
-# --- fixed values: text taken as binary in a model matrix ------------------
-MATRIX_CODES = {"Y": 1, "N": 0, "YES": 1, "NO": 0, "TRUE": 1, "FALSE": 0}
-
-
 def double_literal(value: float) -> str:
     return f"{float(value)!r}D"
 
@@ -32,7 +28,7 @@ def model_matrix(
     have = [c for c in features if c in df.columns]
     wanted = df.filter(F.col(label).isNotNull()).select(key, label, *have)
     changed = {
-        c: f"double(coalesce({clean.coded(c, MATRIX_CODES)}, try_cast(`{c}` AS DOUBLE)))"
+        c: f"double(coalesce({clean.coded(c, schema.BINARY_CODES)}, try_cast(`{c}` AS DOUBLE)))"
         if c in text
         else f"double(`{c}`)"
         for c in have
@@ -73,9 +69,12 @@ def median_impute(
 def mode_impute(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """NULL to the most frequent code, the smaller one on a tie. For coded columns."""
     source = df if fit_on is None else fit_on
-    row = source.agg(*[F.mode(c, True).alias(c) for c in columns]).first()
-    known = {c: row[c] for c in columns if row[c] is not None}
-    return with_exprs(df, {c: f"coalesce(`{c}`, {v})" for c, v in known.items()})
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    counts = source.select(F.inline(pairs)).filter("value IS NOT NULL").groupBy("feature", "value").count()
+    best = counts.groupBy("feature").agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("value"))
+    kinds = dict(df.dtypes)
+    known = {r["feature"]: r["value"] for r in best.collect()}  # one row per column
+    return with_exprs(df, {c: f"coalesce(`{c}`, CAST({double_literal(v)} AS {kinds[c]}))" for c, v in known.items()})
 
 
 def scale_standard(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -124,7 +123,7 @@ def target_encode(
     overall = counts.agg(F.try_divide(F.sum("hits"), F.sum("n"))).scalar()
     value = (F.col("hits") + F.lit(smoothing) * overall) / (F.col("n") + F.lit(smoothing))
     table = counts.filter(F.col(category).isNotNull()).select(category, "n", value.alias("encoded"))
-    joined = attach(df, table, category, weight="n", **limits)
+    joined = attach(df, table, category, **limits)
     return joined.withColumn(f"{category}_encoded", F.coalesce("encoded", overall)).drop("n", "encoded")
 
 

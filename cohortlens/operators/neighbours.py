@@ -230,10 +230,10 @@ def knn_impute(
     means = filled.groupBy("qid").agg(
         *[F.avg(F.when(F.col("target") == j, F.col("value"))).alias(f"fill_{c}") for j, c in enumerate(columns)]
     )
-    # Copies beyond the k kept keys are counted for the salted join back.
-    counts = _keyed(data, columns).groupBy("vector").agg(F.count(F.lit(1)).alias("copies"))
     table = _keyed(queries, columns).select("qid", "vector").join(means, "qid").drop("qid")
-    joined = attach(_keyed(data, columns), table.join(counts, "vector"), "vector", weight="copies")
+    # Only rows with holes look anything up; the others stay where they are.
+    joined = attach(_keyed(data.filter(holes), columns), table, "vector")
+    joined = joined.unionByName(data.filter(f"NOT ({holes})"), allowMissingColumns=True)
     return with_exprs(
         joined, {c: f"coalesce(`{c}`, `fill_{c}`, {float(found[c] or 0.0)!r}D)" for c in columns}
     ).select(*df.columns)
@@ -248,8 +248,7 @@ def row_neighbours(
     listed = found.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("distance", F.col("neighbour").alias("id")))).alias("near")
     )
-    counts = _keyed(df, columns).groupBy("vector").agg(F.count(F.lit(1)).alias("copies"))
     table = _keyed(points, columns).select("qid", "vector").join(listed, "qid").drop("qid")
-    joined = attach(_keyed(df, columns), table.join(counts, "vector"), "vector", weight="copies")
+    joined = attach(_keyed(df, columns), table, "vector")
     others = F.filter("near", lambda n: n["id"] != F.col(key))
     return joined.withColumn("neighbours", F.slice(others, 1, k)).select(*df.columns, "neighbours")

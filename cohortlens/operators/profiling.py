@@ -94,14 +94,18 @@ def correlation_row(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 
 def label_correlations(
-    df: DataFrame, columns: list[str], label: str = schema.LABEL, k: int = 10
+    df: DataFrame, columns: list[str], label: str = schema.LABEL
 ) -> DataFrame:
-    """Top-k columns by absolute correlation after median fill, with the sign told apart."""
+    """Every column's correlation after median fill, its sign, and its rank by strength.
+
+    One row per column, hence the window over all of them.
+    """
     labelled = df.filter(F.col(label).isNotNull())
     found = correlation_row(encoding.median_impute(labelled, columns), columns, label)
     sign = F.when(F.col("correlation") > 0, "positive").when(F.col("correlation") < 0, "negative")
     ranked = found.withColumns({"strength": F.abs("correlation"), "sign": sign.otherwise("none")})
-    return ranked.orderBy(F.desc("strength"), "feature").limit(k)
+    place = F.row_number().over(Window.orderBy(F.desc("strength"), "feature"))
+    return ranked.withColumn("rank", place)
 
 
 def correlation_top(df: DataFrame, columns: list[str], label: str = schema.LABEL, k: int = 15) -> DataFrame:

@@ -44,12 +44,20 @@ def missing_top(df: DataFrame, columns: list[str] | None = None, k: int = 10) ->
 
 
 def out_of_range_counts(df: DataFrame, rules=tuple(schema.RANGE_RULES)) -> DataFrame:
-    """Rows whose flag is 0, that is outside or missing; the missing ones also apart."""
+    """Rows whose flag is 0, that is outside or missing, and how many rows have no value now.
+
+    A value outside its range was taken out, so ``n_missing`` holds both kinds.
+    """
     present = [c for c in rules if f"{c}_in_range" in df.columns]
-    flags = df.agg(
-        *[F.coalesce(F.sum(1 - F.col(f"{c}_in_range")), F.lit(0)).alias(c) for c in present]
-    )
-    return long_form(flags, present, "column_name", "out_of_range")
+    pairs = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.coalesce(F.sum(1 - F.col(f"{c}_in_range")), F.lit(0)).alias("out_of_range"),
+            F.count(F.when(F.col(c).isNull(), 1)).alias("n_missing"),
+        )
+        for c in present
+    ]
+    return df.agg(F.array(*pairs).alias("counts")).select(F.inline("counts"))
 
 
 def validity_histogram(
@@ -94,4 +102,7 @@ def full_report(df: DataFrame, label: str = schema.LABEL) -> DataFrame:
         F.create_map(
             *[part for c in rules for part in (F.lit(c), F.sum(1 - F.col(f"{c}_in_range")))]
         ).alias("out_of_range_counts_by_column"),
+        F.create_map(
+            *[part for c in rules for part in (F.lit(c), F.count(F.when(F.col(c).isNull(), 1)))]
+        ).alias("missing_counts_by_column"),
     )

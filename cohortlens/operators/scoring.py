@@ -30,29 +30,10 @@ NEXT_STEPS = [
      ["eye_examination", "rest_eyes", "visit_soon_if_severe"], "visit_recommended", 0, "never"),
 ]
 EXTRA_ACTION = "answer_symptom_questions"
-MESSAGES = {
-    "low_risk_keep_watching": "Low risk: carry on and keep an eye on it",
-    "medium_risk_improve_habits": "Medium risk: habits could be better",
-    "high_risk_check_further": "High risk: worth a closer look",
-    "low_triage_keep_watching": "Low triage level: watch and adjust",
-    "medium_triage_watch_closely": "Medium triage level: watch closely",
-    "high_triage_consider_visit": "High triage level: think about seeing a doctor",
-    "rest_eyes": "Give the eyes regular breaks from the screen.",
-    "regular_sleep": "Keep regular and sufficient hours of sleep.",
-    "visit_if_symptoms_last": "See a doctor if complaints last or disturb daily life.",
-    "less_screen_time": "Cut down long stretches in front of a screen.",
-    "better_sleep": "Put enough and good sleep first.",
-    "answer_symptom_questions": "Answer the symptom questions for a finer result.",
-    "no_screen_before_bed": "Until then keep screens away before going to bed.",
-    "watch_symptoms_days": "Watch the complaints over some days.",
-    "watch_symptoms_weeks": "Watch the complaints over one or two weeks.",
-    "visit_if_no_better": "Without improvement, consider a specialist.",
-    "eye_examination": "If complaints last, have the eyes examined.",
-    "visit_soon_if_severe": "With severe signs, go soon.",
-}
+# What a response must carry besides its score: codes, worded by whoever shows them.
 DISCLAIMERS = {
-    "A": ["supports_screening_not_diagnosis", "see_doctor_if_lasting", "more_answers_raise_certainty"],
-    "B": ["supports_screening_not_diagnosis", "see_doctor_if_lasting", "triage_is_not_diagnosis"],
+    "A": ["diagnosis_notice", "care_notice", "screening_notice"],
+    "B": ["diagnosis_notice", "care_notice", "triage_notice"],
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens import schema
-from cohortlens.operators.lookup import fits
+from cohortlens.operators.lookup import bounded
 from cohortlens.session import materialize
 
 # --- fixed values: the split shares in use ---------------------------------
@@ -15,8 +15,7 @@ SHARES = {
     "64/16/20": {"test": 0.20, "val": 0.16},
     "70/15/15": {"test": 0.15, "val": 0.15},
 }
-PREFIX = 4  # hex digits: 65,536 buckets per class
-MAX_CLASSES = 1000
+PREFIXES = (4, 8, 12)  # hex digits of the histograms: 65,536 times finer each
 
 
 def hashed(df: DataFrame, key: str, seed: int = schema.SEED) -> DataFrame:
@@ -24,39 +23,37 @@ def hashed(df: DataFrame, key: str, seed: int = schema.SEED) -> DataFrame:
     return df.withColumn("row_hash", F.md5(text))
 
 
+def _histogram_step(rows: DataFrame, wanted: DataFrame, digits: int) -> DataFrame:
+    """(class, name, prefix, place): each boundary's bucket ``digits`` long and its place inside.
+
+    ``wanted`` has the same for the bucket before, which may be the whole class.
+    """
+    inside = rows.join(bounded(wanted), (rows["class"] == wanted["in_class"]) & rows["row_hash"].startswith(wanted["prefix"]))
+    counted = inside.groupBy("class", "name", "place", F.substring("row_hash", 1, digits).alias("bucket"))
+    counted = materialize(counted.agg(F.count(F.lit(1)).alias("n")))
+    running = Window.partitionBy("class", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("before", F.sum("n").over(running) - F.col("n"))
+    hit = placed.filter((F.col("place") > F.col("before")) & (F.col("place") <= F.col("before") + F.col("n")))
+    return hit.select(F.col("class").alias("in_class"), "name", F.col("bucket").alias("prefix"), (F.col("place") - F.col("before")).alias("place"))
+
+
 def _cut_hashes(df: DataFrame, label: str, shares: dict[str, float]) -> DataFrame:
     """Per class and share boundary the hash of the last row inside.
 
-    A histogram over hash prefixes finds the bucket of each boundary; only the rows of
-    those buckets (1/65,536 of a class each) are then put in order.
+    Histograms over ever longer hash prefixes narrow each boundary down to a bucket of 1/16**12 of a class;
+    only the rows of that bucket, rarely more than one, are put in order.
     """
-    counted = df.groupBy(label, F.substring("row_hash", 1, PREFIX).alias("bucket"))
-    buckets = materialize(counted.agg(F.count(F.lit(1)).alias("n")))
-    if not fits(buckets.select(label).distinct(), MAX_CLASSES):
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    within = Window.partitionBy(label)
-    running = within.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = buckets.select(
-        label,
-        "bucket",
-        (F.sum("n").over(running) - F.col("n")).alias("before"),
-        "n",
-        F.sum("n").over(within).alias("total"),
-    )
+    rows = df.select(F.col(label).alias("class"), "row_hash")
+    totals = rows.groupBy(F.col("class").alias("in_class")).agg(F.count(F.lit(1)).alias("total"))
     bounds, share = [], 0.0
     for name, part in shares.items():
         share += part
         quota = F.floor(F.lit(round(share, 12)) * F.col("total") + 0.5)
-        bounds.append(F.struct(F.lit(name).alias("name"), quota.alias("rank")))
-    wanted = totals.select("*", F.explode(F.array(*bounds)).alias("cut")).filter(
-        (F.col("cut.rank") > F.col("before")) & (F.col("cut.rank") <= F.col("before") + F.col("n"))
-    )
-    wanted = wanted.select(
-        F.col(label).alias("class"), "bucket", "cut.name", (F.col("cut.rank") - F.col("before")).alias("place")
-    )
-    # One row per class and boundary; the number of classes was checked above.
-    near = df.select(F.col(label).alias("class"), "row_hash", F.substring("row_hash", 1, PREFIX).alias("bucket"))
-    near = near.join(F.broadcast(wanted), ["class", "bucket"])
+        bounds.append(F.struct(F.lit(name).alias("name"), F.lit("").alias("prefix"), quota.alias("place")))
+    wanted = materialize(totals.select("in_class", F.inline(F.array(*bounds))).filter("place > 0"))
+    for digits in PREFIXES:
+        wanted = materialize(_histogram_step(rows, wanted, digits))
+    near = rows.join(bounded(wanted), (rows["class"] == wanted["in_class"]) & rows["row_hash"].startswith(wanted["prefix"]))
     order = Window.partitionBy("class", "name").orderBy("row_hash")
     hit = near.withColumn("at", F.row_number().over(order)).filter(F.col("at") == F.col("place"))
     return hit.groupBy("class").agg(
@@ -75,14 +72,15 @@ def stratified_split(
     """Add ``split``: per class exactly the rounded share of rows, by order of the id hash.
 
     ``key`` must be unique. Rows without a label are left out. The rows themselves are
-    never shuffled; the cuts (one row per class) come back by broadcast.
+    not shuffled as long as the cuts, one row per class, are few enough to be broadcast.
     """
     labelled = df.filter(F.col(label).isNotNull())
     if not shares:
         return labelled.withColumn("split", F.lit(rest))
     rows = hashed(labelled, key, seed)
     cuts = _cut_hashes(rows.select(label, "row_hash"), label, shares)
-    joined = rows.join(F.broadcast(cuts), rows[label] == cuts["class"], "left")
+    cuts = materialize(cuts)
+    joined = rows.join(bounded(cuts), rows[label] == cuts["class"], "left")
     split = None
     for name in shares:
         inside = F.col("row_hash") <= F.col(f"cut_{name}")

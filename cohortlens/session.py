@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import zipfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,7 +68,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         current = tempfile.mkdtemp(prefix="cohortlens-")
     if context.getCheckpointDir() is None:
@@ -73,7 +76,36 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet in the shared folder and read on from there, column by column.
+
+    ``release`` removes what was written; what is still there when the driver ends is removed then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/step-{uuid4().hex}"
+    df.write.parquet(path)
+    application = spark.sparkContext.applicationId
+    if application not in _written:
+        atexit.register(_release_quietly, spark)
+    _written.setdefault(application, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, *frames: DataFrame) -> int:
+    """Delete what ``materialize`` wrote for ``frames``, or in this application; they are void then."""
+    written = _written.get(spark.sparkContext.applicationId, [])
+    files = [name for frame in frames for name in frame.inputFiles()]
+    paths = [p for p in written if not frames or any(p.rsplit("/", 1)[1] in name for name in files)]
+    for path in paths:
+        written.remove(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        release(spark)

@@ -29,29 +29,25 @@ def latest(
     preferred: tuple[str, str] = ("improved", "base"),
     fallback: str = schema.FALLBACK_VERSION,
     version: str = "model_version",
+    stage: str = "stage",
 ) -> DataFrame:
-    """One row: the newest entry of the preferred channel, else of the other, else a fallback.
+    """The newest version of the preferred channel, else of the other, with a row for each of its stages.
 
-    ``max_by`` keeps one entry per task before the exchange, however long the registry is.
+    Without any entry: one row with the fallback version and no stage. Only one candidate per channel leaves
+    a task, however long the registry is; the stages then come from that version's entries.
     """
-    fields = [c for c in entries.columns if c != channel]
-    newest = [
-        F.max_by(
-            F.struct(*fields), F.when(F.col(channel) == name, F.struct(by, version))
-        ).alias(name)
-        for name in preferred
-    ]
-    pick = F.coalesce(
-        *[F.when(F.col(f"seen_{name}"), F.col(name)) for name in preferred]
-    )
-    seen = [F.coalesce(F.bool_or(F.col(channel) == name), F.lit(False)).alias(f"seen_{name}") for name in preferred]
-    one = entries.agg(*newest, *seen).select(pick.alias("entry"))
-    return one.select(
-        *[
-            F.coalesce(F.col(f"entry.{c}"), F.lit(fallback)).alias(c)
-            if c == version
-            else F.col(f"entry.{c}").alias(c)
-            for c in fields
-        ],
-        F.when(F.col("entry").isNull(), "fallback").otherwise("loaded").alias("status"),
+    newest = [F.max(F.when(F.col(channel) == name, F.struct(by, version))).alias(name) for name in preferred]
+    picks = [F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("c"), F.col(f"{name}.{version}").alias("v"))) for name in preferred]
+    pick = entries.agg(*newest).select(F.coalesce(*picks).alias("pick"))  # one row
+    fields = [c for c in entries.columns if c not in (channel, version, stage)]
+    parts = entries.groupBy(channel, version, stage) if stage in entries.columns else entries.groupBy(channel, version)
+    stages = parts.agg(F.max_by(F.struct(*fields), F.col(by)).alias("entry"))
+    same = (stages[channel] == F.col("pick.c")) & (stages[version] == F.col("pick.v"))
+    found = stages.join(F.broadcast(pick), same, "right")
+    named = [F.col(stage)] if stage in entries.columns else []
+    return found.select(
+        F.coalesce("pick.v", F.lit(fallback)).alias(version),
+        *named,
+        *[F.col(f"entry.{c}").alias(c) for c in fields],
+        F.when(F.col("pick").isNull(), "fallback").otherwise("loaded").alias("status"),
     )

@@ -365,8 +365,8 @@ ORACLES = {
     "feature_stats": f"{STD} " + stats("std", NUMERIC),
     "feature_stats_lineitem": stats("lineitem", ["l_quantity", "l_extendedprice", "l_discount"], 4),
     "label_correlations": f"{STD}{FILLED}, c AS (" + union([corr(c, Y, "filled", c) for c in STAGE_B])
-    + ") SELECT feature, correlation, abs(correlation) AS strength, CASE WHEN correlation > 0 THEN 'positive' WHEN correlation < 0 THEN 'negative' ELSE 'none' END AS sign "
-    "FROM c ORDER BY abs(correlation) DESC, feature LIMIT 10",
+    + ") SELECT feature, correlation, abs(correlation) AS strength, CASE WHEN correlation > 0 THEN 'positive' WHEN correlation < 0 THEN 'negative' ELSE 'none' END AS sign, "
+    "CAST(row_number() OVER (ORDER BY abs(correlation) DESC, feature) AS INTEGER) AS rank FROM c",
     "correlation_top": f"{STD}, c AS (" + union([corr(c, Y, "std", c) for c in [*STAGE_B, "symptom_score", "validity_ratio"]])
     + ") SELECT feature, abs(correlation) AS strength FROM c ORDER BY 2 DESC, 1 LIMIT 15",
     "correlation_lineitem": "WITH l AS (SELECT *, 1 AS one FROM lineitem) "
@@ -456,6 +456,6 @@ ORACLES = {
     "round(AVG(value), 6) + 0.0 AS mean_value, round(AVG(CASE WHEN value > 20 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS high_rate FROM events GROUP BY 1, 2",
     "registry_latest": "WITH e AS (SELECT o_orderpriority || '/' || strftime(o_orderdate, '%Y-%m') AS model_version, MAX(o_orderdate) AS created_at, o_orderpriority, "
     "round(AVG(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS roc_auc FROM orders GROUP BY 1, 3) "
-    "SELECT model_version, created_at, sha256(o_orderpriority) AS dataset_hash, 'B' AS stage, roc_auc, 0.5::DOUBLE AS threshold, 'loaded' AS status FROM e "
-    "WHERE o_orderpriority < '3' ORDER BY created_at DESC, model_version DESC LIMIT 1",
+    "SELECT model_version, created_at, sha256(o_orderpriority) AS dataset_hash, stage, roc_auc, 0.5::DOUBLE AS threshold, 'loaded' AS status FROM ("
+    "SELECT * FROM e WHERE o_orderpriority < '3' ORDER BY created_at DESC, model_version DESC LIMIT 1), (VALUES ('A'), ('B')) s(stage)",
 }

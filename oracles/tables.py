@@ -124,7 +124,7 @@ ORACLES = {
     "missing_rates": on_std(MISSING_UNION),
     "missing_top10": on_std(f"SELECT * FROM ({MISSING_UNION}) ORDER BY missing_rate DESC, column_name LIMIT 10"),
     "out_of_range_counts": on_std(
-        union([f"SELECT '{c}' AS column_name, CAST(SUM(1 - {c}_in_range) AS BIGINT) AS out_of_range FROM std" for c in RANGES])
+        union([f"SELECT '{c}' AS column_name, CAST(SUM(1 - {c}_in_range) AS BIGINT) AS out_of_range, COUNT(*) - COUNT({c}) AS n_missing FROM std" for c in RANGES])
     ),
     "validity_histogram": on_std(
         union([f"SELECT '{b}' AS bin, COUNT(*) AS n FROM std WHERE validity_ratio >= {lo} AND validity_ratio < {hi}" for b, lo, hi in BINS])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 import statistics
@@ -7,7 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens import schema
+from cohortlens import schema, session
 from cohortlens.functions.features import add_features, feature_names, feature_set
 from cohortlens.models import ensembles, members
 from cohortlens.operators import encoding, metrics, monitoring, profiling, ranking, splitting
@@ -137,8 +138,8 @@ def test_hash_split_is_a_partition(spark):
 def test_attach_paths_agree(spark):
     rows = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 0, id % 500) AS k")
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("v")).filter("k % 7 <> 1")
-    small = attach(rows, table, "k", "n")
-    salted = attach(rows, table, "k", "n", broadcast_rows=10, salts=4)
+    small = attach(rows, table, "k")
+    salted = attach(rows, table, "k", broadcast_rows=10, salts=4)
     plain = attach(rows, table, "k", broadcast_rows=10)
     want = sorted(map(str, small.select("id", "k", "v").collect()))
     assert len(want) == 3000
@@ -146,6 +147,35 @@ def test_attach_paths_agree(spark):
         assert sorted(map(str, other.select("id", "k", "v").collect())) == want
 
 
+def test_attach_spreads_null_and_unseen_keys(spark):
+    """Half of the rows have no key and a quarter one that the table lacks; no join task gets a hot share."""
+    rows = spark.range(40_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN NULL WHEN id % 4 = 1 THEN -1 ELSE id % 3000 END AS k")
+    table = spark.range(3000).selectExpr("id AS k", "id * 2 AS v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = attach(rows, table, "k", broadcast_rows=10)
+        assert joined.count() == 40_000 and joined.filter("v IS NOT NULL").count() == 10_000
+        keyed = joined.filter("k IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()
+        sizes = [r["count"] for r in keyed]
+        assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_materialized_tables_are_removed(spark):
+    kept = session.materialize(spark.range(10).selectExpr("id", "id * 2 AS twice"))
+    folder = os.path.dirname(kept.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder) and "ReadSchema: struct<twice:bigint>" in kept.select("twice")._jdf.queryExecution().executedPlan().toString()
+    assert session.release(spark, kept) == 1 and not os.path.exists(folder)
+    assert session.release(spark, kept) == 0
+
+
+def test_split_takes_many_classes(spark):
+    rows = spark.range(6000).selectExpr("id", "id % 2000 AS c")
+    counts = splitting.stratified_split(rows, "id", "c", {"test": 0.34}).filter("split = 'test'").groupBy("c").count()
+    assert {r["count"] for r in counts.collect()} == {1} and counts.count() == 2000
+
+
 def test_target_encoding_of_unseen_and_null(spark):
     fit = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1), (None, 1)], "c string, y int")
     new = spark.createDataFrame([("a",), ("z",), (None,)], "c string")

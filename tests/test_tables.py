@@ -9,7 +9,8 @@ from cohortlens import schema
 from cohortlens.operators import rates, serving
 from cohortlens.plans import kpi_job
 from cohortlens.plans.survey import survey
-from cohortlens.sources import files, registry
+from cohortlens.sources import audit, files, registry
+from cohortlens.streaming import jobs
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -100,6 +101,24 @@ def test_fingerprint(spark, tmp_path):
     assert files.fingerprint(spark, f"{tmp_path}/other").first()["sha256"] != first["sha256"]
 
 
+def test_registry_returns_every_stage_of_the_newest_version(spark):
+    rows = [("v1", 1, "base", "A"), ("v2", 5, "base", "A"), ("v2", 6, "base", "B"), ("v1", 2, "base", "B")]
+    df = spark.createDataFrame(rows, "model_version string, created_at int, channel string, stage string")
+    found = registry.latest(df).collect()
+    assert sorted((r["model_version"], r["stage"], r["created_at"]) for r in found) == [("v2", "A", 5), ("v2", "B", 6)]
+
+
+def test_audit_stream_keeps_late_requests(spark, tmp_path):
+    """Two runs of one checkpoint; the second batch is a day older than the first."""
+    source, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    for name, hour in (("r1", "2024-05-02 10:00:00"), ("r2", "2024-05-01 09:00:00"), ("r3", "2024-05-02 11:00:00")):
+        row = spark.sql(f"SELECT '{name}' AS request_id, timestamp_ntz'{hour}' AS timestamp, 0.5D AS risk_score")
+        row.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(row.schema).parquet(source)
+        jobs.start_audit(stream, out, state).awaitTermination()
+    assert sorted(r["request_id"] for r in audit.read(spark, out).collect()) == ["r1", "r2", "r3"]
+
+
 def test_registry_prefers_improved_then_base_then_fallback(spark):
     rows = [("v1", 1, "base"), ("v3", 3, "base"), ("i2", 2, "improved")]
     df = spark.createDataFrame(rows, "model_version string, created_at int, channel string")
