@@ -383,5 +383,8 @@ QUERIES = {
     "drift_types": drift_types,
     "monitor_monthly": monitor_monthly,
     "registry_latest": registry_latest,
+    "dataset_content": lambda s, d: files.content_fingerprint(
+        table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    ),
     "dataset_hash": lambda s, d: files.fingerprint(s, d, "orders.parquet"),
 }

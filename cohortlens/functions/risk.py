@@ -44,8 +44,8 @@ def score_b(reference_compat: bool = False) -> str:
     return f"double(least(100, {score_a()} + {SYMPTOM_POINTS} * ({symptom_count(names)})))"
 
 
-def has_symptoms() -> str:
-    return f"coalesce({', '.join(schema.REQUEST_SYMPTOMS)}) IS NOT NULL"
+def has_symptoms(prefix: str = "") -> str:
+    return f"coalesce({', '.join(prefix + c for c in schema.REQUEST_SYMPTOMS)}) IS NOT NULL"
 
 
 def level(score: str, stage: str, cuts: dict = schema.LEVEL_CUTS) -> str:

@@ -87,9 +87,11 @@ def route(df: DataFrame, model_probability: str | None = None, cuts=schema.LEVEL
     df = rule_scores(df, reference_compat)
     df = with_exprs(df, {"stage": f"CASE WHEN {risk.has_symptoms()} THEN 'B' ELSE 'A' END"})
     rule = "CASE WHEN stage = 'A' THEN score_a ELSE score_b END"
+    source = "'rule'"
     if model_probability:
         rule = f"coalesce(`{model_probability}` * 100D, {rule})"
-    df = with_exprs(df, {"risk_score": rule})
+        source = f"CASE WHEN `{model_probability}` IS NULL THEN 'rule' ELSE 'model' END"
+    df = with_exprs(df, {"risk_score": rule, "score_source": source})
     return with_exprs(
         df,
         {

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens import schema
+from cohortlens.functions import risk
 from cohortlens.functions.project import with_exprs
+from cohortlens.models import artefacts
 from cohortlens.operators import scoring
-from cohortlens.sources import audit
+from cohortlens.session import materialize
+from cohortlens.sources import audit, registry
 
 FEATURE_TO_REQUEST = {v: k for k, v in schema.REQUEST_TO_FEATURE.items()}
 # Every second record takes the screening path, which ignores symptoms.
@@ -26,14 +29,41 @@ def to_requests(df: DataFrame, key: str = "row_id") -> DataFrame:
     )
 
 
-def score_requests(df: DataFrame, **options) -> DataFrame:
+def registered_models(spark: SparkSession, registry_path: str) -> dict:
+    """(model, fitted) per stage of the newest registered version; stages without an artefact are left out."""
+    newest = registry.latest(registry.read(spark, registry_path)).collect()  # one row per stage
+    return {r["stage"]: artefacts.load(spark, r["artifact_path"]) for r in newest if r["artifact_path"]}
+
+
+def with_probability(requests: DataFrame, models: dict) -> DataFrame:
+    """Add ``model_probability``: that of the request's stage, NULL where the stage has no model.
+
+    One projection over the requests; they are not joined to anything.
+    """
+    whole = requests.selectExpr("struct(*) AS request", "*")
+    rows = scoring.to_features(whole, fill=False)
+    for stage, (model, fitted) in sorted(models.items()):
+        rows = artefacts.probability(rows, model, fitted, f"probability_{stage}")
+    stage = f"CASE WHEN {risk.has_symptoms('request.')} THEN 'B' ELSE 'A' END"
+    parts = " ".join(f"WHEN '{s}' THEN probability_{s}" for s in sorted(models))
+    chosen = f"CASE {stage} {parts} END" if models else "CAST(NULL AS DOUBLE)"
+    return rows.selectExpr("request.*", f"{chosen} AS model_probability")
+
+
+def score_requests(df: DataFrame, models: dict | None = None, **options) -> DataFrame:
+    """Requests scored by their stage's model where there is one, else by rule."""
     routed = scoring.blank_symptoms(to_requests(df), SCREENING_PATH)
+    if models:
+        routed, options = with_probability(routed, models), {**options, "model_probability": "model_probability"}
     return scoring.assess(routed, **options)
 
 
-def run(df: DataFrame, audit_path: str, **options) -> DataFrame:
-    """Score, append the audit rows, return the responses."""
-    response = scoring.respond(score_requests(df, **options))
+def run(df: DataFrame, audit_path: str, registry_path: str | None = None, **options) -> DataFrame:
+    """Score, write the responses once, append the audit rows, return the stored responses."""
+    models = registered_models(df.sparkSession, registry_path) if registry_path else {}
+    versions = {fitted.version for _, fitted in models.values()}
+    version = {"model_version": versions.pop()} if versions else {}
+    response = materialize(scoring.respond(score_requests(df, models, **options), **version))
     audit.append(scoring.audit_rows(response), audit_path)
     return response
 

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import schema
 from cohortlens.functions.features import add_features, feature_names
-from cohortlens.models import members
-from cohortlens.operators import encoding, metrics, profiling, splitting
+from cohortlens.models import artefacts, members
+from cohortlens.operators import encoding, metrics, profiling, ranking, splitting
 from cohortlens.session import materialize
 from cohortlens.sources import files, registry
 
 LABEL = schema.LABEL
 
 
-def prepare(
+def prepare_fitted(
     df: DataFrame, stage: str, feature_set: str | None = "base", shares: dict = splitting.SHARES["60/20/20"],
     fit_on: str = "train",
-) -> tuple[DataFrame, list[str]]:
-    """Split, imputed and engineered rows, written once, and the feature names.
+) -> tuple[DataFrame, list[str], dict[str, float]]:
+    """Split, imputed and engineered rows, written once, the feature names and the medians used.
 
     Medians are taken from the training rows, or from all rows with ``fit_on='all'``.
     """
@@ -28,7 +30,8 @@ def prepare(
     matrix = encoding.model_matrix(df, base)
     split = splitting.stratified_split(matrix, "row_id", LABEL, shares)
     source = split.filter(F.col("split") == "train") if fit_on == "train" else split
-    filled = encoding.median_impute(split, base, fit_on=source)
+    medians = ranking.medians(source, base)
+    filled = encoding.fill(split, medians)
     names = list(base)
     if feature_set:
         made = feature_names(filled, feature_set, stage)
@@ -36,7 +39,12 @@ def prepare(
         names += [c for c in made if c not in names]
     encoding.check_features(names, stage)
     rows = filled.select("row_id", LABEL, "split", *[F.col(c).cast("double").alias(c) for c in names])
-    return materialize(rows), names
+    return materialize(rows), names, medians
+
+
+def prepare(df: DataFrame, stage: str, *args, **options) -> tuple[DataFrame, list[str]]:
+    """Split, imputed and engineered rows, written once, and the feature names."""
+    return prepare_fitted(df, stage, *args, **options)[:2]
 
 
 def ready(df: DataFrame, names: list[str]) -> DataFrame:
@@ -61,10 +69,14 @@ def choose_threshold(scored: DataFrame, stage: str, score: str) -> float:
 
 def train_stage(
     df: DataFrame, stage: str, feature_set: str | None = "base", registry_path: str | None = None,
-    model_path: str | None = None, version: str = "v1", channel: str = "base", **params,
+    model_path: str | None = None, version: str = "v1", channel: str = "base", dataset_hash: str | None = None,
+    report_path: str | None = None, **params,
 ) -> tuple[Model, DataFrame]:
-    """Fit boosted trees, choose the threshold, return the model and metrics per split."""
-    rows, names = prepare(df, stage, feature_set)
+    """Fit boosted trees, choose the threshold, return the model and metrics per split.
+
+    ``model_path`` gets the artefact: model, medians, feature list and threshold together.
+    """
+    rows, names, medians = prepare_fitted(df, stage, feature_set)
     data = ready(rows, names)
     fitting = data.filter(F.col("split") != "test")
     model = members.gbt(LABEL, "weight", "is_val", **params).fit(fitting)
@@ -73,17 +85,38 @@ def train_stage(
     report = metrics.binary_metrics(scored, "probability_1", LABEL, threshold, ("split",))
     report = report.selectExpr(f"'{stage}' AS stage", f"{threshold!r}D AS threshold", "*")
     if model_path:
-        model.write().overwrite().save(model_path)
+        inputs = encoding.stage_features(df, stage)
+        fitted = artefacts.Fitted(stage, version, inputs, medians, feature_set, names, threshold)
+        artefacts.save(df.sparkSession, model_path, model, fitted)
+    if report_path:
+        files.write_json(report, report_path)
     if registry_path:
         entry = report.filter(F.col("split") == "test").selectExpr(
             f"'{version}' AS model_version", "current_timestamp()::timestamp_ntz AS created_at",
-            f"'{channel}' AS channel", "CAST(NULL AS STRING) AS dataset_hash", "stage", "roc_auc",
-            "pr_auc", "threshold", f"'{model_path or ''}' AS artifact_path", "'' AS report_path",
+            f"'{channel}' AS channel", f"nullif('{dataset_hash or ''}', '') AS dataset_hash", "stage", "roc_auc",
+            "pr_auc", "threshold", f"nullif('{model_path or ''}', '') AS artifact_path", f"nullif('{report_path or ''}', '') AS report_path",
         )
         registry.append(entry, registry_path)
     return model, report
 
 
+def train_version(
+    df: DataFrame, registry_path: str, root: str, version: str, stages: tuple[str, ...] = ("A", "B"),
+    dataset_path: str | None = None, **options,
+) -> DataFrame:
+    """Train the stages of one version, store artefacts and reports below ``root``, register both; metrics of all."""
+    spark = df.sparkSession
+    digest = files.fingerprint(spark, dataset_path).first()["sha256"] if dataset_path else None
+    reports = [
+        train_stage(
+            df, stage, registry_path=registry_path, model_path=f"{root}/{version}/{stage}", version=version,
+            dataset_hash=digest, report_path=f"{root}/{version}/report_{stage}", **options,
+        )[1]
+        for stage in stages
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
 def baselines(df: DataFrame, stage: str, forest: dict = members.BASELINE_FOREST) -> DataFrame:
     """Exact test AUC and accuracy of a forest and a scaled logistic regression on 80/20."""
     rows, names = prepare(df, stage, None, {"test": 0.20})

@@ -454,6 +454,11 @@ ORACLES = {
     "drift_types": f"{HALF} " + psi_of("event_type", "", "event_type"),
     "monitor_monthly": "SELECT date_trunc('month', ts) AS month, event_type, COUNT(*) AS n, AVG(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS missing_rate, "
     "round(AVG(value), 6) + 0.0 AS mean_value, round(AVG(CASE WHEN value > 20 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS high_rate FROM events GROUP BY 1, 2",
+    "stage_report": f"{STD} SELECT 'B' AS stage, {len(STAGE_B)}::INTEGER AS features, CAST(COUNT(CASE WHEN {Y} = 0 THEN 1 END) AS DOUBLE) / COUNT(CASE WHEN {Y} = 1 THEN 1 END) AS imbalance_ratio, "
+    f"{len(STAGE_B)}::INTEGER AS correlations, {len(STAGE_B)}::INTEGER AS importances, 2::INTEGER AS baselines FROM std",
+    "dataset_content": "SELECT COUNT(*) AS rows, CAST(SUM(('0x' || substr(md5(concat_ws('|', " + ", ".join(
+        f"coalesce('=' || {c}, '-')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    + ")), 1, 15))::BIGINT) AS VARCHAR) AS digest FROM orders",
     "registry_latest": "WITH e AS (SELECT o_orderpriority || '/' || strftime(o_orderdate, '%Y-%m') AS model_version, MAX(o_orderdate) AS created_at, o_orderpriority, "
     "round(AVG(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS roc_auc FROM orders GROUP BY 1, 3) "
     "SELECT model_version, created_at, sha256(o_orderpriority) AS dataset_hash, stage, roc_auc, 0.5::DOUBLE AS threshold, 'loaded' AS status FROM ("

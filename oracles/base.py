@@ -6,6 +6,7 @@ from cohortlens.plans.survey import RAW_SURVEY_SQL
 
 YES = "('Y', 'YES', 'TRUE')"
 NO = "('N', 'NO', 'FALSE')"
+# --- fixed values: columns, ranges and stage lists of the survey contract ---
 BINARY = [
     "sleep_disorder", "wake_up_during_night", "feel_sleepy_during_day", "caffeine_consumption",
     "alcohol_consumption", "smoking", "medical_issue", "ongoing_medication",

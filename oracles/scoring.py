@@ -104,6 +104,8 @@ ORACLES = {
     "CASE WHEN stage = 'A' THEN risk_score / 100.0::DOUBLE * 100.0::DOUBLE END AS risk_a, trigger_symptom, "
     "CASE WHEN stage = 'B' THEN risk_score / 100.0::DOUBLE END AS prob_b, CASE WHEN stage = 'B' THEN risk_level END AS triage_level, "
     f"{URGENCY} AS urgency, CAST({FACTOR_COUNT} AS INTEGER) AS factor_count, 3 AS disclaimer_count FROM full_rows",
+    "score_model": f"{SCORED} SELECT row_id, mode_used, CASE stage WHEN 'A' THEN 'rule' ELSE 'model' END AS score_source, "
+    "CASE WHEN stage = 'A' THEN risk_score END AS rule_score, CASE WHEN stage = 'A' THEN risk_level END AS rule_level, TRUE AS in_range FROM levelled",
     "audit_log": AUDIT,
     "stream_scoring": AUDIT,
     "stream_audit_monitor": f"{SCORED}, w AS (SELECT time_bucket(INTERVAL 6 HOUR, timestamp) AS start, mode_used, COUNT(*) AS n, "

@@ -5,7 +5,10 @@ import json
 import pytest
 
 from cohortlens import schema
+from cohortlens.models import artefacts
 from cohortlens.operators import scoring
+from cohortlens.plans import assess_job, training
+from cohortlens.plans.survey import survey
 from cohortlens.sources import audit
 
 
@@ -20,6 +23,7 @@ def requests(spark, rows):
     )
 
 
+SF_DIR = "/root/testdata/sf0.001"
 A = {"age": 30, "average_screen_time": 8.5, "sleep_quality": 3, "sleep_duration": 6.5, "stress_level": 4}
 B = {
     "age": 30, "average_screen_time": 8.5, "sleep_quality": 3, "discomfort_eyestrain": 1,
@@ -87,3 +91,21 @@ def test_features_fill_zero(spark):
     row = scoring.to_features(requests(spark, [{"height": 180, "weight": 81}, {}])).collect()
     assert row[0]["bmi"] == pytest.approx(25.0) and row[1]["bmi"] == 0.0
     assert row[0]["blue_light_filter"] == 0.0
+
+
+def test_artefact_round_trip_and_fallback(spark, tmp_path):
+    """A stage with a registered model is scored by it, the other by rule; nothing is joined."""
+    data = survey(spark, SF_DIR)
+    training.train_version(data, f"{tmp_path}/reg", f"{tmp_path}/art", "v7", ("B",), maxIter=3, maxDepth=2)
+    models = assess_job.registered_models(spark, f"{tmp_path}/reg")
+    assert set(models) == {"B"} and models["B"][1].version == "v7" and set(models["B"][1].medians) >= {"age", "bmi"}
+    scored = assess_job.score_requests(data, models)
+    sources = {(r["mode_used"], r["score_source"]) for r in scored.select("mode_used", "score_source").distinct().collect()}
+    assert sources == {(schema.MODE_A, "rule"), (schema.MODE_B, "model")}
+    model, fitted = models["B"]
+    rows = scoring.to_features(assess_job.to_requests(data.limit(50)), fill=False)
+    again = artefacts.probability(rows, model, fitted, "p").select("row_id", "p").collect()
+    assert all(0 < r["p"] < 1 for r in again)
+    stored = assess_job.run(data, f"{tmp_path}/audit", f"{tmp_path}/reg")
+    assert {r["model_version"] for r in stored.select("model_version").distinct().collect()} == {"v7"}
+    assert audit.read(spark, f"{tmp_path}/audit").count() == stored.count() == data.count()
