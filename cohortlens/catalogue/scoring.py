@@ -119,17 +119,27 @@ def stream_audit_monitor(spark, sf_dir):
     return _closed_windows(spark, rows)
 
 
-def stream_monitor(spark, sf_dir):
-    """Daily counts and means per event type, written when their window has closed."""
-    measures = {
+def _event_measures():
+    return {
         "n": F.count(F.lit(1)),
         "missing": F.count(F.when(F.col("value").isNull(), 1)),
         "high_rate": F.avg(F.when(F.col("value") > 20, 1.0).otherwise(0.0)),
     }
-    rows = jobs.windowed(_stream(spark, sf_dir, "events"), "ts", ["event_type"], measures)
+
+
+def stream_monitor(spark, sf_dir):
+    """Daily counts and means per event type, written when their window has closed."""
+    rows = jobs.windowed(_stream(spark, sf_dir, "events"), "ts", ["event_type"], _event_measures())
     return _closed_windows(spark, rows)
 
 
+def stream_monitor_final(spark, sf_dir):
+    """The same with the windows that are still open at the end of the data."""
+    closed = stream_monitor(spark, sf_dir)
+    rest = jobs.open_windows(closed, table(spark, sf_dir, "events"), "ts", ["event_type"], _event_measures())
+    return closed.unionByName(with_exprs(rest, {c: f"CAST(`{c}` AS TIMESTAMP_NTZ)" for c in ("start", "end")}))
+
+
 QUERIES = {
     "request_validation": request_validation,
     "request_features": request_features,
@@ -143,5 +153,6 @@ QUERIES = {
     "audit_log": audit_log,
     "stream_scoring": stream_scoring,
     "stream_monitor": stream_monitor,
+    "stream_monitor_final": stream_monitor_final,
     "stream_audit_monitor": stream_audit_monitor,
 }

@@ -223,6 +223,13 @@ def bands_events(spark, sf_dir):
     )
 
 
+def csv_roundtrip(spark, sf_dir):
+    """Suppliers written as headed CSV and read back, every column as text."""
+    out = files.new_folder(spark, "csv")
+    files.write_csv(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), out)
+    return files.read_csv(spark, out)
+
+
 QUERIES = {
     "standardize_names": standardize_names,
     "binary_map": binary_map,
@@ -239,6 +246,7 @@ QUERIES = {
     "quality_report": quality_report,
     "missing_rates": lambda s, d: quality.missing_rates(survey(s, d)),
     "missing_top10": lambda s, d: quality.missing_top(survey(s, d)),
+    "csv_roundtrip": csv_roundtrip,
     "out_of_range_counts": lambda s, d: quality.out_of_range_counts(survey(s, d)),
     "validity_histogram": lambda s, d: quality.validity_histogram(survey(s, d)),
     "kpi_age_gender": _cells(AGE_GENDER),

@@ -37,6 +37,13 @@ def windowed(
     return summed.select("window.start", "window.end", *keys, *measures)
 
 
+def open_windows(stored: DataFrame, history: DataFrame, time: str, keys: list[str], measures: dict, width: str = "1 day") -> DataFrame:
+    """The windows a stream over ``history`` still holds open, from one batch pass over the rows behind its last closed one."""
+    closed = stored.agg(F.max("end").cast("timestamp")).first()[0]
+    rest = history if closed is None else history.filter(F.col(time).cast("timestamp") >= F.lit(closed))
+    return windowed(rest, time, keys, measures, width)
+
+
 def start_windows(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append every window once it is closed."""
     return (

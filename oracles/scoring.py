@@ -113,6 +113,8 @@ ORACLES = {
     "AVG(CASE WHEN len(missing) > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS incomplete_rate FROM full_rows GROUP BY 1, 2) "
     "SELECT start, start + INTERVAL 6 HOUR AS \"end\", mode_used, n, high, high_rate, incomplete_rate FROM w "
     "WHERE start + INTERVAL 6 HOUR <= (SELECT MAX(timestamp) FROM full_rows) - INTERVAL 1 HOUR",
+    "stream_monitor_final": "SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, COUNT(*) AS n, "
+    "COUNT(CASE WHEN value IS NULL THEN 1 END) AS missing, AVG(CASE WHEN value > 20 THEN 1.0::DOUBLE ELSE 0.0 END) AS high_rate FROM events GROUP BY ALL",
     "stream_monitor": "WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, COUNT(*) AS n, "
     "COUNT(CASE WHEN value IS NULL THEN 1 END) AS missing, AVG(CASE WHEN value > 20 THEN 1.0::DOUBLE ELSE 0.0 END) AS high_rate "
     "FROM events GROUP BY 1, 2) "

@@ -123,6 +123,7 @@ ORACLES = {
     ),
     "missing_rates": on_std(MISSING_UNION),
     "missing_top10": on_std(f"SELECT * FROM ({MISSING_UNION}) ORDER BY missing_rate DESC, column_name LIMIT 10"),
+    "csv_roundtrip": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier",
     "out_of_range_counts": on_std(
         union([f"SELECT '{c}' AS column_name, CAST(SUM(1 - {c}_in_range) AS BIGINT) AS out_of_range, COUNT(*) - COUNT({c}) AS n_missing FROM std" for c in RANGES])
     ),
