@@ -58,3 +58,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert result(decontaminate(odd_docs, items)) == brute(rows, [(r["item_id"], r["text"]) for r in items.collect()])
     assert result(decontaminate(odd_docs, items.limit(0))) == brute(rows, [])
     assert decontaminate(no_docs, items).count() == 0
+
+
+def test_no_python_in_the_plan(spark, odd_docs):
+    items = spark.createDataFrame([(1, "same text in two rows for a test of ties")], "item_id int, text string")
+    plan = decontaminate(odd_docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
