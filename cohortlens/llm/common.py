@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.session import ship
 from cohortlens.sources.files import new_folder
 
 
@@ -36,6 +38,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+BATCHES = (  # setting, Spark's default, ours; a value of the session's own stays
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m"),
+)
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors and batches that long texts don't blow up."""
+    spark = ship(df.sparkSession)
+    for name, default, wanted in BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, wanted)
+    return df.mapInArrow(function, schema)
+
+
 def row_key(*columns: str):
     """128 bits that name a row by content; NULL and empty differ, equal rows share it."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
@@ -43,21 +60,20 @@ def row_key(*columns: str):
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_000) -> Iterator[tuple]:
-    """Slices of Arrow batches holding about ``chars`` characters: (batch slice, list of texts).
+    """Slices of Arrow batches holding about ``chars`` bytes of text: (batch slice, list of texts).
 
     Bounds the memory of vectorized work whatever the number of rows in a batch; a text is
     never cut, and NULL becomes the empty text.
     """
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= chars:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+        for i, own in enumerate(sizes):
+            size += own
+            if size >= chars or i + 1 == len(sizes):
+                part = batch.slice(start, i + 1 - start)
+                yield part, [t or "" for t in part.column(column).to_pylist()]
                 start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
 
 
 def lists(rows: np.ndarray) -> pa.ListArray:

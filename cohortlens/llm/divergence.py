@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.charclass import CLASSES, class_counts
-from cohortlens.llm.common import chunks, stored
+from cohortlens.llm.common import chunks, mapped, stored
 
 LEAST_WORDS, REPEATED_PERCENT = 20, 30  # base rules
 COMMON_SHARE = 0.002  # of a language's words: makes a common word; hence at most 500 a language
@@ -125,7 +125,7 @@ def references(docs: DataFrame) -> tuple[dict, dict]:
     total = docs.count()
     often = counts.filter(F.col("lang").isNotNull() & (F.col("count") >= max(1.0, LANGUAGE_SHARE * total))).collect()
     languages = {r["lang"]: r["lang"] for r in often}
-    summed = docs.select("text", "lang").mapInArrow(_summing(languages), "language string, kind string, name binary, amount bigint")
+    summed = mapped(docs.select("text", "lang"), _summing(languages), "language string, kind string, name binary, amount bigint")
     summed = stored(summed.groupBy("language", "kind", "name").agg(F.sum("amount").alias("amount")), "shares")
     texts = {r["language"]: r["amount"] for r in summed.filter("kind = 'texts'").collect()}
     floor = F.lit(None).cast("double")
@@ -205,4 +205,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Every row has its own result: equal rows, NULL ids; extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return docs.mapInArrow(_judge(*references(docs)), _SCHEMA)
+    return mapped(docs, _judge(*references(docs)), _SCHEMA)

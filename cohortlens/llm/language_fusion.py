@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import chunks, lists, small, stored
+from cohortlens.llm.common import chunks, lists, mapped, small, stored
 
 BUCKETS = 1 << 14
 LANGUAGE_SHARE = 0.02  # of the labelled documents: makes a language, hence at most 50
@@ -77,7 +77,7 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     total = docs.filter("lang IS NOT NULL").count()
     often = docs.filter("lang IS NOT NULL").groupBy("lang").count().filter(F.col("count") >= max(1.0, LANGUAGE_SHARE * total))
     languages = sorted(r["lang"] for r in often.collect())
-    rows = docs.select("text", "lang").mapInArrow(_counting(languages), "language bigint, bucket bigint, n bigint")
+    rows = mapped(docs.select("text", "lang"), _counting(languages), "language bigint, bucket bigint, n bigint")
     counts = np.zeros((len(languages), BUCKETS))
     for r in rows.groupBy("language", "bucket").agg(F.sum("n").alias("n")).collect():  # at most 50 * BUCKETS rows
         counts[r["language"], r["bucket"]] = r["n"]
@@ -172,7 +172,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     if not n:
         empty = [F.lit(None).cast("string").alias(c) for c in ("lang", "text_lang", "declared", "path", "host")]
         return pages.select("page_id", *empty, F.lit(None).cast("double").alias("confidence"), F.lit(0).cast("bigint").alias("n_grams"))
-    rows = stored(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(_reading(languages, model), _READ), "pages")
+    read = mapped(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"), _reading(languages, model), _READ)
+    rows = stored(read, "pages")
     hosts = host_priors(rows, n)
     scores = []
     tables = {c: reliability(rows, c, languages) for c in ("declared", "path")}

@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import chunks, lists, ragged, small, stored
+from cohortlens.llm.common import chunks, lists, mapped, ragged, small, stored
 from cohortlens.llm.graph import components
 
 BANDS, ROWS, BITS = 40, 6, 1024
 FINE_SAMPLES, FINE_BITS = 1536, 4096  # of the second look at the documents still in question
 SPREAD = 6.0  # standard deviations of the estimate below the limit that are still confirmed
-CACHE = 500_000  # word hashes kept by a task; a full cache is emptied, with no effect on results
+CACHE = 200_000  # word hashes kept by a task; a full cache is emptied, with no effect on results
 BROADCAST_IDS = 2_000_000  # document ids (16 MB) that may be broadcast; more are shuffled
 
 
@@ -165,7 +165,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, threshold: float, width: int) ->
 
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int, bands: int = 0, rows: int = 0) -> DataFrame:
     texts = docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text")
-    return texts.mapInArrow(_setter(width, bands, rows), "id bigint, items array<bigint>" + ", bands array<bigint>, sketch array<bigint>" * bool(bands))
+    return mapped(texts, _setter(width, bands, rows), "id bigint, items array<bigint>" + ", bands array<bigint>, sketch array<bigint>" * bool(bands))
 
 
 def with_lone(sets: DataFrame) -> DataFrame:
@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = stored(
-        docs.mapInArrow(
+        mapped(
+            docs,
             _signer(width, bands, rows),
             "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>",
         ),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import chunks, stored
+from cohortlens.llm.common import chunks, mapped, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "gazetteer", "context", "shape", "checksum")
@@ -247,7 +247,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     end exclusive) by kind, then start. NULL is the empty text and has no spans. Every row has its own
     result: equal rows, NULL ids; extra columns are ignored; an empty table gives no rows.
     """
-    found = stored(docs.select("doc_id", "text").mapInArrow(_finder, f"doc_id bigint, {_FOUND}"), "pii")
+    found = stored(mapped(docs.select("doc_id", "text"), _finder, f"doc_id bigint, {_FOUND}"), "pii")
     seen = found.select(F.explode("codes").alias("code")).groupBy("code").count().collect()  # at most COMBINATIONS rows
     seen = sorted((r["code"], r["count"]) for r in seen)
     chances = classifier(np.array([c for c, _ in seen], dtype=np.int64), np.array([n for _, n in seen])) if seen else {}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.charclass import CLASSES, class_counts
-from cohortlens.llm.common import chunks, ragged
+from cohortlens.llm.common import chunks, mapped, ragged
 
 PER_CLASS = 1000  # labelled documents of each label used for training, at most
 ROUNDS, RATE, RIDGE = 150, 0.05, 1e-4
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
     picks = [usable.filter(F.col("quality") == v).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(per_class) for v in (0, 1)]
     sample = F.broadcast(picks[0].unionByName(picks[1]))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "quality")
-    rows = rows.mapInArrow(_featured, "quality int, n bigint, sizes array<double>, features array<double>").toArrow()
+    rows = mapped(rows, _featured, "quality int, n bigint, sizes array<double>, features array<double>").toArrow()
     total = sum(known.values())
     share = known.get(1, 0) / total if total else 0.5
     y = np.array(rows["quality"].to_pylist())
@@ -235,7 +235,7 @@ def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
         out = scored(kept, model, "score_new")
         return out.withColumnRenamed("score_before", "score").withColumnRenamed("score_new", column)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(_scorer(model), f"{fields}, score double")
+    out = mapped(docs, _scorer(model), f"{fields}, score double")
     return out if column == "score" else out.withColumnRenamed("score", column)
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cohortlens.llm.common import chunks
+from cohortlens.llm.common import chunks, mapped
 
 KINDS = ("assign", "access", "hex")
 BUDGET = 64 << 20
@@ -251,7 +251,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     points of the text, end exclusive) by start, then kind. NULL is the empty text and has no spans. Every row has its
     own result: equal rows, NULL ids; extra columns are ignored; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(
+    return mapped(
+        docs.select("doc_id", "text"),
         _scanned,
         "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_layers bigint, complete boolean",
     )

@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import repair
+from cohortlens.llm.common import mapped
 from cohortlens.sources.files import new_folder
 
 END_ID = 1
 SHARD_TOKENS = 1_000_000
 RULES = 16_000
 TEXTS = 256  # texts encoded at a time
-CACHE = 500_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
+CACHE = 300_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
 
 _SHARD = (
     "part int, shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_symbols array<bigint>, "
@@ -161,7 +162,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("origin", F.spark_partition_id())
     order = ["doc_id", "tie", "origin"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    rows.mapInArrow(_writer(tokenizer or default_tokenizer(), end_id, shard_tokens), _SHARD).write.parquet(path)
+    mapped(rows, _writer(tokenizer or default_tokenizer(), end_id, shard_tokens), _SHARD).write.parquet(path)
     return path
 
 
@@ -192,7 +193,8 @@ def decode(row: dict, document: int, start: int = 0, stop: int | None = None) ->
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
             ids = grammar_of(row).expand(np.frombuffer(row["symbols"], f"<u{row['width']}")).astype("<u4")
             sizes = np.array(row["n_tokens"], dtype=np.int64)
             ends = np.cumsum(sizes)
@@ -206,4 +208,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(spark, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, all from the decoded ids."""
     shards = read_files(spark, path).select("start", "doc_ids", "n_tokens", "n_rules", "base", "width", "rules", "symbols")
-    return shards.mapInArrow(_digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return mapped(shards, _digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
