@@ -7,6 +7,8 @@ expansion length, so any document, or any range of its tokens, decodes without t
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 LEAST = 48  # occurrences that make a pair frequent
@@ -19,41 +21,33 @@ class Grammar:
 
     def __init__(self, base: int, left: np.ndarray, right: np.ndarray):
         self.base, self.left, self.right = base, left, right
-        n = len(left)
-        self.lengths = np.ones(n, dtype=np.int64)
-        self._starts = np.zeros(n, dtype=np.int64)
-        pieces, at = [], 0
-        for k in range(n):
-            piece = np.concatenate([self._one(left[k], pieces), self._one(right[k], pieces)])
-            pieces.append(piece)
-            self.lengths[k], self._starts[k] = len(piece), at
-            at += len(piece)
-        self._flat = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int64)
-
-    def _one(self, symbol: int, pieces: list) -> np.ndarray:
-        return pieces[symbol - self.base] if symbol >= self.base else np.array([symbol], dtype=np.int64)
+        lengths: list[int] = []
+        for a, b in zip(left.tolist(), right.tolist()):  # a rule's symbols come before it
+            lengths.append((lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1))
+        self.lengths = np.array(lengths, dtype=np.int64)
+        self._size = np.concatenate([np.ones(base, dtype=np.int64), self.lengths])
+
+    @cached_property
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """All expansions one after the other, those of the ids first, and where each symbol's starts."""
+        pieces: list[list[int]] = []
+        for a, b in zip(self.left.tolist(), self.right.tolist()):
+            one = pieces[a - self.base] if a >= self.base else [a]
+            pieces.append(one + (pieces[b - self.base] if b >= self.base else [b]))
+        flat = np.fromiter((i for p in pieces for i in p), dtype=np.int64, count=int(self.lengths.sum()))
+        return np.concatenate([np.arange(self.base), flat]), np.cumsum(self._size) - self._size
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """Expansion length of each symbol."""
-        out = np.ones(len(symbols), dtype=np.int64)
-        ruled = symbols >= self.base
-        out[ruled] = self.lengths[symbols[ruled].astype(np.int64) - self.base]
-        return out
+        return self._size[symbols]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        flat, starts = self._expansions
         sizes = self.sizes(symbols)
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        symbols = symbols.astype(np.int64)
-        ruled = symbols >= self.base
-        source = np.zeros(len(symbols), dtype=np.int64)
-        source[ruled] = self._starts[symbols[ruled] - self.base]
-        owner = np.repeat(np.arange(len(symbols)), sizes)
-        inside = np.arange(total) - np.repeat(ends - sizes, sizes)
-        out = symbols[owner]
-        long = ruled[owner]
-        out[long] = self._flat[(source[owner] + inside)[long]]
-        return out
+        places = np.repeat(starts[symbols] - ends + sizes, sizes)
+        places += np.arange(len(places))
+        return flat[places]
 
     def part(self, symbols: np.ndarray, start: int, stop: int) -> np.ndarray:
         """Tokens start to stop of a document, expanding only the symbols that hold them."""

@@ -37,7 +37,7 @@ END_ID = 1
 SHARD_TOKENS = 1_000_000
 RULES = 16_000
 TEXTS = 256  # texts encoded at a time
-CACHE = 300_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
+CACHE = 900_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
 
 _SHARD = (
     "part int, shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_symbols array<bigint>, "
@@ -78,9 +78,14 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known = {"": b""}
         known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
+        found = [list(map(known.get, words)) for words in split]
+        gaps = [[i for i, code in enumerate(codes) if code is None] if None in codes else () for codes in found]
+        fresh = list({words[i] for words, own in zip(split, gaps) for i in own})
         known.update(zip(fresh, self._encoded(fresh)))
-        coded = [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+        for words, codes, own in zip(split, found, gaps):
+            for i in own:
+                codes[i] = known[words[i]]
+        coded = [b"".join(codes) + self.end for codes in found]
         return np.frombuffer(b"".join(coded), dtype="<u4"), np.array([len(c) // 4 for c in coded])
 
     def _encoded(self, words: list[str]) -> list[bytes]:
@@ -89,11 +94,13 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            sizes = [len(unicodedata.normalize("NFC", w).lower().encode()) for w in part]
-            ends, covered = np.cumsum(sizes), np.cumsum(self.bytes_of[ids])
+            text = " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            plain = unicodedata.normalize("NFC", text).lower().encode().split(b" ")
+            ends, covered = np.cumsum(list(map(len, plain))), np.cumsum(self.bytes_of[ids])
             stops = np.searchsorted(covered, ends)
-            if len(ids) and ends[-1] == covered[-1] and (covered[stops] == ends).all() and not any("<|" in w for w in part):
+            same = len(ids) and len(plain) == len(part) and ends[-1] == covered[-1] and (covered[stops] == ends).all()
+            if same and "<|" not in text:
                 bounds = np.concatenate([[0], stops + 1]).tolist()
                 out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             else:
