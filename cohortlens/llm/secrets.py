@@ -140,9 +140,8 @@ def _inflated(raw: bytes, room: int) -> tuple[bytes | None, bool]:
 
 
 def _readable(raw: bytes) -> bool:
-    """UTF-8 that is nearly all printable: a decoding of ordinary letters by chance is not."""
-    plain = len(raw) - len(raw.translate(None, _READABLE))
-    return plain >= 0.9 * len(raw) or (plain >= 0.5 * len(raw) and _is_text(raw))
+    """UTF-8 of any script, else nearly all printable: a decoding of ordinary letters by chance is neither."""
+    return _is_text(raw) or len(raw) - len(raw.translate(None, _READABLE)) >= 0.9 * len(raw)
 
 
 def _opened(layer: Layer, room: int) -> tuple[list[Layer], int, bool]:
@@ -164,7 +163,7 @@ def _opened(layer: Layer, room: int) -> tuple[list[Layer], int, bool]:
             room, raw, inflated = room - len(more), more, True
             if not more or not fit:
                 break
-        if not _readable(raw):
+        if not (inflated or _readable(raw)):
             continue
         if inflated:
             found.append(Layer(raw.decode("utf-8", "replace"), whole=whole))

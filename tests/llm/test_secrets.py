@@ -55,6 +55,14 @@ def test_layers_map_to_the_text(encoded):
     assert added and all(start <= s[0] < s[2] <= end and s[1] == 0 for s in added)
 
 
+@pytest.mark.parametrize("prose", ["Пароль от сервера лежит здесь, никому его не показывай:", "请不要把这个密码告诉任何人，谢谢大家的合作。", "Ο κωδικός του διακομιστή είναι εδώ"])
+def test_layers_of_other_scripts(prose):
+    inner = f"{prose * 4} password=geheim99"
+    for encoded in (b64(inner), b64(zlib.compress(inner.encode())), b64(b64(inner)), b64(zlib.compress(inner.encode("utf-16-le") + inner.encode()))):
+        base, spans, layers, complete = secrets.scan(f"x {encoded} y")
+        assert complete and not base and layers >= 1 and [s[1] for s in spans] == [0]
+
+
 def test_percent_span_is_exact():
     text = "x token%3Dabc%64efg y"
     assert [text[a:b] for a, _, b in secrets.scan(text)[1]] == ["token%3Dabc%64efg"]
