@@ -33,7 +33,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # maximal runs: the same as filterin
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")  # of either alphabet; which one is told by what a run holds
+_ONE_ALPHABET = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+_MARK = re.compile(r"[+/_-]")
 _READABLE = bytes(range(32, 127)) + b"\t\r\n"
 
 
@@ -62,12 +64,12 @@ class Layer:
             return start, end
         return int(self.starts[start]), int(self.ends[end - 1])
 
-    def place(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def place(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         if self.whole:
-            return np.full(size, self.whole[0]), np.full(size, self.whole[1])
+            return np.full(end - begin, self.whole[0]), np.full(end - begin, self.whole[1])
         if self.starts is None:
-            return np.arange(size), np.arange(1, size + 1)
-        return self.starts, self.ends
+            return np.arange(begin, end), np.arange(begin + 1, end + 1)
+        return self.starts[begin:end], self.ends[begin:end]
 
 
 def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -82,7 +84,7 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         if parts is None:
             continue
         if own_starts is None:
-            own_starts, own_ends = layer.place(len(layer.text))
+            own_starts, own_ends = layer.place(0, len(layer.text))
         pieces.append(layer.text[at : m.start()])
         starts.append(own_starts[at : m.start()])
         ends.append(own_ends[at : m.start()])
@@ -127,16 +129,20 @@ def _escape(m: re.Match) -> list | None:
     return [(chr(code), 0, m.end() - m.start())]
 
 
-def _inflated(raw: bytes, room: int) -> tuple[bytes | None, bool]:
-    """Decompressed gzip or zlib bytes, and whether they had room. None: not compressed."""
-    if not (raw[:2] == b"\x1f\x8b" or (len(raw) > 6 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)):
-        return None, True
+def _compressed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 6 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def _inflated(raw: bytes, room: int) -> tuple[bytes | None, bool, bool]:
+    """Decompressed gzip or zlib bytes, whether they had room, whether the stream ends. None: not compressed."""
+    if not _compressed(raw):
+        return None, True, False
     machine = zlib.decompressobj(47)
     try:
         out = machine.decompress(raw, room + 1)
     except zlib.error:
-        return None, True
-    return out[:room], len(out) <= room
+        return None, True, False
+    return out[:room], len(out) <= room, machine.eof
 
 
 def _readable(raw: bytes) -> bool:
@@ -144,44 +150,100 @@ def _readable(raw: bytes) -> bool:
     return _is_text(raw) or len(raw) - len(raw.translate(None, _READABLE)) >= 0.9 * len(raw)
 
 
+def _candidates(text: str, settled: bytearray) -> Iterator[tuple[int, int]]:
+    """Places of base64 inside a maximal run, the whole run first.
+
+    A caller that could open a place marks it in ``settled`` and skips the later ones inside it. Those are what follows each mark of the alphabets,
+    since paths and names are joined by the same marks, then the parts in one alphabet and those between marks.
+    """
+    yield 0, len(text)
+    marks = [m.start() for m in _MARK.finditer(text)]
+    if not marks:
+        return
+    for at in (-1, *marks):
+        if not settled[at + 1 : at + 2].count(1) and (length := _promising(text, at + 1)):
+            yield at + 1, at + 1 + length
+    if "-" in text or "_" in text:
+        for part in _ONE_ALPHABET:
+            yield from (m.span() for m in part.finditer(text) if m.end() - m.start() < len(text))
+    edges = [-1, *marks, len(text)]
+    yield from ((a + 1, b) for a, b in zip(edges, edges[1:]) if b - a > 16)
+
+
+def _promising(text: str, at: int) -> int:
+    """Characters of base64 from a place on that are UTF-8, or all that follow a compressed header; 0 for neither.
+
+    Reads in doubling steps, hence no more than twice what it finds.
+    """
+    size, left = 24, len(text) - at
+    while left >= 16:
+        raw = _from64(text[at : at + min(size, left // 4 * 4)].rstrip("=")) or b""
+        if size == 24 and _compressed(raw):
+            return left
+        try:
+            raw.decode("utf-8")
+        except UnicodeDecodeError as error:
+            if error.end < len(raw) or error.reason != "unexpected end of data":
+                return error.start // 3 * 4 if error.start >= 12 else 0
+        if size >= left:
+            return left
+        size *= 2
+    return 0
+
+
 def _opened(layer: Layer, room: int) -> tuple[list[Layer], int, bool]:
     """Layers inside base64 runs, compressed or not; room left; whether all of it was opened."""
     found, complete = [], True
     for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        if not (raw := _from64(run)):
-            continue
-        begin = m.start()
-        whole = layer.span(begin, m.end())
-        inflated = False
-        while True:  # compressed bytes may be compressed again
-            more, fit = _inflated(raw, room)
+        settled = bytearray(m.end() - m.start())
+        for start, end in _candidates(m.group(), settled):
+            if settled.find(0, start, end) < 0:
+                continue
+            new, room, fit, whole = _decoded(layer, m.start() + start, m.start() + end, room)
             complete &= fit
-            if more is None:
-                break
-            room, raw, inflated = room - len(more), more, True
-            if not more or not fit:
-                break
-        if not (inflated or _readable(raw)):
-            continue
-        if inflated:
-            found.append(Layer(raw.decode("utf-8", "replace"), whole=whole))
-            continue
-        starts, ends = layer.place(len(layer.text))
-        first = np.arange(len(raw)) * 8 // 6 + begin
-        last = (np.arange(len(raw)) * 8 + 7) // 6 + begin
-        text = raw.decode("utf-8", "replace")
-        if len(text) != len(raw):  # one place per character, at its first and last byte
-            raw_at = np.array([i for i, b in enumerate(raw) if b & 0xC0 != 0x80])
-            if len(raw_at) != len(text):
-                text, raw_at = raw.decode("latin-1"), np.arange(len(raw))
-            stop = np.append(raw_at[1:], len(raw)) - 1
-            first, last = first[raw_at], last[stop]
-        found.append(Layer(text, starts[first], ends[last]))
+            if new:
+                found.append(new)
+            if whole:
+                settled[start:end] = b"\1" * (end - start)
+                if end - start == len(settled):
+                    break
     return found, room, complete
 
 
+def _decoded(layer: Layer, begin: int, end: int, room: int) -> tuple[Layer | None, int, bool, bool]:
+    """The layer in the base64 at a place, if any; room left; whether it had room; whether it explains the whole place."""
+    run = layer.text[begin:end].rstrip("=")
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    if not (raw := _from64(run)):
+        return None, room, True, False
+    whole = layer.span(begin, end)
+    inflated, complete, ended = False, True, True
+    while True:  # compressed bytes may be compressed again
+        more, fit, own_end = _inflated(raw, room)
+        if more is None:
+            break
+        complete &= fit
+        ended &= own_end or not fit
+        room, raw, inflated = room - len(more), more, True
+        if not more or not fit:
+            break
+    if not (inflated or _readable(raw)):
+        return None, room, complete, False
+    if inflated:
+        return Layer(raw.decode("utf-8", "replace"), whole=whole), room, complete, ended
+    starts, ends = layer.place(begin, end)
+    first = np.arange(len(raw)) * 8 // 6
+    last = (np.arange(len(raw)) * 8 + 7) // 6
+    text = raw.decode("utf-8", "replace")
+    if len(text) != len(raw):  # one place per character, at its first and last byte
+        raw_at = np.array([i for i, b in enumerate(raw) if b & 0xC0 != 0x80])
+        if len(raw_at) != len(text):
+            text, raw_at = raw.decode("latin-1"), np.arange(len(raw))
+        stop = np.append(raw_at[1:], len(raw)) - 1
+        first, last = first[raw_at], last[stop]
+    return Layer(text, starts[first], ends[last]), room, True, True
+
+
 def _from64(run: str) -> bytes | None:
     safe = run.translate({45: "+", 95: "/"})
     try:

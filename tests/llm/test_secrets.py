@@ -63,6 +63,28 @@ def test_layers_of_other_scripts(prose):
         assert complete and not base and layers >= 1 and [s[1] for s in spans] == [0]
 
 
+def test_url_safe_marks_anywhere(rng):
+    """The first mark of the alphabet past position 16, in plain and compressed layers."""
+    lost = marked = 0
+    for i in range(200):
+        body = bytes(rng.randrange(32, 127) for _ in range(250)).replace(b"=", b".").replace(b":", b".") + b" token=abcdefgh"
+        zipped = bytearray(gzip.compress(body))
+        zipped[9] = 3
+        for raw in (f"plain {'ab ' * (i % 7)} ÿþ~?~?".encode() + body, zlib.compress(body), bytes(zipped)):
+            run = base64.urlsafe_b64encode(raw).decode()
+            first = re.search("[-_]", run)
+            marked += bool(first and first.start() >= 16)
+            lost += not any(2 <= a and b <= 2 + len(run) and k == 0 for a, k, b in secrets.scan(f"x {run} z")[1])
+    assert marked > 300 and lost == 0
+
+
+def test_marks_that_join_names():
+    run = b64(gzip.compress(f"{PLAIN} and so on".encode()))
+    for text in (f"a-name_{run}", f"data/some/{run}", f"{b64(PLAIN + ' ?>?>')[:-1]}-end_of-it", f"{run.rstrip('=')}_x-y"):
+        base, spans, _, complete = secrets.scan(text)
+        assert complete and not base and spans, text
+
+
 def test_percent_span_is_exact():
     text = "x token%3Dabc%64efg y"
     assert [text[a:b] for a, _, b in secrets.scan(text)[1]] == ["token%3Dabc%64efg"]
