@@ -6,9 +6,9 @@ layer seen before in the same document is not opened again, so cycles end. Each
 carries, per character, the part of the original text it came from; a secret found in it is reported
 with that span. Spans of layer 0 are the base result and always stay.
 
-One pass over whole texts, one row at a time, without a shuffle. Decoding may inflate: compressed
-layers of a document may hold ``budget`` bytes together, beyond which the row is flagged
-``complete = false`` instead of exhausting the task; its other layers are still scanned.
+One pass over whole texts, one row at a time, without a shuffle. Decoding may inflate: compressed bytes are inflated in
+steps and scanned in overlapping pieces of ``PIECE`` bytes, depth first, so that the bound is on memory, not on what is
+scanned. The row is flagged ``complete = false`` if one unbroken run is longer than what two pieces share.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from cohortlens.llm.common import chunks, mapped
 
 KINDS = ("assign", "access", "hex")
-BUDGET = 64 << 20
+PIECE, OVERLAP, STEP = 64 << 20, 1 << 20, 1 << 16  # bytes of inflated text held at once, shared by two pieces, read at once
+DEPTH = 64  # of bytes compressed again and again; a file that holds itself ends there
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # maximal runs: the same as filtering AKIA[A-Z0-9]+ by length
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -36,6 +37,13 @@ _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")  # of either alphabet; which one is told by what a run holds
 _ONE_ALPHABET = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
 _MARK = re.compile(r"[+/_-]")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_UNBROKEN = re.compile(rb"[!-~\r\n]+")
+_HIGH = re.compile(r"%[89A-Fa-f][0-9A-Fa-f]|\\x[89A-Fa-f]|\\u00[89A-Fa-f]|&#")
+_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\U000000([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,2});|&#([0-9]{1,3});|\\([abfnrtv\\'\"/0])")
+_SHORT = dict(zip("abfnrtv\\'\"/0", "\a\b\f\n\r\t\v\\'\"/\0"))
+_HEADER = re.compile(rb"\x1f\x8b\x08|[\x08\x18(8HXhx][\x00-\xff]", re.S)
+_NARROW = re.compile(r"[\x00-\xff]{7,}")
 _READABLE = bytes(range(32, 127)) + b"\t\r\n"
 
 
@@ -133,16 +141,95 @@ def _compressed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (len(raw) > 6 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
 
 
-def _inflated(raw: bytes, room: int) -> tuple[bytes | None, bool, bool]:
-    """Decompressed gzip or zlib bytes, whether they had room, whether the stream ends. None: not compressed."""
+class _Inflating:
+    """Decompressed chunks of gzip members or zlib streams, one after the other; ``used`` bytes belong to those that ended.
+
+    Ends at the first byte that belongs to none; what was inflated before an error is kept.
+    """
+
+    def __init__(self, chunks):
+        self.chunks, self.ended, self.used = chunks, False, 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        machine, fresh, read = zlib.decompressobj(47), True, 0
+        for data in self.chunks:
+            data = bytes(data)
+            read += len(data)
+            while data:
+                if fresh and self.ended and not (data := data.lstrip(b"\0")):
+                    break
+                try:
+                    out = machine.decompress(data, STEP)
+                except zlib.error:
+                    return
+                fresh = False
+                if out:
+                    yield out
+                data = machine.unconsumed_tail
+                if machine.eof:
+                    data = machine.unused_data
+                    self.ended, self.used = True, read - len(data)
+                    machine, fresh = zlib.decompressobj(47), True
+
+
+def _chain(raw, depth: int) -> _Inflating:
+    chunks = _Inflating(raw[i : i + STEP] for i in range(0, len(raw), STEP))
+    for _ in range(depth - 1):
+        chunks = _Inflating(chunks)
+    return chunks
+
+
+class _State:
+    def __init__(self, room: int | None):
+        self.room, self.complete = room, True
+
+
+def _pieces(chunks: _Inflating, state: _State) -> Iterator[bytes]:
+    """Overlapping pieces of inflated bytes, no more of them than ``state`` has room for."""
+    held, size = [], 0
+    for chunk in chunks:
+        if state.room is not None:
+            if len(chunk) > state.room:
+                chunk, state.complete = chunk[: state.room], False
+            state.room -= len(chunk)
+        held.append(chunk)
+        size += len(chunk)
+        if size >= PIECE:
+            piece = b"".join(held)
+            yield piece
+            held = [piece[-OVERLAP:]]
+            size = len(held[0])
+            state.complete &= not _UNBROKEN.fullmatch(held[0])
+        if state.room == 0 and not state.complete:
+            break
+    if size:
+        yield b"".join(held)
+
+
+def _unpacked(raw, whole: tuple[int, int], state: _State) -> tuple[Iterator[Layer] | None, bool, int]:
+    """Layers of compressed bytes, whether their stream ends, and its size. None: nothing inflates.
+
+    Bytes may be compressed again; equal heads at two depths are a file that holds itself.
+    """
     if not _compressed(raw):
-        return None, True, False
-    machine = zlib.decompressobj(47)
-    try:
-        out = machine.decompress(raw, room + 1)
-    except zlib.error:
-        return None, True, False
-    return out[:room], len(out) <= room, machine.eof
+        return None, False, 0
+    depth, heads = 0, set()
+    while head := next(iter(_chain(raw, depth + 1)), b""):
+        depth += 1
+        if depth == DEPTH:
+            state.complete = False
+        if depth == DEPTH or head in heads or not _compressed(head):
+            break
+        heads.add(head)
+    if not depth:
+        return None, False, 0
+    outer = _chain(raw, 1)
+    for chunk in outer:
+        if state.room is not None and len(chunk) > state.room:
+            outer.ended = True
+            break
+    pieces = _pieces(_chain(raw, depth), state)
+    return (Layer(p.decode("utf-8", "replace"), whole=whole) for p in pieces), outer.ended, outer.used
 
 
 def _readable(raw: bytes) -> bool:
@@ -191,47 +278,69 @@ def _promising(text: str, at: int) -> int:
     return 0
 
 
-def _opened(layer: Layer, room: int) -> tuple[list[Layer], int, bool]:
-    """Layers inside base64 runs, compressed or not; room left; whether all of it was opened."""
-    found, complete = [], True
+def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Lines of one width, the last one not longer, that may be one base64 run; then without the last one."""
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^ \t\r\n]+", m.group())]
+        at = 0
+        while at + 1 < len(lines):
+            width, stop = lines[at][1] - lines[at][0], at + 1
+            while stop < len(lines) and lines[stop][1] - lines[stop][0] == width:
+                stop += 1
+            if stop < len(lines) and lines[stop][1] - lines[stop][0] < width:
+                yield lines[at : stop + 1]
+            if stop - at > 1:
+                yield lines[at:stop]
+            at = stop
+
+
+def _opened(layer: Layer, state: _State) -> Iterator[Layer]:
+    """Layers inside base64 runs, compressed or not, and inside escaped compressed bytes."""
+    done = 0
+    joined_runs = []
+    for lines in _wrapped(layer.text):
+        if lines[0][0] >= done:
+            new, whole = _decoded(layer, np.concatenate([np.arange(*line) for line in lines]), state, joined=True)
+            if whole:
+                done = lines[-1][1]
+                joined_runs.append((lines[0][0], done))
+                yield from new
+    skip = iter([*joined_runs, (len(layer.text) + 1, 0)])
+    start_, stop_ = next(skip)
     for m in _BASE64.finditer(layer.text):
+        while m.start() >= stop_ and stop_:
+            start_, stop_ = next(skip)
+        if m.start() >= start_:
+            continue
         settled = bytearray(m.end() - m.start())
         for start, end in _candidates(m.group(), settled):
             if settled.find(0, start, end) < 0:
                 continue
-            new, room, fit, whole = _decoded(layer, m.start() + start, m.start() + end, room)
-            complete &= fit
-            if new:
-                found.append(new)
+            new, whole = _decoded(layer, np.arange(m.start() + start, m.start() + end), state)
+            yield from new
             if whole:
                 settled[start:end] = b"\1" * (end - start)
                 if end - start == len(settled):
                     break
-    return found, room, complete
+    if _HIGH.search(layer.text):
+        yield from _escaped(layer, state)
 
 
-def _decoded(layer: Layer, begin: int, end: int, room: int) -> tuple[Layer | None, int, bool, bool]:
-    """The layer in the base64 at a place, if any; room left; whether it had room; whether it explains the whole place."""
-    run = layer.text[begin:end].rstrip("=")
+def _decoded(layer: Layer, at: np.ndarray, state: _State, joined: bool = False) -> tuple[Iterator[Layer], bool]:
+    """Layers in the base64 at places, and whether they explain all of it. Joined lines must be UTF-8 or inflate to an end."""
+    begin, end = int(at[0]), int(at[-1]) + 1
+    run = layer.text[begin:end]
+    run = ("".join(run.split()) if joined else run).rstrip("=")
     run = run[: len(run) - (len(run) % 4 == 1)]
     if not (raw := _from64(run)):
-        return None, room, True, False
-    whole = layer.span(begin, end)
-    inflated, complete, ended = False, True, True
-    while True:  # compressed bytes may be compressed again
-        more, fit, own_end = _inflated(raw, room)
-        if more is None:
-            break
-        complete &= fit
-        ended &= own_end or not fit
-        room, raw, inflated = room - len(more), more, True
-        if not more or not fit:
-            break
-    if not (inflated or _readable(raw)):
-        return None, room, complete, False
-    if inflated:
-        return Layer(raw.decode("utf-8", "replace"), whole=whole), room, complete, ended
+        return iter(()), False
+    new, ended, _ = _unpacked(raw, layer.span(begin, end), state)
+    if new is not None:
+        return new, ended
+    if not (_is_text(raw) if joined else _readable(raw)):
+        return iter(()), False
     starts, ends = layer.place(begin, end)
+    starts, ends = starts[at - begin], ends[at - begin]
     first = np.arange(len(raw)) * 8 // 6
     last = (np.arange(len(raw)) * 8 + 7) // 6
     text = raw.decode("utf-8", "replace")
@@ -241,7 +350,42 @@ def _decoded(layer: Layer, begin: int, end: int, room: int) -> tuple[Layer | Non
             text, raw_at = raw.decode("latin-1"), np.arange(len(raw))
         stop = np.append(raw_at[1:], len(raw)) - 1
         first, last = first[raw_at], last[stop]
-    return Layer(text, starts[first], ends[last]), room, True, True
+    return iter([Layer(text, starts[first], ends[last])]), True
+
+
+def _byte(m: re.Match) -> list | None:
+    if m[6]:
+        return [(_SHORT[m[6]], 0, 2)]
+    code = int(m[5]) if m[5] else int(next(g for g in m.groups()[:4] if g), 16)
+    return [(chr(code), 0, m.end() - m.start())] if code < 256 else None
+
+
+def _escaped(layer: Layer, state: _State) -> Iterator[Layer]:
+    """Layers in compressed bytes of which all or some are written as escapes; the others stand for themselves."""
+    views = []
+    if "%" in layer.text:
+        views.append(_rewritten(layer, _PERCENT, lambda m: [(chr(int(m.group()[i + 1 : i + 3], 16)), i, i + 3) for i in range(0, len(m.group()), 3)]))
+        if "+" in layer.text:  # the form encoding writes blanks so
+            plain = Layer(layer.text.replace("+", " "), *layer.place(0, len(layer.text)))
+            views.append(_rewritten(plain, _PERCENT, lambda m: [(chr(int(m.group()[i + 1 : i + 3], 16)), i, i + 3) for i in range(0, len(m.group()), 3)]))
+    if "\\" in layer.text or "&#" in layer.text:
+        views.append(_rewritten(layer, _BYTE, _byte))
+    for view in views:
+        for m in _NARROW.finditer(view.text) if view else ():
+            raw, at = memoryview(m.group().encode("latin-1")), 0
+            while head := _HEADER.search(raw, at):
+                at = head.start()
+                if _compressed(bytes(raw[at : at + 7])):
+                    start = m.start() + at
+                    new, ended, used = _unpacked(raw[at:], view.span(start, m.end()), state)
+                    if new is not None and not ended and len(head.group()) == 3:  # a gzip stream that is cut off
+                        ended, used = True, len(raw) - at
+                    if ended:
+                        whole = view.span(start, start + used)
+                        yield from (Layer(x.text, whole=whole) for x in new)
+                        at += used
+                        continue
+                at += 1
 
 
 def _from64(run: str) -> bytes | None:
@@ -259,32 +403,39 @@ def _name(layer: Layer) -> bytes:
     return content.digest()
 
 
-def scan(text: str, budget: int = BUDGET) -> tuple[list, list, int, bool]:
-    """(base spans, all spans, layers opened, complete); spans are (start, kind, end), sorted."""
+def scan(text: str, budget: int | None = None) -> tuple[list, list, int, bool]:
+    """(base spans, all spans, layers opened, complete); spans are (start, kind, end), sorted.
+
+    With a ``budget``, compressed layers may hold so many bytes together; without, all of them are scanned.
+    """
     base = secrets_in(text)
-    spans, room, complete = set(base), budget, True
-    work = [Layer(text)]
-    seen = {_name(work[0])}
+    spans, state = set(base), _State(budget)
+    work = [iter([Layer(text)])]
+    seen = set()
     opened = 0
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if (name := _name(layer)) in seen or (opened and not layer.text):
+            continue
+        seen.add(name)
         if opened:
             for start, kind, end in secrets_in(layer.text):
                 first, last = layer.span(start, end)
                 spans.add((first, kind, last))
         opened += 1
-        fresh = []
-        if "%" in layer.text:
-            fresh.append(_rewritten(layer, _PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
-            fresh.append(_rewritten(layer, _UNICODE, _escape))
-        inner, room, all_of_it = _opened(layer, room)
-        complete &= all_of_it
-        for new in [*fresh, *inner]:
-            if new is not None and new.text and (name := _name(new)) not in seen:
-                seen.add(name)
-                work.append(new)
-    return base, sorted(spans), opened - 1, complete
+        work.append(_inner(layer, state))
+    return base, sorted(spans), opened - 1, state.complete
+
+
+def _inner(layer: Layer, state: _State) -> Iterator[Layer]:
+    if "%" in layer.text and (new := _rewritten(layer, _PERCENT, _percent)):
+        yield new
+    if ("\\" in layer.text or "&#" in layer.text) and (new := _rewritten(layer, _UNICODE, _escape)):
+        yield new
+    yield from _opened(layer, state)
 
 
 def joined(spans: list) -> str:
