@@ -3,7 +3,7 @@
 References are learned from the corpus: per language, the mean share of each character class and of each
 common word over all documents. Two passes over the text: one adds the shares up (grouped by
 language and word), one compares. A text is rejected if its Jensen-Shannon distance to the reference of its language is
-too large in either histogram; a histogram of too few characters or words is not judged.
+too large in either histogram; a histogram of too few characters or words is not judged, nor is one without a reference.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.charclass import CLASSES, class_counts
-from cohortlens.llm.common import chunks, mapped, stored
+from cohortlens.llm.common import chunks, mapped, small, stored
 
 LEAST_WORDS, REPEATED_PERCENT = 20, 30  # base rules
 COMMON_SHARE = 0.002  # of a language's words: makes a common word; hence at most 500 a language
-LANGUAGE_SHARE = 0.001  # of the documents: makes a language; hence at most 1,000; rarer ones share a reference
+LEAST_TEXTS = 20  # judged texts that make a reference; documents of a language with fewer are not compared
 MIN_CHARS, MIN_WORDS = 200, 60
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.5
+BROADCAST_TEXTS = 200_000
 HELD = 200_000  # partial sums a task holds before it passes them on
 
 UNIT = 1_000_000  # shares are added as whole millionths, so sums don't depend on their order
@@ -82,7 +83,7 @@ def _class_shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return counts / np.maximum(sizes, 1)[:, None], sizes
 
 
-def _summing(languages: dict):
+def _summing():
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = defaultdict(int)
 
@@ -96,19 +97,21 @@ def _summing(languages: dict):
         for batch, texts in chunks(batches, "text"):
             shares, sizes = _class_shares(texts)
             for i, (text, lang) in enumerate(zip(texts, batch.column("lang").to_pylist())):
-                language = languages.get(lang, "")
+                if lang is None:
+                    continue
                 if sizes[i] >= MIN_CHARS:
                     for name, share in zip(CLASSES, shares[i]):
                         if share:
-                            sums[language, "class", name.encode()] += round(share * UNIT)
+                            sums[lang, "class", name.encode()] += round(share * UNIT)
+                    sums[lang, "class texts", b""] += 1
                 words = common_form(text.encode().split())
                 if len(words) >= MIN_WORDS:
                     counted: dict = defaultdict(int)
                     for word in words:
                         counted[word] += 1
                     for word, n in counted.items():
-                        sums[language, "word", word] += n * UNIT // len(words)
-                    sums[language, "texts", b""] += 1
+                        sums[lang, "word", word] += n * UNIT // len(words)
+                    sums[lang, "word texts", b""] += 1
             if len(sums) > HELD:
                 yield passed_on()
         yield passed_on()
@@ -116,32 +119,27 @@ def _summing(languages: dict):
     return add_up
 
 
-def references(docs: DataFrame) -> tuple[dict, dict]:
-    """(language per value of lang, per language its class shares and common words with shares).
+def references(docs: DataFrame) -> dict:
+    """Per language with enough judged texts, its class shares and common words with shares.
 
-    At most 1 / LANGUAGE_SHARE languages of at most 1 / COMMON_SHARE words reach the driver.
+    At most 1 / COMMON_SHARE words a language reach the driver.
     """
-    counts = docs.groupBy("lang").count()
-    total = docs.count()
-    often = counts.filter(F.col("lang").isNotNull() & (F.col("count") >= max(1.0, LANGUAGE_SHARE * total))).collect()
-    languages = {r["lang"]: r["lang"] for r in often}
-    summed = mapped(docs.select("text", "lang"), _summing(languages), "language string, kind string, name binary, amount bigint")
+    summed = mapped(docs.select("text", "lang"), _summing(), "language string, kind string, name binary, amount bigint")
     summed = stored(summed.groupBy("language", "kind", "name").agg(F.sum("amount").alias("amount")), "shares")
-    texts = {r["language"]: r["amount"] for r in summed.filter("kind = 'texts'").collect()}
-    floor = F.lit(None).cast("double")
-    for language, n in texts.items():
-        floor = F.when(F.col("language") == language, F.lit(COMMON_SHARE * UNIT * n)).otherwise(floor)
-    usual = summed.filter(F.expr("kind = 'class'") | (F.expr("kind = 'word'") & (F.col("amount") >= floor))).collect()
+    texts = summed.filter("kind IN ('class texts', 'word texts')").filter(F.col("amount") >= LEAST_TEXTS)
+    texts = stored(texts.select("language", F.split_part("kind", F.lit(" "), F.lit(1)).alias("kind"), F.col("amount").alias("texts")), "texts")
+    common = F.expr("kind = 'class'") | (F.col("amount") >= COMMON_SHARE * UNIT * F.col("texts"))
+    usual = summed.join(small(texts, BROADCAST_TEXTS), ["language", "kind"]).filter(common).collect()
     found: dict = {}
     for r in sorted(usual, key=lambda r: (r["language"], r["kind"], r["name"])):
         place = found.setdefault(r["language"], {"classes": np.zeros(len(CLASSES)), "words": {}})
         if r["kind"] == "class":
             place["classes"][CLASSES.index(r["name"].decode())] = r["amount"]
         elif r["name"]:
-            place["words"][bytes(r["name"])] = r["amount"] / (UNIT * texts[r["language"]])
+            place["words"][bytes(r["name"])] = r["amount"] / (UNIT * r["texts"])
     for place in found.values():
         place["classes"] /= max(place["classes"].sum(), 1)
-    return languages, found
+    return found
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -170,7 +168,7 @@ def distances(text_classes: np.ndarray, size: float, words: list[bytes], referen
     return by_class, by_word
 
 
-def _judge(languages: dict, found: dict):
+def _judge(found: dict):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             shares, sizes = _class_shares(texts)
@@ -178,7 +176,7 @@ def _judge(languages: dict, found: dict):
             for i, (text, lang) in enumerate(zip(texts, batch.column("lang").to_pylist())):
                 words = text.encode().split()
                 n, *others = base_counts(text, words)
-                reference = found.get(languages.get(lang, ""))
+                reference = found.get(lang)
                 by_class, by_word = distances(shares[i], sizes[i], common_form(words), reference)
                 failed = n < LEAST_WORDS or 100 * others[-1] > REPEATED_PERCENT * n
                 fits = (by_class or 0) <= MAX_CLASS_DISTANCE and (by_word or 0) <= MAX_WORD_DISTANCE
@@ -201,8 +199,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     base_failed: fewer than 20 words, or more than 30 % of them in repeated 8-word windows. kept: not
     base_failed, and no distance above its limit; a distance is NULL, and passes, for fewer than 200
-    characters or 60 words. NULL is the empty text, which fails. Rare languages and a NULL lang share one reference.
+    characters or 60 words, a NULL lang, and a language with fewer than 20 texts of that size. NULL is the empty text, which fails.
     Every row has its own result: equal rows, NULL ids; extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return mapped(docs, _judge(*references(docs)), _SCHEMA)
+    return mapped(docs, _judge(references(docs)), _SCHEMA)

@@ -67,6 +67,18 @@ def test_junk_is_far_and_prose_is_near(spark, rng):
     assert kept == set(range(60))
 
 
+def test_rare_languages_have_their_own_reference(spark, rng):
+    """However many documents others have; below the least number, and without a language, nothing is judged."""
+    latin = [(i, sentence(rng, 90), f"l{i % 20}") for i in range(400)]
+    greek = [(10_000 + i, " ".join("".join(chr(ord(c) + 848) for c in w) for w in sentence(rng, 90).split()), "el" if i < 22 else "few" if i < 25 else None) for i in range(28)]
+    junk = [(20_000, "!!!! #### $$$$ %%%% " * 40 + sentence(rng, 30), "el")]
+    df = spark.createDataFrame(latin + greek + junk, "doc_id bigint, text string, lang string").repartition(4)
+    df = df.unionByName(spark.range(25_000).selectExpr("id - 30000 AS doc_id", "repeat('some words and others ', 20) AS text", "'en' AS lang"))
+    rows = {r["doc_id"]: r for r in divergence.quality_rules(df).filter("doc_id >= 10000").collect()}
+    assert all(rows[i]["kept"] for i in rows if i < 20_000) and not rows[20_000]["kept"]
+    assert all((rows[i]["class_distance"] is None) == (i >= 10_022) for i in rows if i < 20_000)
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     counts, steps = np.array([1, 4, 3]), rng.normal(size=(2, 2))
