@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import chunks, lists, mapped, small, stored
 
 BUCKETS = 1 << 14
-LANGUAGE_SHARE = 0.02  # of the labelled documents: makes a language, hence at most 50
+LEAST_GRAMS = 1000  # trigrams of labelled text, about a page, that make a language, however many others have
+HELD = 100  # languages whose counts a task holds before it passes them on
 STRENGTH = 8.0  # pages that the parent of a host, domain or suffix counts as
 TEXT_WEIGHT = 0.2  # of the text's log-likelihood: its trigrams overlap, so they are no independent evidence
 BROADCAST_HOSTS = 200_000
@@ -56,33 +57,42 @@ def trigram_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _counting(languages: list[str]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), BUCKETS), dtype=np.int64)
-        index = {name: i for i, name in enumerate(languages)}
-        for batch, texts in chunks(batches, "text", 500_000):
-            owner = [index.get(name) for name in batch.column("lang").to_pylist()]
-            for i in range(len(languages)):
-                own = [t for t, o in zip(texts, owner) if o == i]
-                if own:
-                    sums[i] += trigram_counts(["  ".join(own)])[0]
-        which, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(bucket), pa.array(sums[which, bucket])], ["language", "bucket", "n"])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict = {}
 
-    return count
+    def passed_on():
+        for name, counts in sums.items():
+            bucket = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(bucket), pa.string()), pa.array(bucket), pa.array(counts[bucket])], ["language", "bucket", "n"])
+        sums.clear()
+
+    for batch, texts in chunks(batches, "text", 500_000):
+        own: dict = {}
+        for text, name in zip(texts, batch.column("lang").to_pylist()):
+            own.setdefault(name, []).append(text)
+        for name, said in own.items():
+            sums[name] = sums.get(name, 0) + trigram_counts(["  ".join(said)])[0].astype(np.int64)
+            if len(sums) >= HELD:
+                yield from passed_on()
+    yield from passed_on()
 
 
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probability per language and bucket) from all documents (text, lang)."""
-    total = docs.filter("lang IS NOT NULL").count()
-    often = docs.filter("lang IS NOT NULL").groupBy("lang").count().filter(F.col("count") >= max(1.0, LANGUAGE_SHARE * total))
-    languages = sorted(r["lang"] for r in often.collect())
-    rows = mapped(docs.select("text", "lang"), _counting(languages), "language bigint, bucket bigint, n bigint")
-    counts = np.zeros((len(languages), BUCKETS))
-    for r in rows.groupBy("language", "bucket").agg(F.sum("n").alias("n")).collect():  # at most 50 * BUCKETS rows
-        counts[r["language"], r["bucket"]] = r["n"]
-    counts += 0.5
-    return languages, np.log(counts / counts.sum(1, keepdims=True)) if languages else counts
+    """(languages, log probability per language and bucket) from all documents (text, lang).
+
+    A language takes BUCKETS numbers (128 KiB) here and in each Python worker.
+    """
+    rows = mapped(docs.filter("lang IS NOT NULL").select("text", "lang"), _count, "language string, bucket bigint, n bigint")
+    rows = stored(rows.groupBy("language", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    each = rows.groupBy("language").agg(F.sum("n").alias("grams"), F.collect_list(F.struct("bucket", "n")).alias("counts"))
+    each = each.filter(F.col("grams") >= LEAST_GRAMS).select("language", F.col("counts.bucket").alias("bucket"), F.col("counts.n").alias("n"))
+    found = {}
+    for r in each.toLocalIterator():
+        counts = np.full(BUCKETS, 0.5)
+        counts[np.array(r["bucket"])] += np.array(r["n"])
+        found[r["language"]] = np.log(counts / counts.sum())
+    languages = sorted(found)
+    return languages, np.array([found[name] for name in languages]).reshape(len(languages), BUCKETS)
 
 
 def parts_of(page: str, url: str) -> tuple[str, str, str, str, str]:
@@ -126,10 +136,13 @@ _READ = "page_id bigint, declared string, path string, host string, domain strin
 
 
 def _sums(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Soft counts per key as an array, and their total."""
-    out = rows.groupBy(*keys).agg(*[F.sum(F.col("says")[i]).alias(f"s{i}") for i in range(n)])
-    said = F.array(*[F.col(f"s{i}") / F.lit(float(UNIT)) for i in range(n)])
-    return out.select(*keys, said.alias("said")).withColumn("all", F.aggregate("said", F.lit(0.0), lambda a, x: a + x))
+    """Soft counts per key as an array, and their total. Only the languages that a page may have are added up."""
+    said = rows.select(*keys, F.posexplode("says").alias("i", "amount")).filter("amount > 0")
+    one = said.groupBy(*keys, "i").agg(F.sum("amount").alias("amount"))
+    known = one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "amount"))).alias("known"))
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    said = F.transform(places, lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0)) / F.lit(float(UNIT)))
+    return known.select(*keys, said.alias("said")).withColumn("all", F.aggregate("said", F.lit(0.0), lambda a, x: a + x))
 
 
 def _smoothed(said, total, parent):
@@ -138,9 +151,9 @@ def _smoothed(said, total, parent):
 
 def host_priors(rows: DataFrame, n: int) -> DataFrame:
     """(host, said, all, parent): soft counts of each host and the smoothed prior of its domain."""
-    even = F.array(*[F.lit(1.0 / n)] * n)
-    every = _sums(rows, n).select(_smoothed(F.col("said"), F.col("all"), even).alias("root")).first()["root"]
-    root = F.array(*[F.lit(p if p is not None else 1.0 / n) for p in every])
+    even = F.array_repeat(F.lit(1.0 / n), n)
+    every = _sums(rows, n).select(_smoothed(F.col("said"), F.col("all"), even).alias("root")).first()
+    root = F.array(*[F.lit(p) for p in (every["root"] if every and every["root"] else [1.0 / n] * n)])
     suffixes = _sums(rows, n, "suffix").select("suffix", _smoothed(F.col("said"), F.col("all"), root).alias("up"))
     domains = _sums(rows, n, "suffix", "domain").join(small(suffixes, BROADCAST_HOSTS), "suffix")
     domains = stored(domains.select("domain", _smoothed(F.col("said"), F.col("all"), F.col("up")).alias("parent")), "domains")
@@ -148,15 +161,15 @@ def host_priors(rows: DataFrame, n: int) -> DataFrame:
     return stored(hosts.select("host", "said", "all", "parent"), "hosts")
 
 
-def reliability(rows: DataFrame, column: str, languages: list[str]) -> dict:
-    """log P(value | language) for the values of an evidence column, from soft counts; at most languages + 2 values."""
+def reliability(rows: DataFrame, column: str, languages: list[str]) -> DataFrame:
+    """(column, weight per language): log P(value | language) for its values, from soft counts; at most languages + 2 values."""
     n = len(languages)
     found = {r[column]: np.array(r["said"]) for r in _sums(rows, n, column).collect()}
     values = sorted({*found, *languages, "", "other"})
     table = np.array([found.get(v, np.zeros(n)) for v in values])
     prior = np.array([[2.0 if v == name else 0.5 if v == "" else 0.1 for name in languages] for v in values])
     table = np.log((table + prior) / (table + prior).sum(0))
-    return dict(zip(values, table.tolist()))
+    return rows.sparkSession.createDataFrame(list(zip(values, table.tolist())), f"{column} string, {column}_says array<double>")
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -164,7 +177,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     lang has the highest posterior (the alphabetically first of equal ones), confidence is its value; text_lang is what the
     text alone says. NULL url or html is empty and leaves the other evidence; without any, the prior of all pages
-    decides. declared is "other" for languages without a model. Every row has its own result: equal
+    decides. declared is "other" for languages without a model: those with fewer than LEAST_GRAMS labelled trigrams. Every row has its own result: equal
     rows, NULL ids; extra columns are ignored. Without labelled documents lang is NULL; no pages give no rows.
     """
     languages, model = text_model(docs)
@@ -175,21 +188,18 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     read = mapped(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"), _reading(languages, model), _READ)
     rows = stored(read, "pages")
     hosts = host_priors(rows, n)
-    scores = []
-    tables = {c: reliability(rows, c, languages) for c in ("declared", "path")}
     out = rows.join(small(hosts, BROADCAST_HOSTS), "host")
-    for i in range(n):
-        own = F.col("says")[i] / F.lit(float(UNIT))
-        prior = (F.col("said")[i] - own + STRENGTH * F.col("parent")[i]) / (F.col("all") - 1 + STRENGTH)
-        score = F.log(F.greatest(own, F.lit(1e-6))) + F.log(F.greatest(prior, F.lit(1e-9)))
-        for column, found in tables.items():
-            value = F.lit(found[""][i])
-            for name, row in found.items():
-                value = F.when(F.col(column) == name, F.lit(row[i])).otherwise(value)
-            score = score + value
-        scores.append(score)
+    for column in ("declared", "path"):
+        out = out.join(F.broadcast(reliability(rows, column, languages)), column)
+
+    def score(i):
+        own = F.get("says", i) / F.lit(float(UNIT))
+        prior = (F.get("said", i) - own + STRENGTH * F.get("parent", i)) / (F.col("all") - 1 + STRENGTH)
+        text = F.log(F.greatest(own, F.lit(1e-6))) + F.log(F.greatest(prior, F.lit(1e-9)))
+        return text + F.get("declared_says", i) + F.get("path_says", i)
+
     names = F.array(*[F.lit(name) for name in languages])
-    out = out.withColumn("scores", F.array(*scores)).withColumn("best", F.array_max("scores"))
+    out = out.withColumn("scores", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), score)).withColumn("best", F.array_max("scores"))
     total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
     return out.select(
         "page_id",

@@ -35,3 +35,21 @@ def test_evidence_is_fused(spark):
     assert lf.identify(pages, docs).count() == len(rows)
     assert {r["lang"] for r in lf.identify(pages, docs.limit(0)).collect()} == {None}
     assert lf.identify(pages.limit(0), docs).count() == 0
+
+
+def test_rare_languages_are_known(spark):
+    """One frequent language and a tail of 60, each 0.1 % of the documents: all have a model and can be the answer."""
+    names = [f"{a}{b}" for a in "qrstvx" for b in "abcdefghij"]
+    words = {name: " ".join(f"{name}{x}{name[::-1]}{y}" for x in "aeiou" for y in "lmnr") for name in names}
+    tail = spark.createDataFrame([(words[name] * 3, name) for name in names for _ in range(4)], "text string, lang string")
+    docs = tail.unionByName(spark.range(4000).selectExpr("repeat('the quick words of this and that are in there ', 3) AS text", "'en' AS lang"))
+    docs = docs.unionByName(spark.createDataFrame([("too little", "zz")], "text string, lang string"))
+    rows = [(i, f"http://h{i}.org/{name}/x", f'<html lang="{name}"><p>{words[name]}') for i, name in enumerate(names)]
+    rows += [(100 + i, f"http://k{i}.org/", f"<p>{words[name]}") for i, name in enumerate(names)]
+    rows += [(200, "http://k.org/", "<html lang=zz><p>the words are quick and there")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = {r["page_id"]: r for r in lf.identify(pages, docs).collect()}
+    assert len(lf.text_model(docs)[0]) == 61 and len(out) == len(rows)
+    for i, name in enumerate(names):
+        assert (out[i]["lang"], out[i]["declared"], out[i]["path"]) == (name, name, name) and out[100 + i]["lang"] == name
+    assert (out[200]["lang"], out[200]["declared"]) == ("en", "other")
