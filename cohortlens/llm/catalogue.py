@@ -11,6 +11,7 @@ from cohortlens.llm.divergence import quality_rules
 from cohortlens.llm.language_fusion import identify
 from cohortlens.llm.mixing import mix
 from cohortlens.llm.near_dedup import near_duplicates
+from cohortlens.llm.packing import pack, read_pieces
 from cohortlens.llm.pii import find_personal_data
 from cohortlens.llm.quality_crf import classify
 from cohortlens.llm.secrets import scan_secrets
@@ -59,9 +60,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_pieces(spark, pack(table(spark, sf_dir, "documents")))
+
+
 _ALL = (
     op1_near_dedup, op2_secrets, op3_quality_rules, op4_quality_classifier, op5_decontamination,
-    op6_warc_fixity, op7_token_output, op8_language, op9_mixing, op10_pii,
+    op6_warc_fixity, op7_token_output, op8_language, op9_mixing, op10_pii, op13_packing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op1_near_dedup": sql.OP1, "op5_decontamination": sql.OP5, "op6_warc_fixity": sql.OP6, "op9_mixing": sql.OP9}
