@@ -14,6 +14,7 @@ from cohortlens.llm.near_dedup import near_duplicates
 from cohortlens.llm.packing import pack, read_pieces
 from cohortlens.llm.pii import find_personal_data
 from cohortlens.llm.quality_crf import classify
+from cohortlens.llm.runs import digested, periodic_runs
 from cohortlens.llm.secrets import scan_secrets
 from cohortlens.llm.token_output import read_digests, write_ids
 from cohortlens.llm.warc_fixity import audit, worn_replica
@@ -60,13 +61,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested(periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pieces(spark, pack(table(spark, sf_dir, "documents")))
 
 
 _ALL = (
     op1_near_dedup, op2_secrets, op3_quality_rules, op4_quality_classifier, op5_decontamination,
-    op6_warc_fixity, op7_token_output, op8_language, op9_mixing, op10_pii, op13_packing,
+    op6_warc_fixity, op7_token_output, op8_language, op9_mixing, op10_pii, op11_periodic_runs, op13_packing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op1_near_dedup": sql.OP1, "op5_decontamination": sql.OP5, "op6_warc_fixity": sql.OP6, "op9_mixing": sql.OP9}
