@@ -13,6 +13,7 @@ from cohortlens.llm.mixing import mix
 from cohortlens.llm.near_dedup import near_duplicates
 from cohortlens.llm.packing import pack, read_pieces
 from cohortlens.llm.pii import find_personal_data
+from cohortlens.llm.prefix_trie import conversation_trie
 from cohortlens.llm.quality_crf import classify
 from cohortlens.llm.runs import digested, periodic_runs
 from cohortlens.llm.secrets import scan_secrets
@@ -65,13 +66,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested(periodic_runs(table(spark, sf_dir, "documents"), plant=True))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), plant=True)
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pieces(spark, pack(table(spark, sf_dir, "documents")))
 
 
 _ALL = (
     op1_near_dedup, op2_secrets, op3_quality_rules, op4_quality_classifier, op5_decontamination,
-    op6_warc_fixity, op7_token_output, op8_language, op9_mixing, op10_pii, op11_periodic_runs, op13_packing,
+    op6_warc_fixity, op7_token_output, op8_language, op9_mixing, op10_pii, op11_periodic_runs, op12_prefix_trie, op13_packing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op1_near_dedup": sql.OP1, "op5_decontamination": sql.OP5, "op6_warc_fixity": sql.OP6, "op9_mixing": sql.OP9}
+SQL = {"op1_near_dedup": sql.OP1, "op5_decontamination": sql.OP5, "op6_warc_fixity": sql.OP6, "op9_mixing": sql.OP9, "op12_prefix_trie": sql.OP12}

@@ -112,3 +112,35 @@ SELECT coalesce(page_id, id) AS page_id, 0::BIGINT AS copy, position, "offset",
     CASE WHEN page_id IS NULL THEN 'strange' WHEN id IS NULL THEN 'missing' WHEN found = sha256 THEN 'intact' ELSE 'altered' END AS status
 FROM o FULL JOIN t ON page_id = id
 """
+
+# The CRC-32 of the decimal id, byte by byte and bit by bit; 3988292384 is its polynomial.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295)"""
+OP12 = f"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(strlen(coalesce(role, '')), ':', role, text))) AS r
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), b AS (
+    SELECT c.conv_id, 0 AS own, r, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND r <= h
+    UNION ALL SELECT t.conv_id, 1, r, role, text FROM t JOIN c USING (conv_id) WHERE r > h
+), p AS (
+    SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+        string_agg(md5(concat(strlen(role), ':', role, text)), '') OVER w AS k
+    FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, r ROWS UNBOUNDED PRECEDING)
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved FROM p GROUP BY k, depth
+), kids AS (SELECT substr(k, 1, 32 * (depth - 1)) AS k, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1
+), s AS (
+    SELECT substr(k, 1, 32 * up) AS k, sum(leaf) AS n_leaves, sum(saved) AS saved
+    FROM (SELECT n.k, saved, (kids.n IS NULL)::BIGINT AS leaf, unnest(range(0, depth + 1)) AS up FROM n LEFT JOIN kids USING (k)) GROUP BY 1
+), e AS (
+    SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+    FROM (SELECT conv_id, arg_max(k, depth) AS k FROM p GROUP BY conv_id) GROUP BY k
+)
+SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+    s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN s USING (k) LEFT JOIN kids USING (k) LEFT JOIN e USING (k)
+    LEFT JOIN n o ON n.depth > 0 AND o.k = substr(n.k, 1, 32 * (n.depth - 1))
+"""
