@@ -77,6 +77,12 @@ def _digits(piece: str) -> str:
     return "".join(c for c in piece if "0" <= c <= "9")
 
 
+def _octets(piece: str) -> bool:
+    """Whether all dotted numbers are at most 255, whatever their leading zeros; int() refuses long runs of digits."""
+    parts = [p.lstrip("0") for p in piece.split(".")]
+    return all(len(p) < 4 and int(p or 0) < 256 for p in parts)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -89,7 +95,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), sorted; matches that fail their check are dropped without a retry."""
     found = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m.group().split("."))]
+        found += [(1, *m.span()) for m in _IP.finditer(text) if _octets(m.group())]
         for m in _CARD.finditer(text):
             if 13 <= len(d := _digits(m.group())) <= 19 and luhn(d):
                 found.append((2, *m.span()))
@@ -108,14 +114,12 @@ def candidates(text: str, base: list) -> list[tuple[int, int, int]]:
     if _DIGIT.search(text):
         found += [(2, *m.span()) for m in _LOOSE_CARD.finditer(text)]
         found += [(3, *m.span()) for m in _LOOSE_PHONE.finditer(text)]
-    taken = sorted((a, b) for _, a, b in base)
-    ends = np.maximum.accumulate([b for _, b in taken]) if taken else []
-    out = []
-    for kind, a, b in found:
-        i = np.searchsorted([s for s, _ in taken], b) - 1 if taken else -1
-        if i < 0 or ends[i] <= a:
-            out.append((kind, a, b))
-    return out
+    if not base or not found:
+        return found
+    taken = np.array(sorted((a, b) for _, a, b in base))
+    ends = np.maximum.accumulate(taken[:, 1])
+    before = np.searchsorted(taken[:, 0], [b for _, _, b in found]) - 1  # the last base span that starts ahead of the end
+    return [(kind, a, b) for (kind, a, b), i in zip(found, before.tolist()) if i < 0 or ends[i] <= a]
 
 
 def _gazetteer(kind: int, piece: str) -> int:
@@ -247,7 +251,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     end exclusive) by kind, then start. NULL is the empty text and has no spans. Every row has its own
     result: equal rows, NULL ids; extra columns are ignored; an empty table gives no rows.
     """
-    found = stored(mapped(docs.select("doc_id", "text"), _finder, f"doc_id bigint, {_FOUND}"), "pii")
+    found = stored(mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), _finder, f"doc_id bigint, {_FOUND}"), "pii")
     seen = found.select(F.explode("codes").alias("code")).groupBy("code").count().collect()  # at most COMBINATIONS rows
     seen = sorted((r["code"], r["count"]) for r in seen)
     chances = classifier(np.array([c for c, _ in seen], dtype=np.int64), np.array([n for _, n in seen])) if seen else {}

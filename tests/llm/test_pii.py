@@ -64,3 +64,19 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(out) == odd_docs.count() and {r["spans"] for r in out} == {""}
     assert {r["base_sha256"] for r in out} == {sha256(b"").hexdigest()}
     assert pii.find_personal_data(no_docs).count() == 0
+
+
+def test_long_digit_runs_and_many_spans(spark):
+    """Numbers beyond what int() takes, and as many spans as a text may hold, in time that grows in proportion."""
+    zeros, nines = "0" * 10_000, "9" * 10_000
+    assert pii.base_spans(f"x {zeros}1.2.3.{zeros}255 y") == [(1, 2, 2 + 10_001 + 5 + 10_003)]
+    assert pii.base_spans(f"x {nines}.2.3.4 +{nines}7 y") == [] and pii.base_spans(f"{zeros}.0.0.{zeros}")[0][0] == 1
+    many = "mail a@b.com and 4111.1111.1111.1111 or 00" + "49 30 1234567 "
+    text = many * 3000
+    base = pii.base_spans(text)
+    loose = pii.candidates(text, base)
+    assert len(base) >= 3000 and len(loose) >= 3000
+    assert not any(a < end and start < b for (_, a, b), (_, start, end) in zip(loose[:50], base[:50]))
+    docs = spark.createDataFrame([(1, f"{zeros}1.2.3.4"), (2, text)], "doc_id int, text string")
+    out = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    assert out[1]["n_ip"] == 1 and out[2]["n_email"] == 3000
