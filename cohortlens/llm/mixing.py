@@ -1,8 +1,8 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
-Weights are source token shares raised to an exponent and normalised. The exponent, between 0 (all sources
-alike) and 1 (as they come), is found by bisection: the smallest whose weights have no more than the
-target entropy and repeat no source more often than allowed. Each source then gets its
+Weights are source token shares raised to an exponent and normalised. The exponent is found by bisection to the last bits of
+its number: that whose weights have the target entropy, flatter (below 1) or steeper (above 1) than the sources come, or the nearest to
+it that repeats no source more often than allowed. Each source then gets its
 weight's part of the token budget: whole passes over all of its documents, and a last pass that
 stops at the budget. A pass is a permutation of blocks, and of rows inside a block, by hashes of seed, document and
 pass. Only block totals are summed up to find the block where the budget ends, and only that block is
@@ -13,13 +13,16 @@ however hot the source. Only DataFrame functions are used.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import row_key, small, stored
 
-STEPS, WAYS = 4096, 16  # grid of the exponent; one pass over the sources is four bisection steps
+STEEPEST = 64.0  # largest exponent tried
+WAYS = 256  # one pass over the sources is eight bisection steps
+TOLERANCE = 1e-6  # of the entropy, in nats
 BROADCAST_SOURCES = 200_000
 BROADCAST_KEYS = 1_000_000
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -40,34 +43,74 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", group.alias("mix_group"), row_key("doc_id", "text").alias("mix_key"), word_count(F.col("text")).alias("n_tokens"))
 
 
-def exponent(totals: DataFrame, repeats: float, target_entropy: float | None, max_epochs: float | None) -> float:
-    """Smallest exponent on the grid that meets both limits, 1 if none does.
-
-    ``totals`` has ``share`` per source; ``repeats`` is budget over all tokens, ``target_entropy`` a share of the
-    largest entropy possible, ln of the number of sources. Both figures fall as the exponent rises.
-    """
-    sources = totals.count()
-    low, high = -1, STEPS  # low fails, high meets the limits or is 1
-    while high - low > 1:
-        points = sorted({low + math.ceil((high - low) * i / WAYS) for i in range(1, WAYS)} - {low, high})
-        figures = []
-        for k in points:
-            power = F.pow("share", F.lit(k / STEPS))
-            figures += [F.sum(power), F.sum(power * F.log("share")), F.max(F.pow("share", F.lit(k / STEPS - 1)))]
-        row = totals.agg(*[f.alias(f"f{i}") for i, f in enumerate(figures)]).first()
-        for j, k in enumerate(points):
-            total, slope, most = row[3 * j], row[3 * j + 1], row[3 * j + 2]
-            meets = target_entropy is None or math.log(total) - k / STEPS * slope / total <= target_entropy * math.log(max(sources, 1)) + 1e-12
-            meets = meets and (max_epochs is None or repeats * most / total <= max_epochs + 1e-12)
-            if meets:
-                high = k
+@dataclass(frozen=True)
+class Temperature:
+    """The exponent found, the entropy of its weights as a share of the largest possible, the most passes over any source, and
+    whether the target entropy is met, within ``TOLERANCE``."""
+
+    exponent: float
+    entropy: float
+    repeats: float
+    met: bool
+
+
+def _figures(shares: DataFrame, points: list[float]) -> list[tuple[float, float]]:
+    """(entropy of the weights, largest weight over share) for each exponent, in one pass over the sources."""
+    power = F.pow("share", "k")
+    grid = shares.select("share", F.explode(F.array(*[F.lit(float(k)) for k in points])).alias("k"))
+    grid = grid.groupBy("k").agg(F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("slope"), F.max(F.pow("share", F.col("k") - 1)).alias("most"))
+    found = {r["k"]: r for r in grid.collect()}
+    return [(math.log(found[k]["z"]) - k * found[k]["slope"] / found[k]["z"], found[k]["most"] / found[k]["z"]) for k in points]
+
+
+def _between(shares: DataFrame, bad: float, good: float, holds) -> float:
+    """The exponent next to ``bad`` for which ``holds(entropy, repeats)``, which it does from there to ``good``."""
+    while True:
+        points = [bad + (good - bad) * i / WAYS for i in range(1, WAYS)]
+        points = sorted({p for p in points if p not in (bad, good)}, reverse=good < bad)
+        if not points:
+            return good
+        for k, figures in zip(points, _figures(shares, points)):
+            if holds(*figures):
+                good = k
                 break
-            low = k
-    return high / STEPS
+            bad = k
 
 
-def plan(rows: DataFrame, budget_share: float, target_entropy: float | None, max_epochs: float | None, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(per group: passes, rest, blocks, edge, left; keys of the edge blocks that still fit).
+def temperature(shares: DataFrame, repeats: float, target_entropy: float | None, max_epochs: float | None) -> Temperature:
+    """The exponent whose weights have ``target_entropy`` times the largest entropy possible, ln of the number of sources.
+
+    ``shares`` has ``share`` per source, ``repeats`` is budget over all tokens. Entropy falls as the exponent rises, from 0 (all sources
+    alike) to ``STEEPEST``; below 1 it is flatter than the sources are, above 1 steeper. The most passes over a source fall up to 1 and
+    rise behind it; where the target would need more than ``max_epochs``, the exponent goes towards 1 until it does not.
+    Without a target it starts from 0. Sources of equal shares, whose entropy does not depend on it, have 1.
+    """
+    n = shares.count()
+    (flat, _), (steep, _) = _figures(shares, [0.0, STEEPEST])
+    goal = flat if target_entropy is None else target_entropy * math.log(n)
+    if n < 2 or flat - steep < 1e-12:
+        power = 1.0
+    elif flat <= goal + 1e-12:
+        power = 0.0
+    elif steep > goal:
+        power = STEEPEST
+    else:
+        power = _between(shares, 0.0, STEEPEST, lambda entropy, _: entropy <= goal)
+
+    def allowed(_, most):
+        return max_epochs is None or repeats * most <= max_epochs * (1 + 1e-12)
+
+    if power != 1.0 and not allowed(*_figures(shares, [power])[0]):
+        power = _between(shares, power, 1.0, allowed)
+    (entropy, most), = _figures(shares, [power])
+    met = target_entropy is None or abs(entropy - goal) <= TOLERANCE
+    return Temperature(power, entropy / math.log(n) if n > 1 else 1.0, repeats * most, met)
+
+
+def plan(
+    rows: DataFrame, budget_share: float, target_entropy: float | None, max_epochs: float | None, seed: int
+) -> tuple[DataFrame, DataFrame, Temperature]:
+    """(per group: passes, rest, blocks, edge, left; keys of the edge blocks that still fit; the exponent).
 
     Blocks below ``edge`` take part in the last pass, the edge block only with the listed keys.
     """
@@ -77,7 +120,8 @@ def plan(rows: DataFrame, budget_share: float, target_entropy: float | None, max
     shares = totals.filter("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(max(everything, 1))))
     if max_epochs is not None:
         budget_share = min(budget_share, max_epochs)  # no weights could repeat everything more often
-    power = exponent(shares, budget_share, target_entropy, max_epochs) if everything else 1.0
+    found = temperature(shares, budget_share, target_entropy, max_epochs) if everything else Temperature(1.0, 1.0, 0.0, target_entropy is None)
+    power = found.exponent
     norm = shares.agg(F.sum(F.pow("share", F.lit(power)))).first()[0] or 1.0
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(max(everything, 1))), F.lit(power)) / F.lit(norm)).otherwise(0.0)
     wanted = F.floor(weight * F.lit(budget_share * everything) + 0.5)
@@ -98,7 +142,7 @@ def plan(rows: DataFrame, budget_share: float, target_entropy: float | None, max
     units = edge.groupBy("mix_group", "mix_key", "passes", "left").agg(F.sum("n_tokens").alias("n_tokens"))  # equal rows go together
     order = Window.partitionBy("mix_group").orderBy(_row_order(F.col("passes"), seed), "mix_key").rowsBetween(Window.unboundedPreceding, 0)
     fitting = units.withColumn("upto", F.sum("n_tokens").over(order)).filter("upto <= left").select("mix_key", F.lit(True).alias("mix_fits"))
-    return plans, stored(fitting, "edge")
+    return plans, stored(fitting, "edge"), found
 
 
 def _block(epoch, seed: int) -> F.Column:
@@ -126,20 +170,22 @@ def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float | None
     """One row per document and pass in the mixture of ``docs`` (doc_id, text, source).
 
     Columns: doc_id, source, n_tokens (words), epoch, block, block_order, row_order; sorted by the last two, blocks of all
-    sources are interleaved at random and rows at random within them. The budget is ``budget_share`` of all tokens (at most
+    sources are interleaved at random and rows at random within them. exponent_micro, rounded millionths, and entropy_met, on every
+    row, tell the exponent used and whether its weights have the target entropy (see ``temperature``). The budget is ``budget_share`` of all tokens (at most
     ``max_epochs``). A NULL source is a source of its own; NULL and empty texts have no tokens and ride along in the passes
     and blocks they fall into; a source without tokens is left out. Equal rows are taken or left together in the last
     block; rows with a NULL doc_id are kept. Extra columns are ignored; an empty table gives no rows.
     """
     rows = stored(narrow(docs), "narrow")
-    out = repeated(rows, *plan(rows, budget_share, target_entropy, max_epochs, seed), seed)
-    return out.select("doc_id", "source", "n_tokens", "epoch", "block", "block_order", "row_order")
+    plans, fitting, found = plan(rows, budget_share, target_entropy, max_epochs, seed)
+    told = [F.lit(math.floor(found.exponent * 1e6 + 0.5)).cast("bigint").alias("exponent_micro"), F.lit(found.met).alias("entropy_met")]
+    return repeated(rows, plans, fitting, seed).select("doc_id", "source", "n_tokens", "epoch", "block", "block_order", "row_order", *told)
 
 
 def mixed_documents(docs: DataFrame, budget_share: float = 1.0, target_entropy: float | None = 0.95, max_epochs: float | None = 4.0, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` themselves, as often as ``mix`` has them, with their own columns."""
     names = docs.columns
-    plans, fitting = plan(stored(narrow(docs), "narrow"), budget_share, target_entropy, max_epochs, seed)
+    plans, fitting, _ = plan(stored(narrow(docs), "narrow"), budget_share, target_entropy, max_epochs, seed)
     group = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     whole = F.struct(*[F.col(f"`{c}`") for c in names])  # so that no column can clash
     rows = docs.select(group.alias("mix_group"), row_key("doc_id", "text").alias("mix_key"), whole.alias("row"))

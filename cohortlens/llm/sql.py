@@ -50,20 +50,43 @@ FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 # Parameters of the query: budget 1, entropy 0.95 of the largest, 4 passes at most, seed 0.
+def _Z(k):  # sum of powers of the shares
+    return f"list_sum([pow(p, {k}) FOR p IN ps])"
+
+
+def _H(k):  # entropy of the weights
+    return f"(ln({_Z(k)}) - {k} * list_sum([pow(p, {k}) * ln(p) FOR p IN ps]) / {_Z(k)})"
+
+
+def _R(k):  # most passes over a source
+    return f"(list_max([pow(p, {k} - 1) FOR p IN ps]) / {_Z(k)})"
+
+
 OP9 = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
     SELECT doc_id, source, coalesce('=' || source, '-') AS g,
         md5(coalesce('=' || doc_id::VARCHAR, '-') || chr(31) || coalesce('=' || text, '-')) AS k,
         len(regexp_extract_all(coalesce(text, ''), {SPACED}))::BIGINT AS n
     FROM documents
 ), t AS (SELECT g, sum(n)::BIGINT AS t, count(*) AS rows FROM d GROUP BY g
 ), s AS (SELECT g, t / (SELECT sum(t) FROM t) AS p FROM t WHERE t > 0
-), a AS (
-    SELECT i, sum(pow(p, i / 4096.0)) AS z, sum(pow(p, i / 4096.0) * ln(p)) AS l, max(pow(p, i / 4096.0 - 1)) AS m
-    FROM s, range(0, 4097) r(i) GROUP BY i
+), l AS (SELECT list(p) AS ps, ln(count(*)) AS most, 0.95 * ln(count(*)) AS goal FROM s
+), h AS (
+    SELECT 0 AS i, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi UNION ALL
+    SELECT i + 1, CASE WHEN {_H('m')} <= goal THEN lo ELSE m END, CASE WHEN {_H('m')} <= goal THEN m ELSE hi END
+    FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m FROM h), l WHERE i < 70
+), t1 AS (
+    SELECT CASE WHEN len(ps) < 2 OR {_H('0')} - {_H('64')} < 1e-12 THEN 1.0 WHEN {_H('0')} <= goal + 1e-12 THEN 0.0
+        WHEN {_H('64')} > goal THEN 64.0 ELSE hi END AS e
+    FROM h, l WHERE i = 70
+), r AS (
+    SELECT 0 AS i, e AS bad, 1.0::DOUBLE AS good FROM t1 UNION ALL
+    SELECT i + 1, CASE WHEN {_R('m')} <= 4 * (1 + 1e-12) THEN bad ELSE m END, CASE WHEN {_R('m')} <= 4 * (1 + 1e-12) THEN m ELSE good END
+    FROM (SELECT i, bad, good, (bad + good) / 2 AS m FROM r), l WHERE i < 70
 ), e AS (
-    SELECT coalesce(min(i), 4096) / 4096.0 AS e FROM a
-    WHERE ln(z) - i / 4096.0 * l / z <= 0.95 * ln((SELECT count(*) FROM s)) + 1e-12 AND m / z <= 4 + 1e-12
+    SELECT CASE WHEN {_R('t1.e')} <= 4 * (1 + 1e-12) THEN t1.e ELSE good END AS e FROM t1, r, l WHERE i = 70
+), told AS (
+    SELECT floor(e * 1e6 + 0.5)::BIGINT AS exponent_micro, abs({_H('e')} - goal) <= 1e-6 AS entropy_met FROM e, l
 ), w AS (
     SELECT g, t, ceil(sqrt(rows))::BIGINT AS b, CASE WHEN t > 0 THEN floor(pow(t / (SELECT sum(t) FROM t), (SELECT e FROM e))
         / (SELECT sum(pow(p, (SELECT e FROM e))) FROM s) * (SELECT sum(t) FROM t) + 0.5)::BIGINT ELSE 0 END AS want
@@ -90,8 +113,8 @@ WITH d AS (
 )
 SELECT doc_id, source, n AS n_tokens, epoch::INTEGER AS epoch, new_block AS block,
     ('0x' || substr(md5('order0:' || epoch || ':' || g || ':' || new_block), 1, 15))::BIGINT AS block_order,
-    ('0x' || substr(md5('row0:' || epoch || ':' || k), 1, 15))::BIGINT AS row_order
-FROM (SELECT *, ('0x' || substr(md5('block0:' || epoch || ':' || k), 1, 15))::BIGINT % b AS new_block FROM y)
+    ('0x' || substr(md5('row0:' || epoch || ':' || k), 1, 15))::BIGINT AS row_order, exponent_micro, entropy_met
+FROM told, (SELECT *, ('0x' || substr(md5('block0:' || epoch || ':' || k), 1, 15))::BIGINT % b AS new_block FROM y)
 """
 
 _RECORD = r"""concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),

@@ -22,19 +22,41 @@ def weights(tokens, e):
     return {s: p / sum(powers.values()) for s, p in powers.items()}
 
 
+def bisect(bad, good, holds):
+    for _ in range(200):
+        k = (bad + good) / 2
+        bad, good = (bad, k) if holds(k) else (k, good)
+    return good
+
+
+def exponent(tokens, share, entropy, epochs):
+    total = sum(tokens.values())
+
+    def h(k):
+        return -sum(v * math.log(v) for v in weights(tokens, k).values() if v)
+
+    def repeats(k):
+        w = weights(tokens, k)
+        return max(share * total * w[s] / tokens[s] for s in w)
+
+    goal = math.log(len(tokens)) * (1 if entropy is None else entropy)
+    if len(tokens) < 2 or h(0) - h(64) < 1e-12:
+        e = 1.0
+    elif h(0) <= goal + 1e-12:
+        e = 0.0
+    else:
+        e = 64.0 if h(64) > goal else bisect(0.0, 64.0, lambda k: h(k) <= goal)
+    allowed = lambda k: epochs is None or repeats(k) <= epochs * (1 + 1e-12)
+    return e if allowed(e) else bisect(e, 1.0, allowed)
+
+
 def brute(rows, entropy, epochs, share=1.0):
     tokens = defaultdict(int)
     for _, t, s in rows:
         tokens[s] += len(t.split())
     total = sum(tokens.values())
     share = min(share, epochs)
-
-    def meets(k):
-        w = weights(tokens, k / 4096)
-        return -sum(v * math.log(v) for v in w.values()) <= entropy * math.log(len(w)) + 1e-12 and all(
-            share * total * w[s] / tokens[s] <= epochs + 1e-12 for s in w)
-
-    e = next((k for k in range(4097) if meets(k)), 4096) / 4096
+    e = exponent(tokens, share, entropy, epochs)
     w, out = weights(tokens, e), []
     for s in tokens:
         own = [(i, len(t.split()), md5(f"={i}\x1f={t}".encode()).hexdigest()) for i, t, x in rows if x == s]
@@ -52,7 +74,7 @@ def brute(rows, entropy, epochs, share=1.0):
 
 def test_equals_brute_force(spark, rng):
     df, rows = corpus(spark, rng)
-    for entropy, epochs, share in ((0.95, 4.0, 1.0), (1.0, 2.0, 1.0), (0.99, 3.0, 2.5), (0.1, 1.0, 5.0)):
+    for entropy, epochs, share in ((0.95, 4.0, 1.0), (0.6, 4.0, 1.0), (0.3, 9.0, 2.0), (1.0, 2.0, 1.0), (0.99, 3.0, 2.5), (0.1, 1.0, 5.0)):
         got = sorted((r["doc_id"], r["epoch"]) for r in mixing.mix(df, share, entropy, epochs).collect())
         assert got == brute(rows, entropy, epochs, share)
 
@@ -69,6 +91,43 @@ def test_blocks_are_interleaved_permutations(spark, rng):
     assert first != again and len(set(first)) == len(first)
 
 
+def shares_of(spark, tokens):
+    total = sum(tokens)
+    return spark.createDataFrame([(t / total,) for t in tokens], "share double")
+
+
+def test_temperature_meets_its_target(spark):
+    """Flatter and steeper mixtures than the sources are; which targets cannot be met is told."""
+    tokens = [700, 200, 90, 10]
+    natural = -sum(t / 1000 * math.log(t / 1000) for t in tokens) / math.log(4)
+    for target, flatter in ((0.95, True), (natural, None), (0.3, False), (0.05, False)):
+        found = mixing.temperature(shares_of(spark, tokens), 1.0, target, None)
+        assert found.met and abs(found.entropy - target) < 1e-9
+        assert flatter is None or (found.exponent < 1) == flatter
+        assert abs(found.exponent - exponent(dict(enumerate(tokens)), 1.0, target, None)) < 1e-9
+    limited = mixing.temperature(shares_of(spark, tokens), 1.0, 1.0, 4.0)
+    assert not limited.met and abs(limited.repeats - 4) < 1e-9 and 0 < limited.exponent < 1
+    steep = mixing.temperature(shares_of(spark, tokens), 2.0, 0.05, 2.5)
+    assert not steep.met and abs(steep.repeats - 2.5) < 1e-9 and steep.exponent > 1
+    twins = mixing.temperature(shares_of(spark, [400, 400, 200]), 1.0, 0.5, None)
+    assert not twins.met and twins.exponent == mixing.STEEPEST and abs(twins.entropy - math.log(2) / math.log(3)) < 1e-9
+    alike = mixing.temperature(shares_of(spark, [5, 5, 5]), 1.0, 0.5, 4.0)
+    assert alike.exponent == 1.0 and not alike.met and abs(alike.entropy - 1) < 1e-9 and abs(alike.repeats - 1) < 1e-9
+    assert mixing.temperature(shares_of(spark, [5]), 1.0, 0.5, 4.0).exponent == 1.0
+    assert mixing.temperature(shares_of(spark, tokens), 1.0, None, 8.0).exponent < mixing.temperature(shares_of(spark, tokens), 1.0, None, 2.0).exponent
+
+
+def test_given_table_is_tempered(spark):
+    """On the given documents the target moves the exponent, and the rows follow the weights."""
+    out = mixing.mix(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    row = out.first()
+    assert row["entropy_met"] and abs(row["exponent_micro"] - 1_000_000) > 10_000
+    sums = {r["source"]: r["n"] for r in out.groupBy("source").sum("n_tokens").toDF("source", "n").collect()}
+    total = sum(sums.values())
+    reached = -sum(n / total * math.log(n / total) for n in sums.values()) / math.log(len(sums))
+    assert abs(reached - 0.95) < 0.01 and out.filter("epoch > 0").count() > 0
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = mixing.mix(odd_docs, 1.0, None, 1.0)
     assert out.count() == odd_docs.count()
