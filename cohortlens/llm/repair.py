@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of token ids (Larsson and Moffat, 1999), in batched rounds.
 
 Each round counts all adjacent pairs and replaces the frequent ones by new symbols, the more frequent first where
-they overlap; a pair never spans two documents. A rule keeps its two symbols and its
+they overlap; a pair never spans two documents. The last round leaves no pair that is frequent. A rule keeps its two symbols and its
 expansion length, so any document, or any range of its tokens, decodes without the others.
 """
 
@@ -11,37 +11,40 @@ from functools import cached_property
 
 import numpy as np
 
-LEAST = 48  # occurrences that make a pair frequent
+LEAST = 4  # occurrences that make a pair frequent: a rule takes the place of some three symbols
 HASH_BITS = 20
-GAIN = 0.03  # a round that shortens the sequence by less than this share is the last
 
 
 class Grammar:
-    """``left`` and ``right`` per rule; symbol ``base + k`` stands for rule k, lower ones are ids."""
+    """``left`` and ``right`` per rule; symbol ``base + k`` stands for rule k, lower ones are ids. ``lengths`` are the rules' expansion
+    lengths, worked out unless given."""
 
-    def __init__(self, base: int, left: np.ndarray, right: np.ndarray):
+    def __init__(self, base: int, left: np.ndarray, right: np.ndarray, lengths: np.ndarray | None = None):
         self.base, self.left, self.right = base, left, right
-        lengths: list[int] = []
-        for a, b in zip(left.tolist(), right.tolist()):  # a rule's symbols come before it
-            lengths.append((lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1))
-        self.lengths = np.array(lengths, dtype=np.int64)
-        self._size = np.concatenate([np.ones(base, dtype=np.int64), self.lengths])
+        if lengths is None:
+            found: list[int] = []
+            for a, b in zip(left.tolist(), right.tolist()):  # a rule's symbols come before it
+                found.append((found[a - base] if a >= base else 1) + (found[b - base] if b >= base else 1))
+            lengths = np.array(found, dtype=np.int64)
+        self.lengths = lengths
 
     @cached_property
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """All expansions one after the other, those of the ids first, and where each symbol's starts."""
+        size = np.concatenate([np.ones(self.base, dtype=np.int64), self.lengths])
         pieces: list[list[int]] = []
         for a, b in zip(self.left.tolist(), self.right.tolist()):
             one = pieces[a - self.base] if a >= self.base else [a]
             pieces.append(one + (pieces[b - self.base] if b >= self.base else [b]))
         flat = np.fromiter((i for p in pieces for i in p), dtype=np.int64, count=int(self.lengths.sum()))
-        return np.concatenate([np.arange(self.base), flat]), np.cumsum(self._size) - self._size
+        return np.concatenate([np.arange(self.base), flat]), np.cumsum(size) - size
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """Expansion length of each symbol."""
-        return self._size[symbols]
+        return np.where(symbols < self.base, 1, np.append(self.lengths, 1)[np.minimum(np.maximum(symbols - self.base, 0), len(self.lengths))])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of many symbols, by way of the expansions of all rules."""
         flat, starts = self._expansions
         sizes = self.sizes(symbols)
         ends = np.cumsum(sizes)
@@ -49,76 +52,133 @@ class Grammar:
         places += np.arange(len(places))
         return flat[places]
 
+    def unfold(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of few symbols, by the rules that these use only."""
+        while len(rules := np.flatnonzero(symbols >= self.base)):
+            own = symbols[rules] - self.base
+            out = np.repeat(symbols, np.where(symbols >= self.base, 2, 1))
+            at = rules + np.arange(len(rules))
+            out[at], out[at + 1] = self.left[own], self.right[own]
+            symbols = out
+        return symbols
+
     def part(self, symbols: np.ndarray, start: int, stop: int) -> np.ndarray:
-        """Tokens start to stop of a document, expanding only the symbols that hold them."""
+        """Tokens start to stop of a document; lengths tell which symbols hold them, and only these are unfolded."""
         ends = np.cumsum(self.sizes(symbols))
         stop = min(stop, int(ends[-1]) if len(ends) else 0)
         if start >= stop:
             return np.zeros(0, dtype=np.int64)
         first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
         before = int(ends[first - 1]) if first else 0
-        return self.expand(symbols[first : last + 1])[start - before : stop - before]
-
+        return self.unfold(symbols[first : last + 1])[start - before : stop - before]
 
-def _hashed(codes: np.ndarray) -> np.ndarray:
-    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
+def _hashed(codes: np.ndarray, bits: int) -> np.ndarray:
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
-def _frequent(codes: np.ndarray, places: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The codes that occur at least ``least`` times, the most frequent first, at most ``most``.
 
-    Only codes whose hash bucket is full enough are sorted.
-    """
-    likely = np.sort(codes[np.bincount(places, minlength=1 << HASH_BITS)[places] >= least])
-    if not len(likely):
-        return likely
-    edges = np.flatnonzero(np.concatenate([[True], likely[1:] != likely[:-1]]))
+def _frequent(likely: np.ndarray, least: int) -> np.ndarray:
+    """The codes that occur at least ``least`` times, the most frequent first."""
+    likely = np.sort(likely)
+    edges = np.flatnonzero(np.append(True, likely[1:] != likely[:-1]))
     counts = np.diff(np.append(edges, len(likely)))
     often = np.flatnonzero(counts >= least)
-    return likely[edges[often[np.argsort(-counts[often], kind="stable")][:most]]]
-
-
-def compress(ids: np.ndarray, sizes: np.ndarray, base: int, most: int, least: int = LEAST, gain: float = GAIN):
+    return likely[edges[often[np.argsort(-counts[often], kind="stable")]]]
+
+
+class _Sequence:
+    """The symbols as a doubly linked list over the places of the ids; a replaced pair stays at its left place."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        n = len(ids)
+        self.symbol = ids.astype(np.uint64)
+        self.next, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.last = np.zeros(n + 1, dtype=bool)  # of its document; no pair begins there
+        self.last[np.cumsum(sizes)[sizes > 0] - 1] = True
+        self.alive = np.ones(n + 1, dtype=bool)
+        self.alive[n] = False
+        self.rank = np.full(n + 2, n + 2, dtype=np.int64)  # of the pair at a place; n + 2: not to be replaced now
+
+    def chosen(self, places: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Of sorted places those whose pairs are replaced: no two overlap.
+
+        A pair goes if its rank is lower than that of the pairs it overlaps; in a run of one pair every other one goes.
+        """
+        self.rank[places] = rank
+        ahead, behind = self.rank[self.before[places]], self.rank[self.next[places]]
+        index = np.arange(len(places))
+        same = np.append(False, self.before[places[1:]] == places[:-1]) & (ahead == rank)
+        start = np.maximum.accumulate(np.where(same, 0, index))
+        taken = ((index - start) % 2 == 0) & (same | (rank < ahead)) & (rank <= behind)
+        self.rank[places] = len(self.rank)
+        return np.flatnonzero(taken)
+
+    def replace(self, places: np.ndarray, symbols: np.ndarray) -> None:
+        right = self.next[places]
+        self.symbol[places] = symbols
+        self.last[places] = self.last[right]
+        self.alive[right] = False
+        behind = self.next[right]
+        self.next[places] = behind
+        inside = behind < len(self.before)
+        self.before[behind[inside]] = places[inside]
+
+
+def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
     """(symbols, symbols per document, Grammar) of consecutive documents of the given sizes.
 
-    ``base`` is above all ids, ``most`` bounds the number of rules. Empty input gives no rules.
+    ``base`` is above all ids. Ends when no pair occurs ``least`` times (2 at least). Empty input gives no rules. A pair that is not
+    frequent can never become so, hence a round looks at the pairs that were likely to be in the one before and at those
+    with a new symbol.
     """
-    now = ids.astype(np.uint64)
-    last = np.zeros(len(now), dtype=bool)
-    last[np.cumsum(sizes)[sizes > 0] - 1] = True
-    lefts, rights, known = [], [], 0
-    width = np.uint64(base + most)
-    while known < most and len(now) > 1:
-        free = np.flatnonzero(~last[:-1])
-        codes = now[free] * width + now[free + 1]
-        places = _hashed(codes)
-        pairs = _frequent(codes, places, least, most - known)
-        none = len(pairs)
-        if not none:
+    n, lefts, rights, known = len(ids), [], [], 0
+    row = _Sequence(ids, sizes)
+    width = np.uint64(base + n + 1)  # there are fewer rules than ids
+    places = np.flatnonzero(~row.last[:n])
+    while len(places):
+        codes = row.symbol[places] * width + row.symbol[row.next[places]]
+        bits = min(HASH_BITS, max(10, len(places).bit_length() + 1))
+        buckets = _hashed(codes, bits)
+        likely = np.bincount(buckets, minlength=1 << bits)[buckets] >= least
+        places, codes, buckets = places[likely], codes[likely], buckets[likely]
+        pairs = _frequent(codes, least) if len(codes) else codes
+        if not len(pairs):
             break
-        table = np.full(1 << HASH_BITS, none, dtype=np.int64)
-        table[_hashed(pairs)[::-1]] = np.arange(none)[::-1]  # of two in one bucket the rarer waits for the next round
-        guess = table[places]
-        rank = np.full(len(now) + 1, none, dtype=np.int64)  # rank[i + 1] belongs to the pair at i
-        rank[free + 1] = np.where(np.append(pairs, 0)[guess] == codes, guess, none)
-        here, before, after = rank[1:-1], rank[:-2], rank[2:]
-        taken = np.flatnonzero((here < none) & (here < before) & (here <= after))
-        worth = np.bincount(here[taken], minlength=none) >= max(2, least // 4)
-        taken = taken[worth[here[taken]]]
-        if len(taken) < gain * len(now):
-            break
-        number = np.cumsum(worth) - 1
-        lefts.append((pairs[worth] // width).astype(np.int64))
-        rights.append((pairs[worth] % width).astype(np.int64))
-        now[taken] = (base + known + number[here[taken]]).astype(np.uint64)
-        last[taken] = last[taken + 1]
-        keep = np.ones(len(now), dtype=bool)
-        keep[taken + 1] = False
-        now, last = now[keep], last[keep]
-        known += int(worth.sum())
+        table = np.zeros(1 << bits, dtype=np.int64)
+        table[_hashed(pairs, bits)[::-1]] = np.arange(len(pairs))[::-1]  # of two in one bucket the rarer waits for the next round
+        guess = table[buckets]
+        sure = pairs[guess] == codes
+        spots, rank = places[sure], guess[sure]
+        taken = row.chosen(spots, rank)
+        pair = rank[taken]
+        worth = np.bincount(pair, minlength=len(pairs)) >= 2
+        worth[0] = True  # the most frequent one, so that every round replaces something
+        taken = taken[worth[pair]]
+        spots, pair = spots[taken], rank[taken]
+        used = np.bincount(pair, minlength=len(pairs)) > 0
+        lefts.append((pairs[used] // width).astype(np.int64))
+        rights.append((pairs[used] % width).astype(np.int64))
+        row.replace(spots, (base + known + np.cumsum(used) - 1)[pair].astype(np.uint64))
+        known += int(used.sum())
+        again = np.zeros(n + 1, dtype=bool)
+        again[places] = again[spots] = True
+        again[row.before[spots]] = True  # -1 is the spare place at the end
+        places = np.flatnonzero(again & row.alive & ~row.last)
     empty = np.zeros(0, dtype=np.int64)
     grammar = Grammar(base, np.concatenate([empty, *lefts]), np.concatenate([empty, *rights]))
-    ends = np.zeros(len(sizes), dtype=np.int64)
-    ends[sizes > 0] = np.flatnonzero(last) + 1
-    ends = np.maximum.accumulate(ends) if len(ends) else ends
-    return now.astype(np.int64), np.diff(np.concatenate([[0], ends])), grammar
+    ends = np.append(0, np.cumsum(row.alive[:n]))[np.cumsum(sizes)] if len(sizes) else empty
+    return row.symbol[row.alive[:n]].astype(np.int64), np.diff(np.append(0, ends)), grammar
+
+
+def packed(symbols: np.ndarray, bits: int) -> bytes:
+    """The symbols one after the other, ``bits`` bits each, lowest bit first."""
+    planes = (symbols[:, None] >> np.arange(bits)) & 1
+    return np.packbits(planes.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
+
+
+def unpacked(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
+    """Symbols start to stop of ``packed`` data, reading only the bytes that hold them."""
+    first = start * bits // 8
+    held = np.frombuffer(data, np.uint8, (stop * bits + 7) // 8 - first, first)
+    flat = np.unpackbits(held, bitorder="little")[start * bits - 8 * first :][: (stop - start) * bits]
+    return flat.reshape(stop - start, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))

@@ -8,23 +8,25 @@ Parquet in the shared folder, one row per shard, committed by Spark's writer, so
     before          ids of the part ahead of the shard
     doc_ids         ids of its documents, in order
     n_tokens        ids per document, with the end id
-    n_symbols       symbols per document
+    symbol_ends     where the symbols of each document end
     n_rules, base   symbols below base are ids; base + k stands for rule k
-    rules           left and right symbol of each rule, little-endian unsigned 32-bit
-    lengths         expansion length of each rule, as before
-    symbols         the symbols of all documents, ``width`` bytes each, little-endian
+    rules           left symbols of all rules, then right ones, ``bits`` bits each, lowest bit first
+    lengths         expansion length of each rule, little-endian unsigned 32-bit
+    symbols         the symbols of all documents, as the rules
 
-Any document, or range of one, decodes from its shard's rules alone (``decode``).
+Any document, or range of one, decodes from its own symbols, the lengths and the rules these use (``decode``).
 """
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +37,14 @@ from cohortlens.sources.files import new_folder
 
 END_ID = 1
 SHARD_TOKENS = 1_000_000
-RULES = 16_000
 TEXTS = 256  # texts encoded at a time
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the tokenizer's own pattern
+MARK, LATIN = "\0", "\u0250"
 CACHE = 900_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
 
 _SHARD = (
-    "part int, shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_symbols array<bigint>, "
-    "n_rules int, base int, width int, rules binary, lengths binary, symbols binary"
+    "part int, shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, symbol_ends array<bigint>, "
+    "n_rules int, base int, bits int, rules binary, lengths binary, symbols binary"
 )
 _workers: dict = {}
 
@@ -58,8 +61,6 @@ class Encoder:
     lower-casing makes pieces that differ in A-Z only the same."""
 
     def __init__(self, path: str, end_id: int):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,6 +70,7 @@ class Encoder:
         self.bytes_of = np.zeros(self.base, dtype=np.int64)
         for token, code in self.tokenizer.get_vocab().items():  # one character of a token is one byte of text
             self.bytes_of[code] = len(token.removesuffix("</w>"))
+        self.fast = _fast(self.tokenizer)
         self.known: dict[str, bytes] = {"": b""}
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,25 +91,59 @@ class Encoder:
         return np.frombuffer(b"".join(coded), dtype="<u4"), np.array([len(c) // 4 for c in coded])
 
     def _encoded(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Many words go as one text, which is faster; the bytes that tokens stand for
-        tell where each word ends, and if they don't add up, the words are encoded one by one."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            text = " ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            plain = unicodedata.normalize("NFC", text).lower().encode().split(b" ")
-            ends, covered = np.cumsum(list(map(len, plain))), np.cumsum(self.bytes_of[ids])
-            stops = np.searchsorted(covered, ends)
-            same = len(ids) and len(plain) == len(part) and ends[-1] == covered[-1] and (covered[stops] == ends).all()
-            if same and "<|" not in text:
-                bounds = np.concatenate([[0], stops + 1]).tolist()
-                out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            else:
-                alone = self.tokenizer.encode_batch(part, add_special_tokens=False)
-                out += [np.array(code.ids, dtype="<u4").tobytes() for code in alone]
+        """Ids of each word. Words of lower-case Latin letters, digits and signs go to ``tiktoken``, where each piece carries its end mark; the
+        others, and all words of a tokenizer that is not of this kind, to ``tokenizers``."""
+        simple = [self.fast is not None and w.isprintable() and max(w) < LATIN and w == w.lower() and "<|" not in w for w in words]
+        out: list[bytes] = [b""] * len(words)
+        for kind, encode in ((True, self._marked), (False, self._plain)):
+            own = [i for i, s in enumerate(simple) if s is kind]
+            for at in range(0, len(own), 2000):
+                part = [words[i] for i in own[at : at + 2000]]
+                for i, code in zip(own[at : at + 2000], self._split(part, encode(part))):
+                    out[i] = code
         return out
 
+    def _marked(self, words: list[str]) -> list[int]:
+        return self.fast.encode_ordinary(MARK.join(PIECES.findall(" ".join(words))) + MARK)
+
+    def _plain(self, words: list[str]) -> list[int]:
+        return self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+
+    def _split(self, words: list[str], codes: list[int]) -> list[bytes]:
+        """Many words go as one text, which is faster; the bytes that tokens stand for tell where each word ends, and if they don't
+        add up, the words are encoded one by one."""
+        ids, text = np.array(codes, dtype="<u4"), " ".join(words)
+        plain = unicodedata.normalize("NFC", text).lower().encode().split(b" ")
+        ends, covered = np.cumsum(list(map(len, plain))), np.cumsum(self.bytes_of[ids])
+        if len(ids) and len(plain) == len(words) and ends[-1] == covered[-1] and "<|" not in text:
+            stops = np.searchsorted(covered, ends)
+            if (covered[stops] == ends).all():
+                flat, cuts = ids.tobytes(), (4 * stops + 4).tolist()
+                return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+        alone = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        return [np.array(code.ids, dtype="<u4").tobytes() for code in alone]
+
+
+def _fast(tokenizer):
+    """The tokenizer's vocabulary for ``tiktoken``, with a zero byte as end-of-word mark, if it splits words at ``PIECES``; else None."""
+    import json
+
+    import tiktoken
+
+    parts = json.loads(tokenizer.to_str())
+    splits = [p["pattern"]["Regex"] for p in parts["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"]
+    if splits != [PIECES.pattern] or parts["model"].get("end_of_word_suffix") != "</w>":
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {}
+    for token, rank in tokenizer.get_vocab().items():
+        if token not in special:
+            word = token.removesuffix("</w>")
+            ranks[bytes(byte_of[c] for c in word) + MARK.encode() * (word != token)] = rank
+    return tiktoken.Encoding("marked", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
+
 
 def _encoder(path: str, end_id: int) -> Encoder:
     key = (path, end_id)
@@ -117,13 +153,13 @@ def _encoder(path: str, end_id: int) -> Encoder:
 
 
 def _shard(part: int, shard: int, before: int, doc_ids: list, ids: np.ndarray, sizes: np.ndarray, base: int) -> pa.RecordBatch:
-    symbols, counts, grammar = repair.compress(ids, sizes, base, RULES)
-    width = 2 if base + len(grammar.left) <= 1 << 16 else 4
+    symbols, counts, grammar = repair.compress(ids, sizes, base)
+    bits = (base + len(grammar.left)).bit_length()
     row = {
-        "part": part, "shard": shard, "before": before, "doc_ids": doc_ids, "n_tokens": sizes.tolist(), "n_symbols": counts.tolist(),
-        "n_rules": len(grammar.left), "base": base, "width": width,
-        "rules": np.concatenate([grammar.left, grammar.right]).astype("<u4").tobytes(),
-        "lengths": grammar.lengths.astype("<u4").tobytes(), "symbols": symbols.astype(f"<u{width}").tobytes(),
+        "part": part, "shard": shard, "before": before, "doc_ids": doc_ids, "n_tokens": sizes.tolist(), "symbol_ends": np.cumsum(counts).tolist(),
+        "n_rules": len(grammar.left), "base": base, "bits": bits,
+        "rules": repair.packed(np.concatenate([grammar.left, grammar.right]), bits),
+        "lengths": grammar.lengths.astype("<u4").tobytes(), "symbols": repair.packed(symbols, bits),
     }
     types = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.int32()] * 3, *[pa.binary()] * 3]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], list(row))
@@ -187,14 +223,15 @@ def read_files(spark, path: str) -> DataFrame:
 
 
 def grammar_of(row: dict) -> repair.Grammar:
-    rules = np.frombuffer(row["rules"], "<u4").astype(np.int64)
-    return repair.Grammar(row["base"], rules[: row["n_rules"]], rules[row["n_rules"] :])
+    n = row["n_rules"]
+    rules = repair.unpacked(row["rules"], row["bits"], 0, 2 * n)
+    return repair.Grammar(row["base"], rules[:n], rules[n:], np.frombuffer(row["lengths"], "<u4").astype(np.int64))
 
 
 def decode(row: dict, document: int, start: int = 0, stop: int | None = None) -> np.ndarray:
     """Ids of one document of a shard, or a range of them."""
-    at = sum(row["n_symbols"][:document])
-    symbols = np.frombuffer(row["symbols"], f"<u{row['width']}")[at : at + row["n_symbols"][document]]
+    ends = row["symbol_ends"]
+    symbols = repair.unpacked(row["symbols"], row["bits"], ends[document - 1] if document else 0, ends[document])
     return grammar_of(row).part(symbols, start, row["n_tokens"][document] if stop is None else stop)
 
 
@@ -202,7 +239,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(batch.num_rows):
             row = batch.slice(at, 1).to_pylist()[0]
-            ids = grammar_of(row).expand(np.frombuffer(row["symbols"], f"<u{row['width']}")).astype("<u4")
+            symbols = repair.unpacked(row["symbols"], row["bits"], 0, row["symbol_ends"][-1])
+            ids = grammar_of(row).expand(symbols).astype("<u4")
             sizes = np.array(row["n_tokens"], dtype=np.int64)
             ends = np.cumsum(sizes)
             crcs = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())]
@@ -214,5 +252,5 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(spark, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, all from the decoded ids."""
-    shards = read_files(spark, path).select("start", "doc_ids", "n_tokens", "n_rules", "base", "width", "rules", "symbols")
+    shards = read_files(spark, path).drop("part", "shard", "before")
     return mapped(shards, _digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
