@@ -190,6 +190,15 @@ def split_report(spark, sf_dir):
     return splitting.split_report(_split(spark, sf_dir), "y")
 
 
+def stratified_folds(spark, sf_dir):
+    return splitting.folds(_labelled(spark, sf_dir), "row_id", "y").select("row_id", "y", "fold")
+
+
+def fold_sizes(spark, sf_dir):
+    """Folds of the labelled documents, three per quality."""
+    return splitting.fold_report(splitting.folds(_documents(spark, sf_dir), "doc_id", "quality", 3), "quality")
+
+
 def _lines(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_returnflag", "l_extendedprice / (l_extendedprice + 50000D) AS score", "int(l_discount > 0.05D) AS deep"
@@ -353,6 +362,8 @@ QUERIES = {
     "class_weights": lambda s, d: encoding.class_weights(survey(s, d)),
     "stratified_split": stratified_split,
     "split_report": split_report,
+    "stratified_folds": stratified_folds,
+    "fold_sizes": fold_sizes,
     "binary_metrics": lambda s, d: rounded(metrics.binary_metrics(_labelled(s, d), "prob_b", "y", 0.5)),
     "binary_metrics_lineitem": lambda s, d: rounded(
         metrics.binary_metrics(_lines(s, d), "score", "deep", 0.4, ("l_returnflag",))

@@ -12,24 +12,16 @@ from cohortlens import schema
 from cohortlens.functions import risk
 from cohortlens.functions.project import with_exprs
 
-# --- fixed values: next step per stage and level ---------------------------
-# stage, level, title code, action codes, urgency, missing fields to ask, symptoms to ask
+# --- fixed values: urgency and questions per stage and level ---------------
+# stage, level, urgency, missing fields to ask, symptoms to ask
 NEXT_STEPS = [
-    ("A", "Low", "low_risk_keep_watching", ["rest_eyes", "regular_sleep", "visit_if_symptoms_last"],
-     "monitor", 3, "never"),
-    ("A", "Medium", "medium_risk_improve_habits", ["less_screen_time", "better_sleep"],
-     "consider_visit", 3, "if_triggered"),
-    ("A", "High", "high_risk_check_further",
-     ["answer_symptom_questions", "visit_if_symptoms_last", "no_screen_before_bed"],
-     "consider_visit", 2, "first"),
-    ("B", "Low", "low_triage_keep_watching",
-     ["watch_symptoms_days", "rest_eyes", "visit_if_symptoms_last"], "monitor", 2, "never"),
-    ("B", "Medium", "medium_triage_watch_closely",
-     ["watch_symptoms_weeks", "less_screen_time", "visit_if_no_better"], "consider_visit", 2, "never"),
-    ("B", "High", "high_triage_consider_visit",
-     ["eye_examination", "rest_eyes", "visit_soon_if_severe"], "visit_recommended", 0, "never"),
+    ("A", "Low", "monitor", 3, "never"),
+    ("A", "Medium", "consider_visit", 3, "if_triggered"),
+    ("A", "High", "consider_visit", 2, "first"),
+    ("B", "Low", "monitor", 2, "never"),
+    ("B", "Medium", "consider_visit", 2, "never"),
+    ("B", "High", "visit_recommended", 0, "never"),
 ]
-EXTRA_ACTION = "answer_symptom_questions"
 # What a response must carry besides its score: codes, worded by whoever shows them.
 DISCLAIMERS = {
     "A": ["diagnosis_notice", "care_notice", "screening_notice"],
@@ -115,27 +107,22 @@ def explain(routed: DataFrame) -> DataFrame:
 
 
 def _next_step_table(spark) -> DataFrame:
-    rows = ", ".join(
-        "('{}', '{}', '{}', array({}), '{}', {}, '{}')".format(
-            stage, level, title, ", ".join(f"'{a}'" for a in actions), urgency, ask, symptoms
-        )
-        for stage, level, title, actions, urgency, ask, symptoms in NEXT_STEPS
-    )
-    names = "stage, risk_level, title, actions, urgency, ask_missing, ask_symptoms"
+    rows = ", ".join("('{}', '{}', '{}', {}, '{}')".format(*step) for step in NEXT_STEPS)
+    names = "stage, risk_level, urgency, ask_missing, ask_symptoms"
     return spark.sql(f"SELECT * FROM VALUES {rows} AS steps({names})")
 
 
 def advise(explained: DataFrame) -> DataFrame:
-    """Join the six fixed next steps (broadcast: six rows) and fill the ask list."""
+    """Join the six fixed next steps (broadcast: six rows), fill the ask list and derive title and actions.
+
+    The title names stage and level; there is one action per factor that raised the risk, and one more if there is something to ask.
+    """
     steps = F.broadcast(_next_step_table(explained.sparkSession))
     joined = explained.join(steps, ["stage", "risk_level"], "left")
-    extra = (
-        "CASE WHEN ask_symptoms = 'if_triggered' AND trigger_symptom "
-        f"THEN concat(actions, array('{EXTRA_ACTION}')) ELSE actions END"
-    )
-    return with_exprs(joined, {"actions": extra, "ask_for_more_info": risk.ask_list()}).drop(
-        "ask_missing", "ask_symptoms"
-    )
+    asked = with_exprs(joined, {"ask_for_more_info": risk.ask_list(), "title": "lower(concat('stage_', stage, '_', risk_level))"})
+    about = "transform(top_factors, f -> concat('discuss_', f.feature))"
+    actions = f"CASE WHEN size(ask_for_more_info) > 0 THEN concat({about}, array('complete_answers')) ELSE {about} END"
+    return with_exprs(asked, {"actions": actions}).drop("ask_missing", "ask_symptoms")
 
 
 def assess(df: DataFrame, **options) -> DataFrame:

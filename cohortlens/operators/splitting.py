@@ -15,52 +15,80 @@ SHARES = {
     "64/16/20": {"test": 0.20, "val": 0.16},
     "70/15/15": {"test": 0.15, "val": 0.15},
 }
-PREFIXES = (4, 8, 12)  # hex digits of the histograms: 65,536 times finer each
+DIGITS = 4  # hex digits per level of the count tree: 65,536 branches
+FEW = 20_000  # rows of a bucket that are put in order at once; of larger ones the next level is counted
 
 
-def hashed(df: DataFrame, key: str, seed: int = schema.SEED) -> DataFrame:
+def hashed(df: DataFrame, key: str, seed: int | str = schema.SEED) -> DataFrame:
     text = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
     return df.withColumn("row_hash", F.md5(text))
 
 
-def _histogram_step(rows: DataFrame, wanted: DataFrame, digits: int) -> DataFrame:
-    """(class, name, prefix, place): each boundary's bucket ``digits`` long and its place inside.
+def _boundaries(counted: DataFrame, places) -> DataFrame:
+    """(class, prefix, name, place, n): the bucket each boundary lies in, its place inside and the bucket's rows.
 
-    ``wanted`` has the same for the bucket before, which may be the whole class.
+    ``counted`` has ``n`` per class and bucket, ``places`` maps a class's total to an array of (name, place).
     """
-    inside = rows.join(bounded(wanted), (rows["class"] == wanted["in_class"]) & rows["row_hash"].startswith(wanted["prefix"]))
-    counted = inside.groupBy("class", "name", "place", F.substring("row_hash", 1, digits).alias("bucket"))
-    counted = materialize(counted.agg(F.count(F.lit(1)).alias("n")))
-    running = Window.partitionBy("class", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("before", F.sum("n").over(running) - F.col("n"))
-    hit = placed.filter((F.col("place") > F.col("before")) & (F.col("place") <= F.col("before") + F.col("n")))
-    return hit.select(F.col("class").alias("in_class"), "name", F.col("bucket").alias("prefix"), (F.col("place") - F.col("before")).alias("place"))
+    whole = Window.partitionBy("class", "within")
+    running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumns({"before": F.sum("n").over(running) - F.col("n"), "total": F.sum("n").over(whole)})
+    hits = F.filter(places(F.col("total")), lambda b: (b["place"] > F.col("before")) & (b["place"] <= F.col("before") + F.col("n")))
+    inside = F.transform(hits, lambda b: F.struct(b["name"].alias("name"), (b["place"] - F.col("before")).alias("place")))
+    return placed.select("class", F.col("bucket").alias("prefix"), "n", F.inline(inside))
 
 
-def _cut_hashes(df: DataFrame, label: str, shares: dict[str, float]) -> DataFrame:
-    """Per class and share boundary the hash of the last row inside.
+def _cut_hashes(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Per class and share boundary the hash of the last row inside; ``rows`` are (class, row_hash), written.
 
-    Histograms over ever longer hash prefixes narrow each boundary down to a bucket of 1/16**12 of a class;
-    only the rows of that bucket, rarely more than one, are put in order.
+    A tree of counts by hash prefix: the first level is one scan with partial sums. Only where a boundary's bucket still has
+    more than ``FEW`` rows is the next level counted, inside that bucket; then its rows are put in order.
     """
-    rows = df.select(F.col(label).alias("class"), "row_hash")
-    totals = rows.groupBy(F.col("class").alias("in_class")).agg(F.count(F.lit(1)).alias("total"))
-    bounds, share = [], 0.0
+    share, bounds = 0.0, []
     for name, part in shares.items():
         share += part
-        quota = F.floor(F.lit(round(share, 12)) * F.col("total") + 0.5)
-        bounds.append(F.struct(F.lit(name).alias("name"), F.lit("").alias("prefix"), quota.alias("place")))
-    wanted = materialize(totals.select("in_class", F.inline(F.array(*bounds))).filter("place > 0"))
-    for digits in PREFIXES:
-        wanted = materialize(_histogram_step(rows, wanted, digits))
-    near = rows.join(bounded(wanted), (rows["class"] == wanted["in_class"]) & rows["row_hash"].startswith(wanted["prefix"]))
-    order = Window.partitionBy("class", "name").orderBy("row_hash")
-    hit = near.withColumn("at", F.row_number().over(order)).filter(F.col("at") == F.col("place"))
+        bounds.append((name, round(share, 12)))
+
+    def quotas(total):
+        return F.array(*[F.struct(F.lit(n).alias("name"), F.floor(F.lit(s) * total + 0.5).alias("place")) for n, s in bounds])
+
+    digits = DIGITS
+    first = rows.groupBy("class", F.lit("").alias("within"), F.substring("row_hash", 1, digits).alias("bucket"))
+    wanted = materialize(_boundaries(first.agg(F.count(F.lit(1)).alias("n")), quotas))
+
+    def inside(columns: list[str]):
+        spots = wanted.groupBy("class", "prefix").agg(F.collect_list(F.struct("name", "place")).alias("spots"))  # one per boundary
+        near = rows.withColumn("prefix", F.substring("row_hash", 1, digits))
+        return near.join(bounded(spots), ["class", "prefix"]).select("class", "prefix", "spots", *columns)
+
+    while (wanted.agg(F.max("n")).first()[0] or 0) > FEW and digits < 32:
+        found = inside(["row_hash"])
+        digits += DIGITS
+        deeper = found.groupBy("class", F.col("prefix").alias("within"), "spots", F.substring("row_hash", 1, digits).alias("bucket"))
+        wanted = materialize(_boundaries(deeper.agg(F.count(F.lit(1)).alias("n")), lambda total: F.col("spots")))
+    order = Window.partitionBy("class", "prefix").orderBy("row_hash")
+    near = inside(["row_hash"]).withColumn("at", F.row_number().over(order))
+    hit = near.select("class", "row_hash", "at", F.inline("spots")).filter(F.col("at") == F.col("place"))
     return hit.groupBy("class").agg(
         *[F.max(F.when(F.col("name") == name, F.col("row_hash"))).alias(f"cut_{name}") for name in shares]
     )
 
 
+def _assigned(df: DataFrame, key: str, label: str, shares: dict[str, float], rest: str, seed: int | str, name: str) -> DataFrame:
+    """``df`` without NULL labels plus ``name``: the share each row falls in, exactly the rounded quota per class."""
+    labelled = df.filter(F.col(label).isNotNull())
+    if not shares:
+        return labelled.withColumn(name, F.lit(rest))
+    rows = hashed(labelled, key, seed)
+    narrow = materialize(rows.select(F.col(label).alias("class"), "row_hash"))
+    cuts = materialize(_cut_hashes(narrow, shares))
+    joined = rows.join(bounded(cuts), rows[label] == cuts["class"], "left")
+    part = None
+    for one in shares:
+        inside = F.col("row_hash") <= F.col(f"cut_{one}")
+        part = F.when(inside, one) if part is None else part.when(inside, one)
+    return joined.withColumn(name, part.otherwise(rest)).drop("row_hash", "class", *[f"cut_{one}" for one in shares])
+
+
 def stratified_split(
     df: DataFrame,
     key: str,
@@ -71,23 +99,11 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: per class exactly the rounded share of rows, by order of the id hash.
 
-    ``key`` must be unique. Rows without a label are left out. The rows themselves are
-    not shuffled as long as the cuts, one row per class, are few enough to be broadcast.
+    ``key`` must be unique. Rows without a label are left out. The input is worked out twice: once for class and hash, which
+    are written, and once for the result, whose rows are not shuffled as long as the cuts, one row per
+    class, are few enough to be broadcast.
     """
-    labelled = df.filter(F.col(label).isNotNull())
-    if not shares:
-        return labelled.withColumn("split", F.lit(rest))
-    rows = hashed(labelled, key, seed)
-    cuts = _cut_hashes(rows.select(label, "row_hash"), label, shares)
-    cuts = materialize(cuts)
-    joined = rows.join(bounded(cuts), rows[label] == cuts["class"], "left")
-    split = None
-    for name in shares:
-        inside = F.col("row_hash") <= F.col(f"cut_{name}")
-        split = F.when(inside, name) if split is None else split.when(inside, name)
-    return joined.withColumn("split", split.otherwise(rest)).drop(
-        "row_hash", "class", *[f"cut_{name}" for name in shares]
-    )
+    return _assigned(df, key, label, shares, rest, seed, "split")
 
 
 def hash_split(
@@ -103,10 +119,16 @@ def hash_split(
     return df.withColumn("split", split.otherwise(rest))
 
 
-def folds(df: DataFrame, key: str, k: int = 5, seed: int = schema.SEED) -> DataFrame:
-    text = F.concat(F.lit(f"fold{seed}:"), F.col(key).cast("string"))
-    digits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return df.withColumn("fold", (digits % k).cast("int"))
+def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = schema.SEED) -> DataFrame:
+    """Add ``fold`` from 0 to k - 1: per class, fold sizes differ by one row at most. Rows without a label are left out."""
+    if k < 2:
+        return df.filter(F.col(label).isNotNull()).withColumn("fold", F.lit(0))
+    shares = {str(i): 1 / k for i in range(k - 1)}
+    return _assigned(df, key, label, shares, str(k - 1), f"fold{seed}", "fold").withColumn("fold", F.col("fold").cast("int"))
+
+
+def fold_report(folded: DataFrame, label: str) -> DataFrame:
+    return folded.groupBy("fold", F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_report(split: DataFrame, label: str) -> DataFrame:

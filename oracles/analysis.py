@@ -191,6 +191,15 @@ SPLIT = (
 )
 
 
+def _fold(k: int, key: str, label: str, source: str) -> str:
+    """Rows of ``source`` with ``fold``: quotas per class by the order of a hash."""
+    steps = " ".join(f"WHEN r <= floor({round((i + 1) / k, 12)!r}::DOUBLE * c + 0.5) THEN {i}" for i in range(k - 1))
+    return (
+        f"SELECT *, CAST(CASE {steps} ELSE {k - 1} END AS INTEGER) AS fold FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY {label} ORDER BY md5('fold42:' || {key})) AS r, COUNT(*) OVER (PARTITION BY {label}) AS c FROM {source})"
+    )
+
+
 def evaluate(source: str, score: str, y: str, threshold: float, keys: str = "") -> str:
     """rows, areas and confusion at a threshold, per key."""
     by = f"{keys}, " if keys else ""
@@ -416,6 +425,9 @@ ORACLES = {
     "class_weights": f"{STD}, c AS (SELECT COUNT(CASE WHEN {Y} = 0 THEN 1 END) AS n0, COUNT(CASE WHEN {Y} = 1 THEN 1 END) AS n1 FROM std) "
     "SELECT n0, n1, CAST(n0 AS DOUBLE) / n1 AS scale_pos_weight, CAST(n0 + n1 AS DOUBLE) / (n0 * 2) AS weight_0, CAST(n0 + n1 AS DOUBLE) / (n1 * 2) AS weight_1 FROM c",
     "stratified_split": f"{SPLIT} SELECT row_id, y, split FROM parts",
+    "stratified_folds": f"{LABELLED} SELECT row_id, y, fold FROM ({_fold(5, 'row_id', 'y', 'points')})",
+    "fold_sizes": "WITH d AS (SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL) "
+    f"SELECT fold, quality AS class, COUNT(*) AS n FROM ({_fold(3, 'doc_id', 'quality', 'd')}) GROUP BY ALL",
     "split_report": f"{SPLIT} SELECT split, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS positives, AVG(y) AS positive_rate FROM parts GROUP BY split",
     "binary_metrics": f"{LABELLED} " + evaluate("points", "prob_b", "y", 0.5),
     "binary_metrics_lineitem": f"{LINES} " + evaluate("lines", "score", "deep", 0.4, "l_returnflag"),

@@ -65,19 +65,7 @@ FACTOR_COUNT = (
 URGENCY = (
     "CASE WHEN risk_level = 'Low' THEN 'monitor' WHEN risk_level = 'High' AND stage = 'B' THEN 'visit_recommended' ELSE 'consider_visit' END"
 )
-TITLE = (
-    "CASE stage || risk_level WHEN 'ALow' THEN 'low_risk_keep_watching' WHEN 'AMedium' THEN 'medium_risk_improve_habits' "
-    "WHEN 'AHigh' THEN 'high_risk_check_further' WHEN 'BLow' THEN 'low_triage_keep_watching' "
-    "WHEN 'BMedium' THEN 'medium_triage_watch_closely' ELSE 'high_triage_consider_visit' END"
-)
-ACTIONS = (
-    "CASE stage || risk_level WHEN 'ALow' THEN 'rest_eyes,regular_sleep,visit_if_symptoms_last' "
-    "WHEN 'AMedium' THEN 'less_screen_time,better_sleep' || CASE WHEN trigger_symptom THEN ',answer_symptom_questions' ELSE '' END "
-    "WHEN 'AHigh' THEN 'answer_symptom_questions,visit_if_symptoms_last,no_screen_before_bed' "
-    "WHEN 'BLow' THEN 'watch_symptoms_days,rest_eyes,visit_if_symptoms_last' "
-    "WHEN 'BMedium' THEN 'watch_symptoms_weeks,less_screen_time,visit_if_no_better' "
-    "ELSE 'eye_examination,rest_eyes,visit_soon_if_severe' END"
-)
+TITLE = "lower('stage_' || stage || '_' || risk_level)"
 THREE = "['discomfort_eyestrain', 'redness_in_eye', 'itchiness_irritation_in_eye']"
 ASK = (
     "array_to_string(CASE stage || risk_level WHEN 'ALow' THEN missing[1:3] "
@@ -85,6 +73,12 @@ ASK = (
     f"WHEN 'AHigh' THEN list_concat({THREE}, missing[1:2]) "
     "WHEN 'BLow' THEN missing[1:2] WHEN 'BMedium' THEN missing[1:2] ELSE [] END, ',')"
 )
+ACTIONS = (
+    "array_to_string(list_filter([CASE WHEN stage = 'B' AND symptoms > 0 THEN 'discuss_symptom_score' END, "
+    "CASE WHEN average_screen_time >= 6 THEN 'discuss_average_screen_time' END, CASE WHEN sleep_quality <= 3 THEN 'discuss_sleep_quality' END, "
+    "CASE WHEN stress_level >= 4 THEN 'discuss_stress_level' END, CASE WHEN sleep_duration < 7 THEN 'discuss_sleep_duration' END, "
+    f"CASE WHEN {ASK} <> '' THEN 'complete_answers' END], lambda x: x IS NOT NULL), ',')"
+)
 AUDIT = (
     f"{SCORED} SELECT request_id, timestamp, mode_used, 'fallback_rule_v1' AS model_version, risk_score, risk_level, confidence, "
     "CAST(len(missing) AS INTEGER) AS missing_fields_count, trigger_symptom, "

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import math
 import os
 import random
 import re
@@ -129,6 +131,44 @@ def test_split_quota(spark, shares):
     assert "Join LeftOuter" in plan
 
 
+def test_split_works_out_its_input_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 5000, 1, 4).selectExpr("id", "int(id % 7) AS y").mapInArrow(counted, "id bigint, y int")
+    assert abs(splitting.stratified_split(df, "id", "y").filter("split = 'test'").count() - 1000) < 7
+    assert seen.value <= 2 * 5000
+
+
+@pytest.mark.parametrize("few", [1, 40, 20_000])
+def test_split_equals_the_order_of_hashes(spark, monkeypatch, few):
+    """Whatever the depth of the count tree; one class has a third of the rows, one a single row."""
+    monkeypatch.setattr(splitting, "FEW", few)
+    rows = [(i, 0 if i % 3 == 0 else 1 + i % 4, ) for i in range(4000)] + [(9999, 77)]
+    df = spark.createDataFrame(rows, "id bigint, c int").repartition(3)
+    got = {r["id"]: (r["c"], r["split"]) for r in splitting.stratified_split(df, "id", "c", {"test": 0.2, "val": 0.3}).collect()}
+    for c in {c for _, c in rows}:
+        own = sorted((i for i, x in rows if x == c), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+        cuts = [math.floor(s * len(own) + 0.5) for s in (0.2, 0.5)]
+        want = ["test"] * cuts[0] + ["val"] * (cuts[1] - cuts[0]) + ["train"] * (len(own) - cuts[1])
+        assert [got[i] for i in own] == [(c, w) for w in want]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7])
+def test_folds_are_exact_per_class(spark, k):
+    df = spark.range(1009).selectExpr("id", "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE 0 END AS y")
+    folded = splitting.folds(df, "id", "y", k)
+    sizes = {}
+    for r in splitting.fold_report(folded, "y").collect():
+        sizes.setdefault(r["class"], []).append(r["n"])
+    assert sum(map(sum, sizes.values())) == df.filter("y IS NOT NULL").count() == folded.select("id").distinct().count()
+    assert all(len(n) == k and max(n) - min(n) <= 1 for n in sizes.values())
+
+
 def test_hash_split_is_a_partition(spark):
     split = splitting.hash_split(spark.range(4000), "id", {"test": 0.2})
     share = split.filter("split = 'test'").count() / 4000
@@ -255,7 +295,7 @@ def test_vote_is_the_mean(spark):
 
 def test_out_of_fold_scores_every_row_once(spark):
     data = small_training_set(spark)
-    oof = ensembles.out_of_fold(data, [members.logistic("y")], "id", k=3)
+    oof = ensembles.out_of_fold(data, [members.logistic("y")], "id", "y", k=3)
     assert oof.count() == 400 and oof.select("id").distinct().count() == 400
 
 

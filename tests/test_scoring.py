@@ -81,8 +81,16 @@ def test_scoring_is_narrow(spark):
     assert "hashpartitioning" not in plan and "Python" not in plan
 
 
+def test_title_and_actions_follow_from_the_row(spark):
+    rows = scoring.assess(requests(spark, [A, {}])).select("stage", "risk_level", "title", "actions", "top_factors", "ask_for_more_info").collect()
+    for r in rows:
+        assert r["title"] == f"stage_{r['stage']}_{r['risk_level']}".lower()
+        about = [f"discuss_{f['feature']}" for f in r["top_factors"]]
+        assert r["actions"] == about + ["complete_answers"] * bool(r["ask_for_more_info"])
+
+
 def test_codes_are_neutral_names():
-    codes = [c for _, _, title, actions, *_ in scoring.NEXT_STEPS for c in (title, *actions)]
+    codes = [urgency for _, _, urgency, *_ in scoring.NEXT_STEPS]
     codes += [c for listed in scoring.DISCLAIMERS.values() for c in listed]
     assert all(c.replace("_", "").isalpha() and c == c.lower() for c in codes)
 
