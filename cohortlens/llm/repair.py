@@ -139,12 +139,13 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
         codes = row.symbol[places] * width + row.symbol[row.next[places]]
         bits = min(HASH_BITS, max(10, len(places).bit_length() + 1))
         buckets = _hashed(codes, bits)
-        likely = np.bincount(buckets, minlength=1 << bits)[buckets] >= least
+        full = np.bincount(buckets, minlength=1 << bits) >= least  # one byte a bucket stays in the cache
+        likely = full[buckets]
         places, codes, buckets = places[likely], codes[likely], buckets[likely]
         pairs = _frequent(codes, least) if len(codes) else codes
         if not len(pairs):
             break
-        table = np.zeros(1 << bits, dtype=np.int64)
+        table = np.zeros(1 << bits, dtype=np.int32)
         table[_hashed(pairs, bits)[::-1]] = np.arange(len(pairs))[::-1]  # of two in one bucket the rarer waits for the next round
         guess = table[buckets]
         sure = pairs[guess] == codes
@@ -160,10 +161,14 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
         rights.append((pairs[used] % width).astype(np.int64))
         row.replace(spots, (base + known + np.cumsum(used) - 1)[pair].astype(np.uint64))
         known += int(used.sum())
-        again = np.zeros(n + 1, dtype=bool)
-        again[places] = again[spots] = True
-        again[row.before[spots]] = True  # -1 is the spare place at the end
-        places = np.flatnonzero(again & row.alive & ~row.last)
+        fresh = np.concatenate([spots, row.before[spots]])  # -1 is the spare place at the end
+        if 16 * (len(places) + len(fresh)) < n:
+            places = np.unique(np.concatenate([places, fresh]))
+            places = places[(places >= 0) & row.alive[places] & ~row.last[places]]
+        else:
+            again = np.zeros(n + 1, dtype=bool)
+            again[places] = again[fresh] = True
+            places = np.flatnonzero(again & row.alive & ~row.last)
     empty = np.zeros(0, dtype=np.int64)
     grammar = Grammar(base, np.concatenate([empty, *lefts]), np.concatenate([empty, *rights]))
     ends = np.append(0, np.cumsum(row.alive[:n]))[np.cumsum(sizes)] if len(sizes) else empty
@@ -171,9 +176,9 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
 
 
 def packed(symbols: np.ndarray, bits: int) -> bytes:
-    """The symbols one after the other, ``bits`` bits each, lowest bit first."""
-    planes = (symbols[:, None] >> np.arange(bits)) & 1
-    return np.packbits(planes.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
+    """The symbols one after the other, ``bits`` bits each (32 at most), lowest bit first."""
+    planes = np.unpackbits(symbols.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
+    return np.packbits(planes.reshape(-1), bitorder="little").tobytes()
 
 
 def unpacked(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
@@ -181,4 +186,6 @@ def unpacked(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     first = start * bits // 8
     held = np.frombuffer(data, np.uint8, (stop * bits + 7) // 8 - first, first)
     flat = np.unpackbits(held, bitorder="little")[start * bits - 8 * first :][: (stop - start) * bits]
-    return flat.reshape(stop - start, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    planes = np.zeros((stop - start, 32), np.uint8)
+    planes[:, :bits] = flat.reshape(stop - start, bits)
+    return np.packbits(planes.reshape(-1), bitorder="little").view("<u4").astype(np.int64)
