@@ -79,13 +79,13 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read on from there, column by column.
 
     ``release`` removes what was written; what is still there when the driver ends is removed then.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/step-{uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     application = spark.sparkContext.applicationId
     if application not in _written:
