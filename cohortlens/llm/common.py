@@ -10,8 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.session import ship
-from cohortlens.sources.files import new_folder
+from cohortlens.session import materialize, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read on from there.
 
-    The written table outlives lost executors, is read column by column, and cuts the lineage.
+    The written table outlives lost executors, is read column by column, and cuts the lineage. It is removed when the driver ends, or by
+    ``session.release``.
     """
-    path = new_folder(df.sparkSession, f"llm-{label}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, f"llm-{label}")
 
 
 def fits(df: DataFrame, rows: int) -> bool:

@@ -5,6 +5,7 @@ import numpy as np
 import corpus_pipeline
 from cohortlens.llm import quality_crf
 from cohortlens.llm.catalogue import QUERIES, SQL
+from tests.llm.conftest import sentence
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_mixing import brute as mixed
 from tests.llm.test_near_dedup import brute as groups
@@ -49,6 +50,29 @@ def test_stages_equal_brute_force(spark, tokenizer):  # noqa: F811
     assert len(got) == out.count()
 
 
+def test_rows_that_share_an_id_are_told_apart(spark, rng):
+    """Of one id, copies and contaminated rows go and clean ones stay, the same ones in every run."""
+    words = [sentence(rng, 60) for _ in range(6)]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("size(split(text, ' ')) > 20").first()["text"]
+    rows = [
+        (1, words[0], "a"), (2, words[0], "a"), (2, words[1], "a"), (3, words[2], "a"), (3, words[3], "a"), (3, words[3], "b"), (3, words[3], "b"),
+        (None, words[4], "a"), (None, words[4], "a"), (4, item, "a"), (4, words[5], "a"), (None, item + " x", "a"), (None, "", "a"), (5, "", "a"),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, source string, pipeline_row string")
+    for parts in (1, 5):
+        left = corpus_pipeline.near_dedup(spark, docs.repartition(parts), SF)
+        assert left.columns == docs.columns
+        kept = sorted(((r["doc_id"], r["text"], r["source"]) for r in left.collect()), key=str)
+        gone = [(2, words[0], "a"), (3, words[3], "b"), (3, words[3], "b"), (None, words[4], "a")]
+        near = groups([(0, item), (1, item + " x")], 5)[1][2] == 0  # then the row without an id comes first
+        want = sorted(rows, key=str)
+        for r in gone + [(4, item, "a")] * near:
+            want.remove(r)
+        assert kept == want
+        clean = corpus_pipeline.decontamination(spark, docs.repartition(parts), SF)
+        assert sorted(((r["doc_id"], r["text"], r["source"]) for r in clean.collect()), key=str) == sorted((r for r in rows if item not in r[1]), key=str)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     for docs in (odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), odd_docs, no_docs):
         here = docs
@@ -60,4 +84,4 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
