@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import fits, small, stored, table
+from cohortlens.llm.common import row_key, small, stored, table
 from cohortlens.llm.decontaminate import decontaminate
 from cohortlens.llm.mixing import mixed_documents
 from cohortlens.llm.near_dedup import BROADCAST_IDS, near_duplicates
+from cohortlens.llm.ordered import numbered
 from cohortlens.llm.quality_crf import scored, train
 from cohortlens.llm.token_output import read_digests, write_ids
 
+NODE = "pipeline_node"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines the classifier holds for good (score of at least 0.5); NULL is the empty text."""
@@ -23,40 +26,48 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored(docs, model, "quality_score").filter("quality_score >= 0.5").drop("quality_score")
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``NODE``, a number per (doc_id, text): the doc_id itself where ids are there and unique, else the place in their order."""
+    repeated = docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1")
+    if not repeated.limit(1).count():
+        return docs.withColumn(NODE, F.col("doc_id").cast("bigint"))
+    keyed = docs.withColumn("node_key", row_key("doc_id", "text"))
+    keys = keyed.select("node_key", "doc_id").distinct().withColumn("all", F.lit(0).cast("bigint"))
+    names = numbered(keys, "all", ["doc_id", "node_key"]).select("node_key", F.col("at").alias(NODE))
+    return stored(keyed.join(names, "node_key").select(*docs.columns, NODE), "named")
+
+
+def _without(named: DataFrame, gone: DataFrame) -> DataFrame:
+    return named.join(small(stored(gone.select(F.col("doc_id").alias(NODE)).distinct(), "gone"), BROADCAST_IDS), NODE, "left_anti")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group: five words, similarity 0.8.
+    """One row of each near-duplicate group, five words, similarity 0.8: that with the smallest doc_id (NULL first), then the smallest key.
 
-    Of rows that share a doc_id one stays, rows with a NULL doc_id all stay.
+    Different texts that share a doc_id, or have none, are documents of their own. Of rows with the same id and text the
+    smallest by its other columns stays.
     """
-    groups = near_duplicates(docs, threshold=0.8, width=5)
-    gone = stored(groups.filter("NOT kept").select("doc_id").distinct(), "gone")
-    left = docs.join(small(gone, BROADCAST_IDS), "doc_id", "left_anti")
-    repeats = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeats")
-    if not repeats.limit(1).count():
-        return left
-    few = small(repeats, BROADCAST_IDS)
-    one = left.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(few, "doc_id", "left_anti").unionByName(one)
+    named = _named(docs)
+    groups = near_duplicates(named.select(F.col(NODE).alias("doc_id"), "text"), threshold=0.8, width=5)
+    left = _without(named, groups.filter("NOT kept"))
+    again = stored(left.groupBy(NODE).count().filter("count > 1").select(NODE), "repeats")
+    if not again.limit(1).count():
+        return left.drop(NODE)
+    few = small(again, BROADCAST_IDS)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(few, NODE, "left_semi").groupBy(NODE).agg(F.min(row).alias("row")).select("row.*")
+    return left.join(few, NODE, "left_anti").drop(NODE).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the contamination that the benchmark query reports.
-
-    A doc_id is dropped with all its rows; contaminated rows with a NULL doc_id are dropped by text.
-    """
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    found = stored(found.distinct(), "contaminated")
-    left = docs.join(small(found.filter("doc_id IS NOT NULL"), BROADCAST_IDS), "doc_id", "left_anti")
-    if fits(found.filter("doc_id IS NULL"), 0):
-        return left
-    nameless = docs.filter("doc_id IS NULL").withColumn("doc_id", F.xxhash64("text"))
-    again = decontaminate(nameless, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    clean = nameless.join(again, "doc_id", "left_anti").withColumn("doc_id", F.lit(None).cast("bigint"))
-    return left.filter("doc_id IS NOT NULL").unionByName(clean)
+    """Rows whose text the benchmark query does not report as contaminated, whatever other rows share their doc_id."""
+    named = _named(docs)
+    found = decontaminate(named.select(F.col(NODE).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(named, found.filter("contaminated")).drop(NODE)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks: 0.95 of the largest entropy, 4 passes at most."""
+    """Documents as often as their source's weight asks: 0.95 of the largest entropy, or the nearest to it that 4 passes at most allow."""
     return mixed_documents(docs, budget_share=1.0, target_entropy=0.95, max_epochs=4.0)
 
 
