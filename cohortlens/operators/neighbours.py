@@ -1,10 +1,12 @@
 """Exact k nearest neighbours without pairing everything with everything.
 
-Rows with equal values are first combined to one vector. Vectors are blocked along the
-column that varies most; a distance is never smaller than the gap in that column, so a
-first visit to the nearby blocks bounds how far a second visit has to look. Blocks and
-groups of queries have a bounded size each, one task compares one with the other by
-numpy, and only the k best per query and block leave it.
+Rows with equal values are first combined to one vector. Vectors that miss the same columns share a k-d tree, fitted on a bounded
+sample, whose leaves are cells of a bounded number of vectors; every vector is put in its cell, and every cell knows
+the box of its values. Queries that miss the same columns have trees of their own, cut along the columns they know, if they are one of the
+``VIEWS`` most frequent kinds; the others share one that is cut along all columns. The distance to a box over the columns that both sides have, scaled like any distance, is a lower bound for
+all its vectors. A first visit to the nearest cells bounds how far a second visit has to look, and only cells whose
+boxes reach into that bound are compared. Cells and groups of queries have a bounded size each, one task compares one
+with the other by numpy, and only the k best per query and cell leave it.
 
 Distances leave out columns that are missing on either side and are scaled up by
 (all columns / compared columns).
@@ -13,10 +15,10 @@ Distances leave out columns that are missing on either side and are scaled up by
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,11 @@ from cohortlens.operators.lookup import attach
 from cohortlens.session import materialize
 
 BLOCK_ROWS = 1024
-MAX_BUCKETS = 20_000
-FOUND = "qid bigint, target int, distance double, neighbour bigint, value double"
+MAX_CELLS = 20_000  # boxes of this many cells travel to every task: 16 bytes a column each
+VIEWS = 8  # kinds of queries with trees of their own, each a copy of the donors
+SAMPLE = 200_000  # vectors that the trees are fitted on; they decide how even the cells are, not what is found
+FOUND = "qid bigint, target int, distance double, neighbour bigint, value double, vector array<double>"
+NUMBER = "nullif(double(`{0}`), double('NaN'))"
 
 
 def vectors(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
@@ -34,7 +39,7 @@ def vectors(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
 
     Only k rows per vector and task reach the window's exchange, however many copies exist.
     """
-    doubles = with_exprs(df.select(key, *columns), {c: f"double(`{c}`)" for c in columns})
+    doubles = with_exprs(df.select(key, *columns), {c: NUMBER.format(c) for c in columns})
     order = Window.partitionBy(*columns).orderBy(key)
     few = doubles.withColumn("copy", F.row_number().over(order)).filter(F.col("copy") <= k)
     grouped = few.groupBy(*columns).agg(F.array_sort(F.collect_list(F.col(key).cast("bigint"))).alias("ids"))
@@ -74,7 +79,7 @@ def _compare(columns: list[str], k: int, per_column: bool):
     """Group function: the k best donor rows per query (and per missing column)."""
 
     def compare(queries: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"qid": [], "target": [], "distance": [], "neighbour": [], "value": []})]
+        parts = [pd.DataFrame({"qid": [], "target": [], "distance": [], "neighbour": [], "value": [], "vector": pd.Series([], dtype=object)})]
         if len(queries) and len(donors):
             x, y = queries[columns].to_numpy(float), donors[columns].to_numpy(float)
             qids, ids = queries["qid"].to_numpy(), donors["ids"].tolist()
@@ -95,6 +100,7 @@ def _compare(columns: list[str], k: int, per_column: bool):
                             "distance": distance,
                             "neighbour": own,
                             "value": y[giving[place], target],
+                            "vector": None if per_column else list(y[giving[place]]),
                         }
                     )
                 )
@@ -103,42 +109,146 @@ def _compare(columns: list[str], k: int, per_column: bool):
     return compare
 
 
-class Blocks:
-    """Donor vectors cut into blocks along the column with the largest variance."""
-
-    def __init__(self, donors: DataFrame, columns: list[str], block_rows: int):
-        self.donors, self.columns, self.block_rows = donors, columns, block_rows
-        row = donors.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(c) for c in columns]).first()
-        self.pivot = max(columns, key=lambda c: row[c] or 0.0)
-        self.count = max(1, min(MAX_BUCKETS, math.ceil(row["n"] / block_rows)))
-        shares = [i / self.count for i in range(1, self.count)]
-        cuts = donors.approxQuantile(self.pivot, shares, 0.25 / self.count) if shares else []
-        self.splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-        placed = self.place(donors, F.col(self.pivot), "bucket")
-        # One row per bucket, MAX_BUCKETS at most.
-        sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("vectors"))
-        self.sizes = sizes.select("bucket", F.ceil(F.col("vectors") / block_rows).cast("int").alias("parts"))
-        part = F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")
-        self.placed = placed.join(F.broadcast(self.sizes), "bucket").withColumn("part", part).drop("parts")
+class Tree:
+    """Cuts of one missing pattern's vectors into leaves, numbered from ``first``."""
+
+    def __init__(self, rows: np.ndarray, known: np.ndarray, leaves: int, first: int):
+        self.cuts: list[tuple[int, float, int, int]] = []  # column, value, node at most the value, node above; leaves are -1 - number
+        self.next = first
+        self.root = self._grow(rows, np.flatnonzero(known), leaves)
+
+    def _grow(self, rows: np.ndarray, known: np.ndarray, leaves: int) -> int:
+        if leaves > 1 and len(rows) > 1 and len(known):
+            column = known[np.argmax(rows[:, known].var(axis=0))]
+            values = np.sort(rows[:, column])
+            cut = values[min(len(values) - 1, len(values) * (leaves // 2) // leaves)]
+            low = rows[:, column] < cut
+            if low.any() and not low.all():
+                at = len(self.cuts)
+                self.cuts.append((int(column), float(cut), 0, 0))
+                below = self._grow(rows[low], known, leaves // 2)
+                above = self._grow(rows[~low], known, leaves - leaves // 2)
+                self.cuts[at] = (int(column), float(cut), below, above)
+                return at
+        self.next += 1
+        return -self.next
+
+    def place(self, rows: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        node = np.full(len(rows), self.root)
+        if not self.cuts:
+            return -1 - node
+        column, value, below, above = (np.array(c) for c in zip(*self.cuts))
+        while (inner := np.flatnonzero(node >= 0)).size:
+            at = node[inner]
+            node[inner] = np.where(rows[inner, column[at]] < value[at], below[at], above[at])
+        return -1 - node
+
+
+def _bits(columns: list[str]):
+    return sum((F.when(F.col(c).isNull(), 0).otherwise(1 << i) for i, c in enumerate(columns)), F.lit(0)).cast("bigint")
+
+
+def _pattern(rows: np.ndarray) -> np.ndarray:
+    """The known columns of each row as bits."""
+    return (~np.isnan(rows)) @ (1 << np.arange(rows.shape[1], dtype=np.int64))
+
+
+class Cells:
+    """Donor vectors in cells, and the cells that a query has to be compared with.
 
-    def place(self, df: DataFrame, value, name: str) -> DataFrame:
-        """Bucket number of a value; -1 where it is missing."""
-        if len(self.splits) == 2:
-            return df.withColumn(name, F.when(value.isNull(), -1).otherwise(0))
-        pointed = df.withColumn("point", F.coalesce(value, F.lit(0.0)))
-        found = Bucketizer(splits=self.splits, inputCol="point", outputCol="place").transform(pointed)
-        bucket = F.when(value.isNull(), -1).otherwise(F.col("place")).cast("int")
-        return found.withColumn(name, bucket).drop("point", "place")
+    ``kinds`` are the known columns, as bits, of queries that get trees of their own.
+    """
+
+    def __init__(self, donors: DataFrame, columns: list[str], block_rows: int, kinds: tuple[int, ...] = ()):
+        self.columns, self.block_rows, self.compared = columns, block_rows, 0
+        everything = (1 << len(columns)) - 1
+        self.kinds = [*[q for q in kinds if q != everything], everything]
+        sizes = dict(donors.groupBy(_bits(columns)).agg(F.count(F.lit(1))).collect())  # one row per missing pattern
+        total = sum(sizes.values())
+        wide = max(block_rows, math.ceil(len(self.kinds) * total / max(1, MAX_CELLS - len(sizes) * len(self.kinds))))
+        share = F.pmod(F.xxhash64("qid"), F.lit(max(1, math.ceil(total / SAMPLE)))) == 0
+        sample = donors.filter(share).select(*columns).toPandas().to_numpy(float)
+        own, trees, first, self.edges = _pattern(sample), [], 0, []
+        for kind in self.kinds:
+            self.edges.append(first)
+            grown = {}
+            for pattern, n in sorted(sizes.items()):
+                if pattern & kind and (kind == everything or pattern & ~kind):  # shares a column, and has one that is missing
+                    known = ((pattern & kind) >> np.arange(len(columns))) & 1 == 1
+                    grown[pattern] = Tree(sample[own == pattern], known, math.ceil(n / wide), first)
+                    first = grown[pattern].next
+            trees.append(grown)
+
+        def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = batch[columns].to_numpy(float)
+                patterns = _pattern(rows)
+                for grown in trees:
+                    for pattern in np.unique(patterns):
+                        if pattern in grown:
+                            mine = patterns == pattern
+                            yield batch[mine].assign(bucket=grown[pattern].place(rows[mine]).astype(np.int32))
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in donors.schema)
+        placed = materialize(donors.mapInPandas(put, f"{schema}, bucket int"))
+        edges = [f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max))]
+        self.sizes = materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("vectors"), *edges))
+        boxes = self.sizes.orderBy("bucket").toPandas()  # MAX_CELLS rows at most
+        self.bucket, self.vectors = boxes["bucket"].to_numpy(), boxes["vectors"].to_numpy()
+        self.low, self.high = (boxes[[f"{n}{i}" for i in range(len(columns))]].to_numpy(float) for n in ("low", "high"))
+        self.sizes = self.sizes.select("bucket", "vectors", F.ceil(F.col("vectors") / block_rows).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")
+        self.placed = placed.join(F.broadcast(self.sizes), "bucket").withColumn("part", part).drop("parts", "vectors")
+
+    def near(self, queries: DataFrame, k: int, per_column: bool) -> DataFrame:
+        """(qid, columns, bucket): per query a few near cells that hold k donors, for each missing column if ``per_column``."""
+        return self._chosen(queries, k, per_column, False)
+
+    def within(self, queries: DataFrame, k: int, per_column: bool) -> DataFrame:
+        """The same for all other cells that reach within ``reach`` of the query; NULL is without bound."""
+        return self._chosen(queries, k, per_column, True)
+
+    def _chosen(self, queries: DataFrame, k: int, per_column: bool, second: bool) -> DataFrame:
+        columns, kinds = self.columns, self.kinds
+        stops = np.searchsorted(self.bucket, [*self.edges, np.iinfo(np.int32).max])
+        views = [tuple(a[stops[v] : stops[v + 1]] for a in (self.bucket, self.vectors, self.low, self.high)) for v in range(len(kinds))]
+
+        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                patterns = _pattern(batch[columns].to_numpy(float))
+                known = np.array([kinds.index(p) if p in kinds else len(kinds) - 1 for p in patterns.tolist()])
+                for view in np.unique(known):
+                    bucket, vectors, low, high = views[view]
+                    mine, has = batch[known == view], ~np.isnan(low)
+                    step = max(1, 4_000_000 // max(1, len(bucket)))
+                    for at in range(0, len(mine), step) if len(bucket) else ():
+                        part = mine.iloc[at : at + step]
+                        rows = part[columns].to_numpy(float)
+                        bound, missing = _bounds(rows, low, high), np.isnan(rows)
+                        chosen = _first(rows, bound, missing, low, high, has, vectors, k, per_column)
+                        if second:
+                            useful = (missing.astype(np.int32) @ has.T.astype(np.int32)) > 0 if per_column else np.isfinite(bound)
+                            reach = part["reach"].to_numpy(float)
+                            reach = np.where(np.isnan(reach), np.inf, reach * (1 + 1e-9))
+                            chosen = useful & np.isfinite(bound) & (bound <= reach[:, None]) & ~chosen
+                        row, cell = np.nonzero(chosen)
+                        yield part.iloc[row][["qid", *columns]].assign(bucket=bucket[cell].astype(np.int32))
+
+        return queries.mapInPandas(choose, "qid bigint, " + ", ".join(f"`{c}` double" for c in columns) + ", bucket int")
 
     def visit(self, queries: DataFrame, k: int, per_column: bool) -> DataFrame:
-        """Compare (qid, columns, bucket) with the blocks of that bucket."""
+        """Compare (qid, columns, bucket) with the vectors of that cell."""
         asked = queries.groupBy("bucket").agg(F.count(F.lit(1)).alias("queries"))
         plan = materialize(
             self.sizes.join(asked, "bucket").select(
-                "bucket", "parts", F.ceil(F.col("queries") / self.block_rows).cast("int").alias("chunks")
+                "bucket", "parts", F.ceil(F.col("queries") / self.block_rows).cast("int").alias("chunks"),
+                (F.col("queries") * F.col("vectors")).alias("pairs"),
             )
         )
-        groups = plan.agg(F.sum(F.col("parts") * F.col("chunks"))).first()[0] or 1
+        groups, pairs = plan.agg(F.sum(F.col("parts") * F.col("chunks")), F.sum("pairs")).first()
+        groups, self.compared = groups or 1, self.compared + (pairs or 0)
+        plan = plan.drop("pairs")
         chunk = F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int")
         left = queries.join(F.broadcast(plan), "bucket").withColumn("chunk", chunk)
         left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -166,24 +276,58 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def _bounds(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each row and box the least distance of the row to anything in the box; inf where they share no column."""
+    total, seen = np.zeros((len(rows), len(low))), np.zeros((len(rows), len(low)), dtype=np.int32)
+    for j in range(rows.shape[1]):
+        x = rows[:, j, None]
+        gap = np.maximum(np.maximum(low[None, :, j] - x, x - high[None, :, j]), 0.0)
+        known = ~np.isnan(gap)
+        total += np.where(known, gap * gap, 0.0)
+        seen += known
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(seen > 0, np.sqrt(total * (rows.shape[1] / seen)), np.inf)
+
+
+def _first(rows, bound, missing, low, high, has, vectors, k: int, per_column: bool) -> np.ndarray:
+    """The cells of the first visit, as a mask: per target the nearest cell, and the nearest that holds k vectors."""
+    middle = np.nan_to_num(low + high) / 2
+    known = ~missing
+    # distance to the middles, only to choose between boxes that hold the row
+    away = np.abs(np.nan_to_num(rows) @ middle.T * -2 + (np.nan_to_num(rows) ** 2) @ has.T + known @ (middle**2).T)
+    key = bound + 1e-6 * np.sqrt(away)
+    chosen = np.zeros(bound.shape, dtype=bool)
+    targets = range(rows.shape[1]) if per_column else (None,)
+    for target in targets:
+        asking = np.flatnonzero(missing[:, target]) if per_column else np.arange(len(rows))
+        giving = has[:, target] if per_column else np.ones(len(low), dtype=bool)
+        for cells in (np.flatnonzero(giving), np.flatnonzero(giving & (vectors >= k))):
+            if len(asking) and len(cells):
+                best = cells[np.argmin(key[np.ix_(asking, cells)], axis=1)]
+                fine = np.isfinite(bound[asking, best])
+                chosen[asking[fine], best[fine]] = True
+    return chosen
+
+
+def frequent_kinds(queries: DataFrame, columns: list[str]) -> tuple[int, ...]:
+    """The known columns of the most frequent kinds of queries, as bits."""
+    counts = queries.groupBy(_bits(columns).alias("kind")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind")
+    return tuple(r["kind"] for r in counts.limit(VIEWS).collect())
+
+
 def nearest(
     queries: DataFrame, donors: DataFrame, columns: list[str], k: int, per_column: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, cells: Cells | None = None,
 ) -> DataFrame:
     """(qid, target, distance, neighbour, value, place) for query vectors among donor vectors.
 
     With ``per_column`` each missing column of a query is a target of its own and only
     donors that have the column count. The result is exact: the second visit covers every
-    block that could hold a nearer row than the first visit found.
+    cell that could hold a nearer row than the first visit found.
     """
-    blocks = Blocks(donors, columns, block_rows)
-    last = len(blocks.splits) - 2
-    pivot = F.col(blocks.pivot)
+    cells = cells or Cells(donors, columns, block_rows, frequent_kinds(queries, columns) if per_column else ())
     asked = queries.select("qid", *columns)
-    home = blocks.place(asked, pivot, "home")
-    near = F.sequence(F.greatest(F.col("home") - 1, F.lit(0)), F.least(F.col("home") + 1, F.lit(last)))
-    first_visit = home.withColumn("bucket", F.explode(F.when(F.col("home") >= 0, near)))
-    first = materialize(_best(blocks.visit(first_visit, k, per_column), k).drop("place"))
+    first = materialize(_best(cells.visit(materialize(cells.near(asked, k, per_column)), k, per_column), k).drop("place"))
 
     missing = " + ".join(f"int({c} IS NULL)" for c in columns)
     wanted = F.expr(missing) if per_column else F.lit(1)
@@ -191,25 +335,15 @@ def nearest(
     bound = per_target.filter(F.col("n") >= k).groupBy("qid").agg(
         F.count(F.lit(1)).alias("full"), F.max("far").alias("reach")
     )
-    bounded = home.join(bound, "qid", "left").withColumn(
+    bounded = asked.join(bound, "qid", "left").withColumn(
         "reach", F.when(F.col("full") >= wanted, F.col("reach"))
     )
-    low = blocks.place(bounded, pivot - F.col("reach"), "low")
-    both = blocks.place(low, pivot + F.col("reach"), "high")
-    # Without a bound, or without a pivot value, every bucket is visited.
-    span = F.sequence(
-        F.when(F.col("low") >= 0, F.col("low")).otherwise(0),
-        F.when(F.col("high") >= 0, F.col("high")).otherwise(last),
-    )
-    seen = F.when(F.col("home") >= 0, near).otherwise(F.array().cast("array<int>"))
-    rest = F.concat(F.array_except(span, seen), F.array(F.lit(-1)))
-    second_visit = both.withColumn("bucket", F.explode(rest))
-    second = blocks.visit(second_visit.select("qid", *columns, "bucket"), k, per_column)
+    second = cells.visit(materialize(cells.within(bounded.select("qid", *columns, "reach"), k, per_column)), k, per_column)
     return _best(first.unionByName(second), k)
 
 
 def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumn("vector", F.array(*[F.col(c).cast("double") for c in columns]))
+    return with_exprs(df, {"vector": f"array({', '.join(NUMBER.format(c) for c in columns)})"})
 
 
 def knn_impute(
@@ -220,9 +354,9 @@ def knn_impute(
     A column without any value becomes 0; a row that shares no column with any donor gets
     the column mean.
     """
-    found = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    found = df.agg(*[F.expr(f"avg({NUMBER.format(c)})").alias(c) for c in columns]).first()
     empty = [c for c in columns if found[c] is None]
-    data = with_exprs(df, {c: "0D" if c in empty else f"double(`{c}`)" for c in columns})
+    data = with_exprs(df, {c: "0D" if c in empty else NUMBER.format(c) for c in columns})
     donors = materialize(vectors(data, key, columns, k))
     holes = " OR ".join(f"`{c}` IS NULL" for c in columns)
     queries = donors.filter(holes)
@@ -242,11 +376,11 @@ def knn_impute(
 def row_neighbours(
     df: DataFrame, key: str, columns: list[str], k: int = 5, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Every row with ``neighbours``: the (distance, id) of its k nearest other rows."""
+    """Every row with ``neighbours``: distance, id and vector of its k nearest other rows."""
     points = materialize(vectors(df, key, columns, k + 1))
     found = nearest(points, points, columns, k + 1, False, block_rows)
     listed = found.groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("distance", F.col("neighbour").alias("id")))).alias("near")
+        F.array_sort(F.collect_list(F.struct("distance", F.col("neighbour").alias("id"), "vector"))).alias("near")
     )
     table = _keyed(points, columns).select("qid", "vector").join(listed, "qid").drop("qid")
     joined = attach(_keyed(df, columns), table, "vector")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens import schema
 from cohortlens.operators.neighbours import row_neighbours
 from cohortlens.operators.splitting import stratified_split
+from cohortlens.session import materialize
 
 # --- fixed values: minority share of the majority after oversampling -------
 STRATEGIES = {"default": 1.0, "advanced": 0.7, "aggressive": 0.8}
@@ -27,17 +28,20 @@ def smote(
 
     A synthetic row lies between a minority row and one of its k nearest minority rows.
     Which rows serve, with which neighbour and where between them follows from the seed and
-    the row key. Keys are not negative; a synthetic row gets a negative key of its own.
+    the row key. The neighbour comes with its values, so that no row is joined to its partner, however many
+    rows are equal and share it. Keys are not negative; a synthetic row gets a negative key of its own.
     """
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    minority = min(counts, key=lambda c: (counts[c], c))
-    few, many = counts[minority], max(counts.values())
-    wanted = max(0, round(strategy * many) - few)
+    sizes = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    few, minority, many = sizes.agg(F.min(F.struct("n", label)).alias("least"), F.max("n").alias("most")).select("least.*", "most").first() or (0, None, 0)
+    wanted = max(0, round(strategy * (many or 0)) - (few or 0))
     kept = df.select(key, label, *columns).withColumn("synthetic", F.lit(0))
-    if few < 2 or not wanted:
+    if (few or 0) < 2 or not wanted:
         return kept
     base = df.filter(F.col(label) == minority).select(key, label, *columns)
-    near = row_neighbours(base, key, columns, k)
+    least, most = base.agg(F.min(key), F.max(key)).first()
+    if least < 0 or most * (wanted // few + 2) + wanted // few + 1 >= 1 << 63:
+        raise ValueError("keys must not be negative, nor so large that keys of synthetic rows do not fit")
+    near = materialize(row_neighbours(base, key, columns, k))
     # Everyone serves wanted // few times; an exact hash quota serves once more.
     quota = stratified_split(near, key, label, {"extra": (wanted % few) / few}, "plain", seed)
     times = F.lit(wanted // few) + F.when(F.col("split") == "extra", 1).otherwise(0)
@@ -45,15 +49,13 @@ def smote(
     at = F.floor(_unit(F.lit(seed), F.lit("near"), F.col(key), F.col("copy")) * F.size("neighbours"))
     picked = copies.withColumns(
         {
-            "other": F.element_at("neighbours", at.cast("int") + 1)["id"],
+            "other": F.element_at("neighbours", at.cast("int") + 1)["vector"],
             "gap": _unit(F.lit(seed), F.lit("gap"), F.col(key), F.col("copy")),
         }
     )
-    partner = base.select(F.col(key).alias("other"), *[F.col(c).alias(f"to_{c}") for c in columns])
-    joined = picked.join(partner, "other")
-    between = [(F.col(c) + F.col("gap") * (F.col(f"to_{c}") - F.col(c))).alias(c) for c in columns]
-    own = -(F.col(key) * (wanted // few + 2) + F.col("copy"))
-    made = joined.select(own.alias(key), label, *between, F.lit(1).alias("synthetic"))
+    between = [(F.col(c) + F.col("gap") * (F.col("other")[i] - F.col(c))).alias(c) for i, c in enumerate(columns)]
+    own = -(F.col(key).cast("bigint") * (wanted // few + 2) + F.col("copy"))
+    made = picked.select(own.alias(key), label, *between, F.lit(1).alias("synthetic"))
     return kept.unionByName(made)
 
 

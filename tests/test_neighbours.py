@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
 from cohortlens.operators import neighbours, resampling
+from cohortlens.session import materialize
 
 COLUMNS = ["a", "b", "c"]
 
@@ -56,7 +58,8 @@ def brute_fill(rows, k):
 
 
 @pytest.mark.parametrize("block_rows", [7, 2048])
-def test_knn_impute_equals_brute_force(spark, block_rows):
+def test_knn_impute_equals_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(neighbours, "VIEWS", 2 if block_rows == 7 else 8)
     rows = fixture()
     got = neighbours.knn_impute(frame(spark, rows), "id", COLUMNS, 5, block_rows).collect()
     want = brute_fill(rows, 5)
@@ -114,3 +117,60 @@ def test_smote_tomek_leaves_no_link(spark):
     rows = fixture(90, missing=False)
     out = resampling.smote_tomek(frame(spark, rows), "id", COLUMNS, "y", 0.8)
     assert out.count() > 0 and out.filter("synthetic = 1").count() > 0
+
+
+def spread(n, seed, holes):
+    source = random.Random(seed)
+    values = [[source.uniform(0, 100), source.uniform(0, 60), source.uniform(0, 30)] for _ in range(n)]
+    return [(i, 0, *[None if source.random() < holes else v for v in row]) for i, row in enumerate(values)]
+
+
+def compared(spark, rows, k, per_column):
+    """Pairs of vectors that the search compares."""
+    points = materialize(neighbours.vectors(frame(spark, rows), "id", COLUMNS, k))
+    queries = points.filter("a IS NULL OR b IS NULL OR c IS NULL") if per_column else points
+    cells = neighbours.Cells(points, COLUMNS, 32, neighbours.frequent_kinds(queries, COLUMNS) if per_column else ())
+    assert neighbours.nearest(queries, points, COLUMNS, k, per_column, cells=cells).count() > 0
+    return cells.compared
+
+
+@pytest.mark.parametrize("holes", [0.0, 0.1])
+def test_comparisons_grow_with_the_rows(spark, holes):
+    """Four times the rows need less than six times the comparisons, with and without missing values."""
+    small, large = (compared(spark, spread(n, 5, holes), 5, holes > 0) for n in (2000, 8000))
+    assert large < 6 * small and large < 8000 * 8000 * (0.27 if holes else 1) / 4
+
+
+def test_knn_impute_with_many_patterns_equals_brute_force(spark):
+    rows = spread(400, 9, 0.3)
+    got = neighbours.knn_impute(frame(spark, rows), "id", COLUMNS, 3, 16).collect()
+    want = brute_fill(rows, 3)
+    for row in got:
+        assert [row[c] for c in COLUMNS] == pytest.approx(want[row["id"]])
+
+
+def test_trees_cover_every_vector(spark):
+    """Constant columns, heavy ties and a sample that misses a pattern still put every vector in one cell."""
+    rows = np.array([[1.0, 2.0]] * 500 + [[1.0, float(i % 3)] for i in range(500)] + [[np.nan, 5.0]] * 3)
+    tree = neighbours.Tree(rows[:1000], np.array([True, True]), 8, 0)
+    leaves = tree.place(rows[:1000])
+    assert leaves.min() >= 0 and leaves.max() < tree.next
+    empty = neighbours.Tree(rows[:0], np.array([True, False]), 5, 7)
+    assert (empty.place(rows[:4]) == 7).all() and empty.next == 8
+
+
+def test_smote_with_half_of_the_minority_equal(spark):
+    """Equal rows are partners by value: nothing is joined to a partner, and every synthetic row lies between minority rows."""
+    source = random.Random(4)
+    rows = [(i, 1, *([5.0, 2.0, 1.0] if i % 2 else [source.uniform(0, 9) for _ in range(3)])) for i in range(120)]
+    rows += [(1000 + i, 0, *[source.uniform(0, 9) for _ in range(3)]) for i in range(400)]
+    made = resampling.smote(frame(spark, rows), "id", COLUMNS, "y", 1.0)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "other#" not in "".join(line for line in plan.splitlines() if "Join" in line)
+    new = made.filter("synthetic = 1").collect()
+    assert len(new) == 280 and len({r["id"] for r in new}) == 280
+    same = sum((r["a"], r["b"], r["c"]) == (5.0, 2.0, 1.0) for r in new)
+    assert 0.3 * 280 < same < 0.7 * 280  # an equal row's neighbours are its copies
+    with pytest.raises(ValueError):
+        resampling.smote(frame(spark, [(-1, 1, 0.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0)] + rows[-9:]), "id", COLUMNS, "y", 1.0)
+    assert resampling.smote(frame(spark, rows[:0]), "id", COLUMNS, "y").count() == 0
