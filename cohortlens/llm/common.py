@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +43,32 @@ BATCHES = (  # setting, Spark's default, ours; a value of the session's own stay
 )
 
 
+def _give_back() -> None:
+    """Hand memory that was freed back to the system; a reused Python worker would else keep the peak of every step it has run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def _tidy(function):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors and batches that long texts don't blow up."""
     spark = ship(df.sparkSession)
     for name, default, wanted in BATCHES:
         if spark.conf.get(name, default) == default:
             spark.conf.set(name, wanted)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_tidy(function), schema)
 
 
 def row_key(*columns: str):
