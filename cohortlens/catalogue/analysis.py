@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortlens import schema
 from cohortlens.functions.features import add_features, feature_names
 from cohortlens.functions.project import with_exprs
-from cohortlens.operators import comparison, encoding, metrics, monitoring, neighbours, profiling
+from cohortlens.operators import comparison, encoding, information, metrics, monitoring, neighbours, profiling
 from cohortlens.operators import quality, resampling, scoring, splitting
 from cohortlens.plans.assess_job import FEATURE_TO_REQUEST
 from cohortlens.plans.survey import raw_survey, survey, table
@@ -79,6 +79,11 @@ def mutual_info_binned(spark, sf_dir):
     return rounded(profiling.mutual_information(survey(spark, sf_dir), columns))
 
 
+def mutual_info_nearest(spark, sf_dir):
+    columns = ["age", "sleep_duration", "sleep_quality", "average_screen_time", "stress_level", "heart_rate", "daily_steps", "symptom_score"]
+    return rounded(information.nearest_information(survey(spark, sf_dir), columns))
+
+
 def label_conflicts(spark, sf_dir):
     keys = ["age_band", "gender", "stress_level", "sleep_quality", "symptom_score", "smoking"]
     return profiling.label_conflicts(survey(spark, sf_dir), keys)
@@ -267,6 +272,16 @@ def model_comparison(spark, sf_dir):
     return rounded(comparison.model_comparison(base, better, ["split"]))
 
 
+def comparison_report(spark, sf_dir):
+    """Rule score of stage A at 0.5 against that of stage B at 0.3, with thresholds and confusion counts."""
+    split = _split(spark, sf_dir)
+    base, better = (
+        metrics.binary_metrics(split, score, "y", cut, ("split",)).withColumns({"threshold": F.lit(cut), "stage": F.lit("A/B")})
+        for score, cut in (("prob_a", 0.5), ("prob_b", 0.3))
+    )
+    return rounded(comparison.comparison_report(base, better, ["stage", "split"]))
+
+
 def comparison_summary(spark, sf_dir):
     base, better = (_by_split(spark, sf_dir, c) for c in ("prob_a", "prob_b"))
     return rounded(comparison.improvement_summary(comparison.model_comparison(base, better, ["split"])), 4)
@@ -342,6 +357,7 @@ QUERIES = {
     "categorical_top5_part": categorical_top5_part,
     "factorize": factorize,
     "mutual_info_binned": mutual_info_binned,
+    "mutual_info_nearest": mutual_info_nearest,
     "label_conflicts": label_conflicts,
     "features_base": _features("base"),
     "features_medical": _features("medical", ("activity_composite",)),
@@ -386,6 +402,8 @@ QUERIES = {
     "overfit_check": overfit_check,
     "best_checkpoint": best_checkpoint,
     "model_comparison": model_comparison,
+    "comparison_report": comparison_report,
+    "stage_features": lambda s, d: encoding.feature_report(survey(s, d)),
     "comparison_summary": comparison_summary,
     "subgroup_metrics": subgroup_metrics,
     "calibration_bins": lambda s, d: rounded(metrics.calibration_bins(_labelled(s, d), "prob_b", "y")),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ["roc_auc", "pr_auc", "precision", "recall", "f1"]
+REPORTED = [*METRICS, "threshold", "tn", "fp", "fn", "tp"]
 
 
 def overfit_check(
@@ -61,6 +62,14 @@ def model_comparison(
     return known.withColumns({"diff": diff, "diff_pct": share, "arrow": arrow})
 
 
+def comparison_report(base: DataFrame, improved: DataFrame, keys: list[str]) -> DataFrame:
+    """``model_comparison`` with the thresholds and the confusion counts at them, all as doubles, per stage and split."""
+    def doubles(df: DataFrame) -> DataFrame:
+        return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in REPORTED])
+
+    return model_comparison(doubles(base), doubles(improved), keys, REPORTED)
+
+
 def improvement_summary(compared: DataFrame) -> DataFrame:
     usable = compared.filter(F.col("base") > 0)
     return usable.agg(

@@ -49,6 +49,21 @@ def stage_features(df: DataFrame, stage: str) -> list[str]:
     return [c for c in listed if c in df.columns]
 
 
+def feature_report(df: DataFrame, stages: tuple[str, ...] = ("A", "B"), forbidden=schema.STAGE_A_FORBIDDEN) -> DataFrame:
+    """(stage, place, feature, known, forbidden_in_a): the features of each stage in their order, rows that have them, and whether
+    stage A must not use them. One scan, one aggregate row, whatever the number of features."""
+    listed = [(s, i, c) for s in stages for i, c in enumerate(stage_features(df, s))]
+    counted = df.agg(*[F.count(c).alias(c) for c in sorted({c for _, _, c in listed})])
+    rows = [
+        F.struct(
+            F.lit(s).alias("stage"), F.lit(i).alias("place"), F.lit(c).alias("feature"), F.col(c).alias("known"),
+            F.lit(c in forbidden).alias("forbidden_in_a"),
+        )
+        for s, i, c in listed
+    ]
+    return counted.select(F.inline(F.array(*rows)))
+
+
 def fill(df: DataFrame, values: dict[str, float]) -> DataFrame:
     return with_exprs(
         df, {c: f"coalesce(double(`{c}`), {double_literal(v)})" for c, v in values.items()}

@@ -278,6 +278,54 @@ COMPARED = (
     + "), known AS (SELECT *, improved - base AS diff, CASE WHEN base > 0 THEN (improved - base) / base * 100 ELSE 0.0 END AS diff_pct FROM cmp "
     "WHERE base IS NOT NULL AND improved IS NOT NULL)"
 )
+def _unrounded(score: str, threshold: float) -> str:
+    text = evaluate("parts", score, "y", threshold, "split").replace("round(", "(")
+    for name in METRIC_NAMES:
+        text = text.replace(f", 6) AS {name}", f") AS {name}")
+    return text
+
+
+_REPORT = f"{SPLIT}, ea AS ({_unrounded('prob_a', 0.5)}), eb AS ({_unrounded('prob_b', 0.3)})"
+COMPARISON_REPORT = (
+    f"{_REPORT}, cmp AS ("
+    + union(
+        [f"SELECT ea.split, '{m}' AS metric, CAST(ea.{m} AS DOUBLE) AS base, CAST(eb.{m} AS DOUBLE) AS improved FROM ea JOIN eb ON ea.split = eb.split"
+         for m in (*METRIC_NAMES, "tn", "fp", "fn", "tp")]
+        + ["SELECT split, 'threshold' AS metric, 0.5::DOUBLE AS base, 0.3::DOUBLE AS improved FROM ea"]
+    )
+    + "), known AS (SELECT *, improved - base AS diff, CASE WHEN base > 0 THEN (improved - base) / base * 100 ELSE 0.0 END AS diff_pct FROM cmp "
+    "WHERE base IS NOT NULL AND improved IS NOT NULL) SELECT 'A/B' AS stage, split, metric, round(base, 6) AS base, round(improved, 6) AS improved, "
+    "round(diff, 6) + 0.0 AS diff, round(diff_pct, 6) + 0.0 AS diff_pct, CASE WHEN diff > 0 THEN 'up' WHEN diff < 0 THEN 'down' ELSE 'same' END AS arrow FROM known"
+)
+STAGE_FEATURES = f"{STD} " + union(
+    [f"SELECT '{stage}' AS stage, {i}::INTEGER AS place, '{c}' AS feature, COUNT({c}) AS known, {c in SYMPTOMS} AS forbidden_in_a FROM std"
+     for stage, listed in (("A", STAGE_A), ("B", STAGE_B)) for i, c in enumerate(listed)]
+)
+
+
+def _digamma(x: str) -> str:
+    up = f"({x} + 10)"
+    back = " + ".join(f"1.0::DOUBLE / ({x} + {i})" for i in range(10))
+    return f"(ln({up}) - 1 / (2 * {up}) - 1 / (12 * {up}**2) + 1 / (120 * {up}**4) - 1 / (252 * {up}**6) - ({back}))"
+
+
+INFORMATION = (
+    f"{STD}, long AS (" + union(
+        [f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, {Y} AS y FROM std WHERE {c} IS NOT NULL AND {Y} IS NOT NULL"
+         for c in ("age", "sleep_duration", "sleep_quality", "average_screen_time", "stress_level", "heart_rate", "daily_steps", "symptom_score")]
+    ) + "), v AS (SELECT *, SUM(n) OVER (PARTITION BY feature, y) AS in_class, least(3, SUM(n) OVER (PARTITION BY feature, y) - 1) AS k "
+    "FROM (SELECT feature, y, x, COUNT(*) AS n FROM long GROUP BY ALL)), "
+    "pairs AS (SELECT a.feature, a.y, a.x, a.k, b.x AS other, abs(b.x - a.x) AS gap, SUM(b.n - CASE WHEN a.x = b.x THEN 1 ELSE 0 END) OVER "
+    "(PARTITION BY a.feature, a.y, a.x ORDER BY abs(b.x - a.x) RANGE UNBOUNDED PRECEDING) AS upto FROM v a JOIN v b ON a.feature = b.feature AND a.y = b.y), "
+    "d AS (SELECT feature, y, x, MIN(gap) AS d FROM pairs WHERE upto >= k GROUP BY ALL), "
+    "ends AS (SELECT d.feature, d.y, d.x, d.d, COALESCE(MAX(CASE WHEN other < d.x AND d.x - other = d.d THEN other END), d.x - d.d) AS low, "
+    "COALESCE(MAX(CASE WHEN other > d.x AND other - d.x = d.d THEN other END), d.x + d.d) AS high "
+    "FROM d JOIN pairs ON d.feature = pairs.feature AND d.y = pairs.y AND d.x = pairs.x GROUP BY d.feature, d.y, d.x, d.d), "
+    "u AS (SELECT feature, x, SUM(n) AS n FROM v GROUP BY ALL), "
+    "m AS (SELECT ends.feature, ends.y, ends.x, SUM(u.n) AS m FROM ends JOIN u ON ends.feature = u.feature AND (u.x = ends.x OR (u.x > low AND u.x < high)) GROUP BY ALL), "
+    f"p AS (SELECT feature, SUM(n) AS total, SUM(n * ({_digamma('k')} - {_digamma('in_class')} - {_digamma('m')})) AS parts FROM v JOIN m USING (feature, y, x) GROUP BY ALL) "
+    f"SELECT feature, CAST(total AS BIGINT) AS rows, round(greatest({_digamma('total')} + parts / total, 0.0), 6) + 0.0 AS mutual_information FROM p"
+)
 OVERFIT = (
     f"{PER_SPLIT}, m AS (SELECT 'A' AS stage, split, roc_auc FROM ea UNION ALL SELECT 'B', split, roc_auc FROM eb), "
     "wide AS (SELECT stage, MAX(CASE WHEN split = 'train' THEN roc_auc END) AS train_auc, MAX(CASE WHEN split = 'val' THEN roc_auc END) AS val_auc, "
@@ -455,6 +503,9 @@ ORACLES = {
     "best_checkpoint": f"{RUNS}, e AS ({evaluate('runs', 'score', 'y', 0.5, 'iteration')}), "
     "b AS (SELECT iteration, roc_auc, COALESCE(MAX(roc_auc) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS best_before FROM e) "
     "SELECT 'B' AS stage, CAST(iteration AS INTEGER) AS iteration, roc_auc, best_before FROM b WHERE roc_auc > best_before",
+    "comparison_report": COMPARISON_REPORT,
+    "stage_features": STAGE_FEATURES,
+    "mutual_info_nearest": INFORMATION,
     "model_comparison": f"{COMPARED} SELECT split, metric, round(base, 6) + 0.0 AS base, round(improved, 6) + 0.0 AS improved, round(diff, 6) + 0.0 AS diff, round(diff_pct, 6) + 0.0 AS diff_pct, "
     "CASE WHEN diff > 0 THEN 'up' WHEN diff < 0 THEN 'down' ELSE 'same' END AS arrow FROM known",
     "comparison_summary": f"{COMPARED} SELECT round(AVG(diff_pct), 4) + 0.0 AS avg_improvement, COUNT(CASE WHEN diff_pct > 0 THEN 1 END) AS improved, COUNT(*) AS compared FROM known WHERE base > 0",
