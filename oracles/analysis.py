@@ -315,14 +315,18 @@ INFORMATION = (
          for c in ("age", "sleep_duration", "sleep_quality", "average_screen_time", "stress_level", "heart_rate", "daily_steps", "symptom_score")]
     ) + "), v AS (SELECT *, SUM(n) OVER (PARTITION BY feature, y) AS in_class, least(3, SUM(n) OVER (PARTITION BY feature, y) - 1) AS k "
     "FROM (SELECT feature, y, x, COUNT(*) AS n FROM long GROUP BY ALL)), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY feature, y ORDER BY x) AS place FROM v), "
+    "near AS (SELECT *, place + unnest(range(-3, 4)) AS there FROM o), "  # no more than k values on either side matter
     "pairs AS (SELECT a.feature, a.y, a.x, a.k, b.x AS other, abs(b.x - a.x) AS gap, SUM(b.n - CASE WHEN a.x = b.x THEN 1 ELSE 0 END) OVER "
-    "(PARTITION BY a.feature, a.y, a.x ORDER BY abs(b.x - a.x) RANGE UNBOUNDED PRECEDING) AS upto FROM v a JOIN v b ON a.feature = b.feature AND a.y = b.y), "
+    "(PARTITION BY a.feature, a.y, a.x ORDER BY abs(b.x - a.x) RANGE UNBOUNDED PRECEDING) AS upto "
+    "FROM near a JOIN o b ON a.feature = b.feature AND a.y = b.y AND a.there = b.place), "
     "d AS (SELECT feature, y, x, MIN(gap) AS d FROM pairs WHERE upto >= k GROUP BY ALL), "
     "ends AS (SELECT d.feature, d.y, d.x, d.d, COALESCE(MAX(CASE WHEN other < d.x AND d.x - other = d.d THEN other END), d.x - d.d) AS low, "
     "COALESCE(MAX(CASE WHEN other > d.x AND other - d.x = d.d THEN other END), d.x + d.d) AS high "
     "FROM d JOIN pairs ON d.feature = pairs.feature AND d.y = pairs.y AND d.x = pairs.x GROUP BY d.feature, d.y, d.x, d.d), "
-    "u AS (SELECT feature, x, SUM(n) AS n FROM v GROUP BY ALL), "
-    "m AS (SELECT ends.feature, ends.y, ends.x, SUM(u.n) AS m FROM ends JOIN u ON ends.feature = u.feature AND (u.x = ends.x OR (u.x > low AND u.x < high)) GROUP BY ALL), "
+    "u AS (SELECT feature, x, n, SUM(n) OVER (PARTITION BY feature ORDER BY x) AS upto FROM (SELECT feature, x, SUM(n) AS n FROM v GROUP BY ALL)), "
+    "m AS (SELECT e.feature, e.y, e.x, CASE WHEN e.d = 0 THEN u.n ELSE h.upto - COALESCE(l.upto, 0) END AS m FROM ends e "
+    "JOIN u ON e.feature = u.feature AND e.x = u.x ASOF LEFT JOIN u h ON e.feature = h.feature AND e.high > h.x ASOF LEFT JOIN u l ON e.feature = l.feature AND e.low >= l.x), "
     f"p AS (SELECT feature, SUM(n) AS total, SUM(n * ({_digamma('k')} - {_digamma('in_class')} - {_digamma('m')})) AS parts FROM v JOIN m USING (feature, y, x) GROUP BY ALL) "
     f"SELECT feature, CAST(total AS BIGINT) AS rows, round(greatest({_digamma('total')} + parts / total, 0.0), 6) + 0.0 AS mutual_information FROM p"
 )
