@@ -168,7 +168,7 @@ class Cells:
         total = sum(sizes.values())
         wide = max(block_rows, math.ceil(len(self.kinds) * total / max(1, MAX_CELLS - len(sizes) * len(self.kinds))))
         share = F.pmod(F.xxhash64("qid"), F.lit(max(1, math.ceil(total / SAMPLE)))) == 0
-        sample = donors.filter(share).select(*columns).toPandas().to_numpy(float)
+        sample = np.array(donors.filter(share).select(*columns).collect(), dtype=float).reshape(-1, len(columns))
         own, trees, first, self.edges = _pattern(sample), [], 0, []
         for kind in self.kinds:
             self.edges.append(first)
@@ -194,9 +194,10 @@ class Cells:
         placed = materialize(donors.mapInPandas(put, f"{schema}, bucket int"))
         edges = [f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max))]
         self.sizes = materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("vectors"), *edges))
-        boxes = self.sizes.orderBy("bucket").toPandas()  # MAX_CELLS rows at most
-        self.bucket, self.vectors = boxes["bucket"].to_numpy(), boxes["vectors"].to_numpy()
-        self.low, self.high = (boxes[[f"{n}{i}" for i in range(len(columns))]].to_numpy(float) for n in ("low", "high"))
+        rows = self.sizes.orderBy("bucket").collect()  # MAX_CELLS rows at most
+        boxes = np.array(rows, dtype=float).reshape(-1, 2 + 2 * len(columns))
+        self.bucket, self.vectors = boxes[:, 0].astype(np.int64), boxes[:, 1]
+        self.low, self.high = boxes[:, 2::2], boxes[:, 3::2]
         self.sizes = self.sizes.select("bucket", "vectors", F.ceil(F.col("vectors") / block_rows).cast("int").alias("parts"))
         part = F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")
         self.placed = placed.join(F.broadcast(self.sizes), "bucket").withColumn("part", part).drop("parts", "vectors")

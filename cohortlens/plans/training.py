@@ -39,7 +39,10 @@ def prepare_fitted(
         names += [c for c in made if c not in names]
     encoding.check_features(names, stage)
     rows = filled.select("row_id", LABEL, "split", *[F.col(c).cast("double").alias(c) for c in names])
-    return materialize(rows), names, medians
+    # Fitting goes over the rows again and again: as many files as tasks can run, whatever the input's were.
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(rows.repartition(parts, "row_id")), names, medians
 
 
 def prepare(df: DataFrame, stage: str, *args, **options) -> tuple[DataFrame, list[str]]:

@@ -314,6 +314,20 @@ def test_candidates_are_seeded_and_in_range():
                 assert low <= c[name] <= high
 
 
+def test_search_ranks_like_an_exhaustive_run(spark):
+    """Rungs find the winner of the full run, fit losers for fewer folds, and give the same means where all folds were fitted."""
+    data = small_training_set(spark)
+    learner = members.logistic("y")
+    tried = [{"regParam": r, "elasticNetParam": 1.0} for r in (0.0, 0.01, 0.3, 5.0)]
+    best, found = ensembles.search(data, learner, tried, "id", "y", k=3)
+    _, full = ensembles.search(data, learner, tried, "id", "y", k=3, keep=1.0)
+    assert [f for _, f, _ in full] == [3] * 4 and sorted(f for _, f, _ in found) == [1, 1, 2, 3]
+    winner = max(full, key=lambda c: c[2])[0]
+    assert found[winner][1] == 3 and found[winner][2] == pytest.approx(full[winner][2])
+    assert best.getRegParam() == tried[winner]["regParam"]
+    assert ensembles.candidates("A", 2)[:3] == ensembles.PRESETS["A"] and len(ensembles.candidates("A", 2)) == 5
+
+
 def test_library_stays_on_dataframes():
     import pathlib
 
