@@ -7,6 +7,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from cohortlens.catalogue import models
+from cohortlens.models import members
 from tests.compare import connect, difference
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -18,6 +20,14 @@ def con():
     return connect(SF_DIR)
 
 
+@pytest.fixture(autouse=True)
+def small_models(monkeypatch):
+    """Fewer trees, so that these tests stay short; the queries themselves have full sizes."""
+    monkeypatch.setitem(members.GBT_DEFAULTS, "maxDepth", 3)
+    for forest in (members.FOREST_DEFAULTS, members.EDA_FOREST, members.BASELINE_FOREST, models.SELECTION_FOREST, models.ENSEMBLE_FOREST):
+        monkeypatch.setitem(forest, "numTrees", 12)
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
