@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+from functools import partial
 
 import pytest
 
 import __spark_entry__ as entry
 from cohortlens.catalogue import models
-from cohortlens.models import members
+from cohortlens.models import ensembles, members
 from tests.compare import connect, difference
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -26,6 +27,7 @@ def small_models(monkeypatch):
     monkeypatch.setitem(members.GBT_DEFAULTS, "maxDepth", 3)
     for forest in (members.FOREST_DEFAULTS, members.EDA_FOREST, members.BASELINE_FOREST, models.SELECTION_FOREST, models.ENSEMBLE_FOREST):
         monkeypatch.setitem(forest, "numTrees", 12)
+    monkeypatch.setattr(ensembles, "fit_stack", partial(ensembles.fit_stack, iterations=20))
 
 
 def test_every_sql_has_a_query():
