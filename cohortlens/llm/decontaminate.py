@@ -5,6 +5,9 @@ window only if it contains all of its word shingles, so one necessary shingle pe
 prefix: the rarest in the corpus. Texts are joined on those only; the shingle's place in window and text gives
 the one possible start, length and position bounds drop what would stick out, and the rest is
 compared word by word. Only DataFrame functions are used.
+
+Per text, possible places are kept as one list of starts for each window: what a row holds grows with its text and the
+windows found in it, not with their product, and hit words are counted by merging sorted spans.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import small, stored
+from cohortlens.llm.common import row_key, small, stored
 
 AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,6 +54,27 @@ def shingles(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     return found
 
 
+def _held(words: str, places: str) -> F.Column:
+    """The (window, length, starts) of ``places`` that are right word by word; windows without one are left out."""
+    def right(place):
+        same = lambda s: F.array_join(F.slice(words, s + 1, place["length"]), " ") == place["window"]
+        return F.struct(place["window"].alias("window"), place["length"].alias("length"), F.filter(place["starts"], same).alias("starts"))
+
+    return F.filter(F.transform(places, right), lambda place: F.size(place["starts"]) > 0)
+
+
+def _covered(held: str) -> F.Column:
+    """How many words the spans of ``held`` cover together: they are sorted and merged, not listed word by word."""
+    spans = F.flatten(F.transform(held, lambda p: F.transform(p["starts"], lambda s: F.struct(s.alias("start"), (s + p["length"]).alias("end")))))
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end"))
+
+    def add(so_far, span):
+        new = F.greatest(span["end"] - F.greatest(so_far["end"], span["start"]), F.lit(0))
+        return F.struct((so_far["n"] + new).alias("n"), F.greatest(so_far["end"], span["end"]).alias("end"))
+
+    return F.aggregate(F.array_sort(spans), none, add)["n"]
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -61,7 +85,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: int
     by content, so equal rows get equal results, each of its own, and a NULL doc_id is kept.
     Extra columns are ignored; empty tables give no hits, or no rows.
     """
-    docs = docs.select("doc_id", "text").withColumn("k", F.xxhash64("doc_id", "text"))
+    docs = docs.select("doc_id", "text").withColumn("k", F.unhex(row_key("doc_id", "text")))
     words = docs.select("k", words_of(F.col("text")).alias("words"))
 
     pieces = item_windows(items, size).withColumn("window", F.concat_ws(" ", "words"))
@@ -93,19 +117,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: int
 
     keys = near.select("k").distinct()
     texts = words.join(small(keys, BROADCAST_KEYS), "k", "left_semi").dropDuplicates(["k"])
-    places = near.groupBy("k").agg(F.collect_list(F.struct("start", "length", "window")).alias("places"))
-    same = F.filter("places", lambda c: F.array_join(F.slice("words", c["start"] + 1, c["length"]), " ") == c["window"])
-    held = texts.join(places, "k").select("k", same.alias("held")).filter(F.size("held") > 0)
-    spans = F.flatten(F.transform("held", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))
-    held = stored(
-        held.select("k", F.size(F.array_distinct(spans)).cast("bigint").alias("n_hit"), F.array_distinct(F.col("held.window")).alias("windows")),
-        "held",
-    )
+    starts = near.groupBy("k", "window", "length").agg(F.collect_list("start").alias("starts"))
+    places = starts.groupBy("k").agg(F.collect_list(F.struct("window", "length", "starts")).alias("places"))
+    held = stored(texts.join(places, "k").select("k", _held("words", "places").alias("held")).filter(F.size("held") > 0), "held")
     names = owners.select("window", F.col("item_id").cast("string").alias("item")).distinct()
-    listed = held.select("k", F.explode("windows").alias("window")).join(names, "window")
+    listed = held.select("k", F.explode("held.window").alias("window")).join(names, "window")
     listed = listed.groupBy("k").agg(F.sort_array(F.collect_set("item")).alias("items"))
     listed = listed.select("k", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
-    verdicts = stored(held.select("k", "n_hit").join(listed, "k", "left"), "verdicts")
+    verdicts = stored(held.select("k", _covered("held").alias("n_hit")).join(listed, "k", "left"), "verdicts")
 
     counted = docs.select("doc_id", "k", F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
     out = counted.join(small(verdicts, BROADCAST_WINDOWS), "k", "left").select(

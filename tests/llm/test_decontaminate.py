@@ -64,3 +64,18 @@ def test_no_python_in_the_plan(spark, odd_docs):
     items = spark.createDataFrame([(1, "same text in two rows for a test of ties")], "item_id int, text string")
     plan = decontaminate(odd_docs, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_text_that_repeats_an_item(spark):
+    """One long text full of one item, another of one word that is an item's only word, and items that overlap themselves."""
+    phrase = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    items = [(1, phrase), (2, "tick " * 20), (3, "tock"), (4, phrase.split(" ", 2)[2])]
+    docs = [(1, f"{phrase} filler " * 2_000), (2, "tick " * 30_000), (3, "tock, " * 5_000), (4, "tick " * 12), (5, f"x {phrase} y")]
+    found = {r[0]: r for r in result(decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")))}
+    assert [found[i][1:4] for i in range(1, 6)] == [(32_000, 30_000, 2), (30_000, 30_000, 1), (5_000, 5_000, 1), (12, 0, 0), (17, 15, 2)]
+
+
+def test_rows_are_told_apart_by_128_bits(spark, odd_docs):
+    items = spark.createDataFrame([(1, "same text in two rows for a test of ties")], "item_id int, text string")
+    plan = decontaminate(odd_docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex(md5" in plan and "xxhash64(doc_id" not in plan
