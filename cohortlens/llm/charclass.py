@@ -44,3 +44,19 @@ def class_counts(pieces: list[str]) -> np.ndarray:
     owner = np.repeat(np.arange(n, dtype=np.int64) * width, [len(p) for p in pieces])
     places = owner + _LOOKUP[np.minimum(codes, _TABLE)]
     return np.bincount(places, minlength=n * width).reshape(n, width).astype(float)
+
+
+def bounded_class_counts(pieces: list[str], chars: int = 1 << 20) -> np.ndarray:
+    """The same in steps of about ``chars`` characters, a longer piece in several, so that memory follows the step."""
+    out = np.zeros((len(pieces), len(CLASSES)))
+    first = size = 0
+    for i, piece in enumerate(pieces):
+        size += len(piece)
+        if size >= chars or i + 1 == len(pieces):
+            if len(piece) < chars:
+                out[first : i + 1] = class_counts(pieces[first : i + 1])
+            else:
+                out[first:i] = class_counts(pieces[first:i])
+                out[i] = sum(class_counts([piece[at : at + chars]])[0] for at in range(0, len(piece), chars))
+            first, size = i + 1, 0
+    return out

@@ -5,13 +5,16 @@ evidence, transitions tie neighbours together, and forward-backward marginals, w
 document's quality, which a two-parameter logistic curve turns into a score.
 
 Training takes the label of a document for all its lines. It uses at most ``per_class`` labelled
-documents of either label, in the order of a hash of doc_id, never held-out ones, and is fitted on
+documents of either label, in the order of a hash of doc_id, never held-out ones, and of a longer text ``LINES``
+lines that follow each other, from a place that its hash tells. It is fitted on
 line features in the driver; that sample is the only thing that reaches it. Scoring runs over
-all documents and whole texts in one pass without a shuffle.
+all documents and whole texts in one pass without a shuffle; features are held for ``BLOCK`` lines at once, and a
+chain of many lines is cut into blocks whose transfer matrices are multiplied, so that its messages stay exact.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,33 +22,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.charclass import CLASSES, class_counts
+from cohortlens.llm.charclass import CLASSES, bounded_class_counts
 from cohortlens.llm.common import chunks, mapped, ragged
 
 PER_CLASS = 1000  # labelled documents of each label used for training, at most
+LINES = 100  # lines of one document used for training, at most
+BLOCK, CELLS, LONG = 20_000, 1 << 18, 4096  # lines with features at once, cells of a padded array, lines of a chain that is cut
 ROUNDS, RATE, RIDGE = 150, 0.05, 1e-4
 OWN = len(CLASSES) + 8  # features of a line itself
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features per line, length per line, lines per text). An empty text is one empty line."""
-    lines, counts = [], []
+def _lines(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(lines, lines per text, whether the text had the same line before). An empty text is one empty line."""
+    lines, counts, repeated = [], [], bytearray()
     for text in texts:
-        own = text.split("\n")
+        own, seen = text.split("\n"), set()
+        for line in own:
+            repeated.append(line in seen)
+            seen.add(line)
         lines += own
         counts.append(len(own))
-    classes = class_counts(lines)
+    return lines, np.array(counts), np.frombuffer(repeated, dtype=np.bool_)
+
+
+def _features(lines: list[str], repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, length) per line."""
+    classes = bounded_class_counts(lines)
     sizes = classes.sum(1)
-    words = np.zeros((len(lines), 3))
-    seen: set[str] = set()
-    at = 0
-    for n in counts:
-        seen.clear()
-        for i in range(at, at + n):
-            own = lines[i].split()
-            words[i] = len(own), len(set(own)), lines[i] in seen
-            seen.add(lines[i])
-        at += n
+    words = np.zeros((len(lines), 2))
+    for i, line in enumerate(lines):
+        own = line.split()
+        words[i] = len(own), len(set(own))
     n_words = np.maximum(words[:, 0], 1)
     length = np.log1p(sizes) / 5
     extra = [
@@ -54,12 +61,18 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         np.log1p(words[:, 0]) / 4,
         (sizes - classes[:, CLASSES.index("space")]) / n_words / 6,
         words[:, 1] / n_words,
-        words[:, 2],
+        repeated.astype(float),
         (words[:, 0] < 4).astype(float),
         (words[:, 0] == 0).astype(float),
     ]
     shares = np.sqrt(classes / np.maximum(sizes, 1)[:, None])
-    return np.column_stack([shares, *extra]), sizes, np.array(counts)
+    return np.column_stack([shares, *extra]), sizes
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features per line, length per line, lines per text)."""
+    lines, counts, repeated = _lines(texts)
+    return *_features(lines, repeated), counts
 
 
 def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -99,22 +112,97 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def qualities(own: np.ndarray, sizes: np.ndarray, counts: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Length-weighted mean marginal of each text, and the marginal of each line."""
-    evidence = with_neighbours((own - model["mean"]) / model["scale"], counts) @ model["weights"]
+def _chain(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The forward messages of one long chain, in some 2 * sqrt(n) array steps.
+
+    The chain is laid out as rows. Each row's steps are multiplied to one 2 x 2 matrix over (bad, good), scaled as they go; these carry
+    the message from row to row, and all rows then run at once from what reaches them.
+    """
+    n = len(e)
+    width = int(np.sqrt(n)) + 1
+    grid = np.zeros((-(-n // width), width))
+    grid.ravel()[:n] = e
+    step = np.exp(t - t.max()).T  # new state by old
+    whole = np.tile(np.eye(2), (len(grid), 1, 1))
+    for i in range(width):
+        moved = step @ whole
+        if not i:
+            moved[0] = whole[0]  # nothing comes before the first line
+        moved[:, 0] *= np.exp(-np.maximum(grid[:, i], 0))[:, None]
+        moved[:, 1] *= np.exp(np.minimum(grid[:, i], 0))[:, None]
+        whole = moved / moved.max((1, 2), keepdims=True)
+    reached, state = np.zeros(len(grid)), np.ones(2)
+    for row in range(len(grid)):
+        reached[row] = np.log(state[1]) - np.log(state[0])
+        state = np.maximum(whole[row] @ state, 1e-300)
+        state /= state.max()
+    f, u = np.empty_like(grid), reached
+    for i in range(width):
+        passed = np.logaddexp(t[1, 1] + u, t[0, 1]) - np.logaddexp(t[1, 0] + u, t[0, 0])
+        if not i:
+            passed[0] = 0
+        u = f[:, i] = grid[:, i] + passed
+    return f.ravel()[:n]
+
+
+def _parts(counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Texts by number of lines, so many together that their padded array has ``CELLS`` cells at most."""
     order = np.argsort(counts, kind="stable")
+    at = 0
+    while at < len(order):
+        stop, least = at + 1, counts[order[at]]
+        while stop < len(order) and counts[order[stop]] <= min(2 * least + 8, CELLS // (stop + 1 - at)):
+            stop += 1
+        yield order[at:stop]
+        at = stop
+
+
+def _marginals(evidence: np.ndarray, counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The probability that each line is good."""
+    ends = np.cumsum(counts)
+    out = np.empty(len(evidence))
+    for part in _parts(counts):
+        rows = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in part])
+        if len(part) == 1 and len(rows) > LONG:
+            e = evidence[rows]
+            out[rows] = _sigmoid(_chain(e, steps) + _chain(e[::-1], steps.T)[::-1] - e)
+        else:
+            f, b, place = forward_backward(evidence[rows], counts[part], steps)
+            out[rows] = _sigmoid(f + b)[place]
+    return out
+
+
+def _shown(own: np.ndarray, model: dict) -> np.ndarray:
+    """What the features of a line say about itself, the line behind it and the line before it."""
+    return ((own - model["mean"]) / model["scale"]) @ model["weights"][: 3 * OWN].reshape(3, OWN).T
+
+
+def _qualities(shown: np.ndarray, sizes: np.ndarray, counts: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(counts)
-    marginals = np.empty(len(own))
-    for part in np.array_split(order, max(1, len(order) // 64)):  # alike in length, so that padding stays small
-        if len(part):
-            rows = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in part])
-            f, b, place = forward_backward(evidence[rows], counts[part], model["steps"])
-            marginals[rows] = _sigmoid(f + b)[place]
     starts = ends - counts
+    begin, end, always = model["weights"][3 * OWN :]
+    before, after = np.roll(shown[:, 1], 1), np.roll(shown[:, 2], -1)
+    before[starts], after[ends - 1] = begin, end
+    marginals = _marginals(shown[:, 0] + before + after + always, counts, model["steps"])
     weights = sizes + 1  # an empty line still counts
     return np.add.reduceat(marginals * weights, starts) / np.add.reduceat(weights, starts), marginals
 
 
+def qualities(own: np.ndarray, sizes: np.ndarray, counts: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Length-weighted mean marginal of each text, and the marginal of each line."""
+    return _qualities(_shown(own, model), sizes, counts, model)
+
+
+def text_qualities(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The same from whole texts, with the features of no more than ``BLOCK`` lines at once."""
+    lines, counts, repeated = _lines(texts)
+    shown, sizes = np.empty((len(lines), 3)), np.empty(len(lines))
+    for at in range(0, len(lines), BLOCK):
+        own, sizes[at : at + BLOCK] = _features(lines[at : at + BLOCK], repeated[at : at + BLOCK])
+        shown[at : at + BLOCK] = _shown(own, model)
+    return _qualities(shown, sizes, counts, model)
+
+
 def fit(own: np.ndarray, sizes: np.ndarray, counts: np.ndarray, labels: np.ndarray, share: float) -> dict:
     """Maximum likelihood with Adam; ``share`` is the share of label 1 that the score is set to."""
     mean, scale = own.mean(0), own.std(0) + 1e-3
@@ -172,17 +260,32 @@ def _curve(q: np.ndarray, labels: np.ndarray, share: float) -> np.ndarray:
     return curve
 
 
+def _stretch(text: str) -> slice:
+    """``LINES`` lines of a text, from a place that its hash tells; all of a shorter one."""
+    n = text.count("\n") + 1
+    start = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, n - LINES + 1)
+    return slice(start, min(n, start + LINES))
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in chunks(batches, "text"):
-        own, sizes, counts = line_features(texts)
+        own, sizes, counts = [], [], []
+        for text in texts:
+            lines, _, repeated = _lines([text])
+            part = _stretch(text)
+            features = _features(lines[part], repeated[part])
+            own.append(features[0].ravel())
+            sizes.append(features[1])
+            counts.append(len(features[1]))
+        counts = np.array(counts)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("quality"), pa.array(counts), ragged(sizes, counts), ragged(own.ravel(), counts * OWN)],
+            [batch.column("quality"), pa.array(counts), ragged(np.concatenate(sizes), counts), ragged(np.concatenate(own), counts * OWN)],
             ["quality", "n", "sizes", "features"],
         )
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
-    """Fit on at most ``per_class`` documents of each label outside the held-out third.
+    """Fit on at most ``per_class`` documents of each label outside the held-out third, and at most ``LINES`` lines of each.
 
     NULL labels, labels other than 0 and 1, and ids with contradicting labels are left out. With one label or none the model
     is neutral: every score is the share of label 1 (0.5 without labels).
@@ -220,7 +323,7 @@ def held_out(doc_id) -> F.Column:
 def _scorer(model: dict):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            quality, _ = qualities(*line_features(texts), model)
+            quality, _ = text_qualities(texts, model)
             scores = _sigmoid(_logit(quality) * model["curve"][0] + model["curve"][1])
             columns = {n: batch.column(n) for n in batch.schema.names}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(scores)], [*columns, "score"])

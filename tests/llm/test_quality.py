@@ -1,12 +1,13 @@
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 
 from cohortlens.llm import divergence, quality_crf
-from cohortlens.llm.charclass import CLASSES, class_counts
+from cohortlens.llm.charclass import CLASSES, bounded_class_counts, class_counts
 from tests.llm.conftest import sentence
 
 
@@ -119,3 +120,50 @@ def test_classifier_odd_rows(spark, odd_docs, no_docs):
     assert quality_crf.classify(no_docs, labels).count() == 0
     kept = quality_crf.scored(odd_docs, quality_crf.train(odd_docs, none), "q")
     assert kept.columns == [*odd_docs.columns, "q"] and kept.filter("score = 'score'").count() == odd_docs.count()
+
+
+def _model(rng):
+    own = quality_crf.OWN
+    return {"mean": rng.normal(size=own), "scale": rng.uniform(0.5, 2, own), "weights": rng.normal(size=3 * own + 3) / 5, "steps": rng.normal(size=(2, 2))}
+
+
+def test_blocks_and_long_chains_change_nothing(rng, monkeypatch):
+    """Evidence, messages and qualities in blocks equal those from whole arrays, long texts beside short ones."""
+    texts = [sentence(rng, 3) for _ in range(30)] + ["\n".join(sentence(rng, rng.randrange(4)) for _ in range(n)) for n in (2, 7, 900, 2_500)] + [""]
+    model = _model(np.random.default_rng(5))
+    own, sizes, counts = quality_crf.line_features(texts)
+    evidence = quality_crf.with_neighbours((own - model["mean"]) / model["scale"], counts) @ model["weights"]
+    f, b, place = quality_crf.forward_backward(evidence, counts, model["steps"])
+    marginals = quality_crf._sigmoid(f + b)[place]
+    for name, value in (("BLOCK", 100), ("CELLS", 1_000), ("LONG", 800)):
+        monkeypatch.setattr(quality_crf, name, value)
+    quality, lines = quality_crf.text_qualities(texts, model)
+    assert np.allclose(lines, marginals, atol=1e-9)
+    weights, starts = sizes + 1, np.cumsum(counts) - counts
+    assert np.allclose(quality, np.add.reduceat(marginals * weights, starts) / np.add.reduceat(weights, starts), atol=1e-9)
+    assert len(np.concatenate(list(quality_crf._parts(counts)))) == len(texts)
+
+
+def test_class_counts_in_steps(rng):
+    pieces = ["", "aB 1.", "x" * 25, sentence(rng, 9), "", "é|#" * 11]
+    assert np.array_equal(bounded_class_counts(pieces, 10), class_counts(pieces))
+    assert bounded_class_counts([]).shape == (0, len(CLASSES))
+
+
+def test_memory_follows_the_text_not_the_longest_one(rng):
+    """Two million lines beside a hundred short texts, and one line of ten million characters."""
+    model = _model(np.random.default_rng(6))
+    texts = [sentence(rng, 8) for _ in range(100)] + ["a b\n" * 2_000_000, "word " * 2_000_000]
+    tracemalloc.start()
+    quality, lines = quality_crf.text_qualities(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lines) == 2_000_102 and np.isfinite(quality).all() and peak < 600 << 20
+
+
+def test_training_takes_few_lines_of_a_text(spark, rng):
+    docs = [(i, "\n".join(sentence(rng, 5) if i % 2 else "## $$ !!" for _ in range(5_000 if i < 4 else 3))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id bigint, quality int")
+    assert all(0 < (s := quality_crf._stretch(t)).stop - s.start <= quality_crf.LINES and s.stop <= t.count("\n") + 1 for _, t in docs)
+    out = quality_crf.classify(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in out)
