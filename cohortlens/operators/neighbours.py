@@ -27,6 +27,7 @@ from cohortlens.operators.lookup import attach
 from cohortlens.session import materialize
 
 BLOCK_ROWS = 1024
+PAIRS = 65_536  # distances worked out at a time, so that they stay in a core's cache
 MAX_CELLS = 20_000  # boxes of this many cells travel to every task: 16 bytes a column each
 VIEWS = 8  # kinds of queries with trees of their own, each a copy of the donors
 SAMPLE = 200_000  # vectors that the trees are fitted on; they decide how even the cells are, not what is found
@@ -46,6 +47,13 @@ def vectors(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
     return grouped.withColumn("qid", F.col("ids")[0])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are partitions in a shuffle; its rows are small in bytes but dear to compute, and by size they
+    would be left to one or two tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("qid"))
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     total = np.zeros((len(x), len(y)))
     seen = np.zeros((len(x), len(y)), dtype=np.int32)
@@ -58,15 +66,33 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, np.sqrt(total * (x.shape[1] / seen)), np.inf)
 
 
-def _k_best(far: np.ndarray, ids: list, k: int) -> tuple[np.ndarray, ...]:
-    """(row, place, distance, id) of the k nearest ids per row; ties go to the smaller id."""
-    limit = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(far), np.inf)
+def _apart(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """``_distances`` where all rows of ``x``, and all of ``y``, know the same columns; ``shared`` are those that both know."""
+    if not (np.isfinite(x[:, shared]).all() and np.isfinite(y[:, shared]).all()):
+        return _distances(x, y)
+    total, gap = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
+    for j in shared:
+        np.subtract(x[:, j, None], y[None, :, j], out=gap)
+        np.multiply(gap, gap, out=gap)
+        total += gap
+    total *= x.shape[1] / len(shared)
+    return np.sqrt(total, out=total)
+
+
+def _k_best(far: np.ndarray, reach: np.ndarray, flat: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row, place, distance, id) of the k nearest ids per row, none farther than its ``reach``; ties go to the smaller id.
+
+    The ids of a place are those of ``flat`` from its start to the next one.
+    """
+    limit = reach.copy()
+    free = np.flatnonzero(~np.isfinite(reach))
+    if len(free) and far.shape[1] > k:
+        limit[free] = np.partition(far[free], k - 1, axis=1)[:, k - 1]
     row, place = np.nonzero((far <= limit[:, None]) & np.isfinite(far))
-    copies = np.array([len(i) for i in ids])[place]
+    copies = (starts[1:] - starts[:-1])[place]
     row, place = np.repeat(row, copies), np.repeat(place, copies)
-    starts = np.cumsum([0, *(len(i) for i in ids)])[:-1]
     within = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-    own = np.concatenate([np.asarray(i) for i in ids])[starts[place] + within]
+    own = flat[starts[place] + within]
     distance = far[row, place]
     order = np.lexsort((own, distance, row))
     row, place, distance, own = row[order], place[order], distance[order], own[order]
@@ -75,36 +101,46 @@ def _k_best(far: np.ndarray, ids: list, k: int) -> tuple[np.ndarray, ...]:
     return row[kept], place[kept], distance[kept], own[kept]
 
 
+def _kinds(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    patterns = _pattern(rows)
+    for pattern in np.unique(patterns).tolist():
+        yield pattern, np.flatnonzero(patterns == pattern)
+
+
 def _compare(columns: list[str], k: int, per_column: bool):
-    """Group function: the k best donor rows per query (and per missing column)."""
+    """Group function: the k best donor rows per query (and per missing column).
+
+    Queries and donors that miss the same columns are compared together: they ask for the same targets, so that one comparison, a
+    few rows at a time, serves all of them.
+    """
 
     def compare(queries: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"qid": [], "target": [], "distance": [], "neighbour": [], "value": [], "vector": pd.Series([], dtype=object)})]
+        found: list[tuple[np.ndarray, ...]] = []  # query, target, distance, neighbour, place of the donor
         if len(queries) and len(donors):
             x, y = queries[columns].to_numpy(float), donors[columns].to_numpy(float)
             qids, ids = queries["qid"].to_numpy(), donors["ids"].tolist()
-            far = _distances(x, y)
-            for target in range(len(columns)) if per_column else (-1,):
-                asking = np.flatnonzero(np.isnan(x[:, target])) if per_column else np.arange(len(x))
-                giving = np.flatnonzero(~np.isnan(y[:, target])) if per_column else np.arange(len(y))
-                if not len(asking) or not len(giving):
-                    continue
-                row, place, distance, own = _k_best(
-                    far[np.ix_(asking, giving)], [ids[g] for g in giving], k
-                )
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "qid": qids[asking[row]],
-                            "target": target,
-                            "distance": distance,
-                            "neighbour": own,
-                            "value": y[giving[place], target],
-                            "vector": None if per_column else list(y[giving[place]]),
-                        }
-                    )
-                )
-        return pd.concat(parts[1:]) if len(parts) > 1 else parts[0]
+            reach = np.nan_to_num(queries["reach"].to_numpy(float), nan=np.inf) * (1 + 1e-9)
+            for known, giving in _kinds(y):
+                flat = np.concatenate([np.asarray(ids[g]) for g in giving])
+                starts = np.cumsum([0, *(len(ids[g]) for g in giving)])
+                step = max(1, PAIRS // len(giving))
+                for wanted, asking in _kinds(x):
+                    shared = [j for j in range(len(columns)) if known & wanted & 1 << j]
+                    targets = [j for j in range(len(columns)) if known & ~wanted & 1 << j] if per_column else [-1]
+                    for at in range(0, len(asking), step) if shared and targets else ():
+                        some = asking[at : at + step]
+                        row, place, distance, own = _k_best(_apart(x[some], y[giving], shared), reach[some], flat, starts, k)
+                        for target in targets if len(row) else ():
+                            found.append((some[row], np.full(len(row), target), distance, own, giving[place]))
+        if not found:
+            return pd.DataFrame({"qid": [], "target": [], "distance": [], "neighbour": [], "value": [], "vector": pd.Series([], dtype=object)})
+        query, target, distance, own, place = map(np.concatenate, zip(*found))
+        return pd.DataFrame(
+            {
+                "qid": qids[query], "target": target, "distance": distance, "neighbour": own, "value": y[place, target],
+                "vector": None if per_column else list(y[place]),
+            }
+        )
 
     return compare
 
@@ -191,7 +227,7 @@ class Cells:
                             yield batch[mine].assign(bucket=grown[pattern].place(rows[mine]).astype(np.int32))
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in donors.schema)
-        placed = materialize(donors.mapInPandas(put, f"{schema}, bucket int"))
+        placed = materialize(_spread(donors).mapInPandas(put, f"{schema}, bucket int"))
         edges = [f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max))]
         self.sizes = materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("vectors"), *edges))
         rows = self.sizes.orderBy("bucket").collect()  # MAX_CELLS rows at most
@@ -203,7 +239,7 @@ class Cells:
         self.placed = placed.join(F.broadcast(self.sizes), "bucket").withColumn("part", part).drop("parts", "vectors")
 
     def near(self, queries: DataFrame, k: int, per_column: bool) -> DataFrame:
-        """(qid, columns, bucket): per query a few near cells that hold k donors, for each missing column if ``per_column``."""
+        """(qid, reach, columns, bucket): per query a few near cells that hold k donors, for each missing column if ``per_column``."""
         return self._chosen(queries, k, per_column, False)
 
     def within(self, queries: DataFrame, k: int, per_column: bool) -> DataFrame:
@@ -234,12 +270,14 @@ class Cells:
                             reach = np.where(np.isnan(reach), np.inf, reach * (1 + 1e-9))
                             chosen = useful & np.isfinite(bound) & (bound <= reach[:, None]) & ~chosen
                         row, cell = np.nonzero(chosen)
-                        yield part.iloc[row][["qid", *columns]].assign(bucket=bucket[cell].astype(np.int32))
+                        yield part.iloc[row][["qid", "reach", *columns]].assign(bucket=bucket[cell].astype(np.int32))
 
-        return queries.mapInPandas(choose, "qid bigint, " + ", ".join(f"`{c}` double" for c in columns) + ", bucket int")
+        schema = "qid bigint, reach double, " + ", ".join(f"`{c}` double" for c in columns) + ", bucket int"
+        asking = queries if second else queries.withColumn("reach", F.lit(None).cast("double"))
+        return _spread(asking).mapInPandas(choose, schema)
 
     def visit(self, queries: DataFrame, k: int, per_column: bool) -> DataFrame:
-        """Compare (qid, columns, bucket) with the vectors of that cell."""
+        """Compare (qid, reach, columns, bucket) with the vectors of that cell; what lies beyond ``reach`` is left out."""
         asked = queries.groupBy("bucket").agg(F.count(F.lit(1)).alias("queries"))
         plan = materialize(
             self.sizes.join(asked, "bucket").select(
@@ -256,7 +294,7 @@ class Cells:
         right = self.placed.join(F.broadcast(plan), "bucket")
         right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         group = ["bucket", "part", "chunk"]
-        asking = [*group, "qid", *self.columns]
+        asking = [*group, "qid", "reach", *self.columns]
         giving = [*group, "qid", "ids", *self.columns]
         # The groups are small in bytes but dear to compute: a stated number of tasks keeps
         # them from being merged into few tasks by size.

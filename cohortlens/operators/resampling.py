@@ -62,7 +62,8 @@ def smote(
 def tomek_links(df: DataFrame, key: str, columns: list[str], label: str = schema.LABEL) -> DataFrame:
     """(low, high): pairs of unlike label that are each other's nearest row."""
     near = row_neighbours(df.select(key, label, *columns), key, columns, 1)
-    nearest = near.select(F.col(key).alias("a"), F.get("neighbours", F.lit(0))["id"].alias("b"), F.col(label).alias("y"))
+    # Both sides of the join are this table: kept, the search is done once.
+    nearest = materialize(near.select(F.col(key).alias("a"), F.get("neighbours", F.lit(0))["id"].alias("b"), F.col(label).alias("y")))
     back = nearest.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("y").alias("other_y"))
     pairs = nearest.join(back, ["a", "b"]).filter((F.col("y") != F.col("other_y")) & (F.col("a") < F.col("b")))
     return pairs.select(F.col("a").alias("low"), F.col("b").alias("high"))

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cohortlens.operators import neighbours, resampling
@@ -174,3 +175,22 @@ def test_smote_with_half_of_the_minority_equal(spark):
     with pytest.raises(ValueError):
         resampling.smote(frame(spark, [(-1, 1, 0.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0)] + rows[-9:]), "id", COLUMNS, "y", 1.0)
     assert resampling.smote(frame(spark, rows[:0]), "id", COLUMNS, "y").count() == 0
+
+
+def test_cells_are_chosen_in_as_many_tasks_as_a_shuffle_has(spark):
+    points = materialize(neighbours.vectors(frame(spark, spread(200, 5, 0)), "id", COLUMNS, 2))
+    cells = neighbours.Cells(points, COLUMNS, 32)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 37)
+        assert cells.near(points.select("qid", *COLUMNS), 2, False).rdd.getNumPartitions() == 37
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_nothing_beyond_the_reach_leaves_a_comparison():
+    rows = pd.DataFrame({"a": [0.0, 0.0, 0.0], "b": [0.0, 0.0, np.nan], "qid": [1, 2, 3], "reach": [2.0, np.nan, np.nan]})
+    givers = pd.DataFrame({"a": [1.0, 2.0, 9.0], "b": [0.0, 3.0, 9.0], "qid": [4, 5, 6], "ids": [[4, 7], [5], [6]]})
+    got = neighbours._compare(["a", "b"], 3, False)(rows, givers)
+    found = {q: sorted(g["neighbour"].tolist()) for q, g in got.groupby("qid")}
+    assert found == {1: [4, 7], 2: [4, 5, 7], 3: [4, 5, 7]}
