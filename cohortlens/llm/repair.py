@@ -91,13 +91,14 @@ class _Sequence:
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray):
         n = len(ids)
-        self.symbol = ids.astype(np.uint64)
-        self.next, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        place = np.int32 if n < (1 << 31) - 2 else np.int64  # half the memory, and half of what goes through the cache
+        self.symbol = ids.astype(np.uint32)
+        self.next, self.before = np.arange(1, n + 1, dtype=place), np.arange(-1, n - 1, dtype=place)
         self.last = np.zeros(n + 1, dtype=bool)  # of its document; no pair begins there
         self.last[np.cumsum(sizes)[sizes > 0] - 1] = True
         self.alive = np.ones(n + 1, dtype=bool)
         self.alive[n] = False
-        self.rank = np.full(n + 2, n + 2, dtype=np.int64)  # of the pair at a place; n + 2: not to be replaced now
+        self.rank = np.full(n + 2, n + 2, dtype=place)  # of the pair at a place; n + 2: not to be replaced now
 
     def chosen(self, places: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Of sorted places those whose pairs are replaced: no two overlap.
@@ -136,7 +137,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
     width = np.uint64(base + n + 1)  # there are fewer rules than ids
     places = np.flatnonzero(~row.last[:n])
     while len(places):
-        codes = row.symbol[places] * width + row.symbol[row.next[places]]
+        codes = row.symbol[places] * width + row.symbol[row.next[places]]  # 64 bits, as width is
         bits = min(HASH_BITS, max(10, len(places).bit_length() + 1))
         buckets = _hashed(codes, bits)
         full = np.bincount(buckets, minlength=1 << bits) >= least  # one byte a bucket stays in the cache
@@ -159,7 +160,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
         used = np.bincount(pair, minlength=len(pairs)) > 0
         lefts.append((pairs[used] // width).astype(np.int64))
         rights.append((pairs[used] % width).astype(np.int64))
-        row.replace(spots, (base + known + np.cumsum(used) - 1)[pair].astype(np.uint64))
+        row.replace(spots, (base + known + np.cumsum(used) - 1)[pair].astype(np.uint32))
         known += int(used.sum())
         fresh = np.concatenate([spots, row.before[spots]])  # -1 is the spare place at the end
         if 16 * (len(places) + len(fresh)) < n:

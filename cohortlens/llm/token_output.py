@@ -36,11 +36,11 @@ from cohortlens.llm.common import mapped
 from cohortlens.sources.files import new_folder
 
 END_ID = 1
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 250_000  # arrays of a shard stay in a core's cache while its grammar is found
 TEXTS = 256  # texts encoded at a time
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the tokenizer's own pattern
 MARK, LATIN = "\0", "\u0250"
-CACHE = 900_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
+CACHE = 600_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
 
 _SHARD = (
     "part int, shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, symbol_ends array<bigint>, "
