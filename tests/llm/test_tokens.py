@@ -114,8 +114,6 @@ def test_files_round_trip(spark, tokenizer, odd_docs, no_docs, rng):
 
 def test_a_grammar_is_found_in_few_bytes_a_token():
     """Four arrays of four bytes and two marks; a shard is one fourth of a million ids."""
-    from cohortlens.llm import repair, token_output
-
     row = repair._Sequence(np.arange(10_000, dtype="<u4"), np.full(10, 1000))
     assert sum(a.nbytes for a in vars(row).values()) < 20 * 10_000
     assert token_output.SHARD_TOKENS <= 250_000

@@ -333,3 +333,10 @@ def test_library_stays_on_dataframes():
 
     text = "\n".join(p.read_text() for p in pathlib.Path("cohortlens").rglob("*.py"))
     assert not re.search(r"crossJoin|localCheckpoint|toPandas|\.rdd\b|pandas_udf|@udf", text)
+
+
+def test_fits_at_a_time_come_back_in_order(spark):
+    data = members.assemble(spark.range(60).selectExpr("int(id % 2) AS y", "double(id % 7) AS a", "double(id % 3) AS b"), ["a", "b"])
+    sizes = [3, 1, 2]
+    models = members.fitted([(members.forest("y", numTrees=n, maxDepth=2), data) for n in sizes], 2)
+    assert [len(m.trees) for m in models] == sizes and members.forest("y").getCacheNodeIds()
