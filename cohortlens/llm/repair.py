@@ -15,6 +15,13 @@ LEAST = 4  # occurrences that make a pair frequent: a rule takes the place of so
 HASH_BITS = 20
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size, one after the other."""
+    places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    places += np.arange(len(places))
+    return places
+
+
 class Grammar:
     """``left`` and ``right`` per rule; symbol ``base + k`` stands for rule k, lower ones are ids. ``lengths`` are the rules' expansion
     lengths, worked out unless given."""
@@ -32,12 +39,18 @@ class Grammar:
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """All expansions one after the other, those of the ids first, and where each symbol's starts."""
         size = np.concatenate([np.ones(self.base, dtype=np.int64), self.lengths])
-        pieces: list[list[int]] = []
-        for a, b in zip(self.left.tolist(), self.right.tolist()):
-            one = pieces[a - self.base] if a >= self.base else [a]
-            pieces.append(one + (pieces[b - self.base] if b >= self.base else [b]))
-        flat = np.fromiter((i for p in pieces for i in p), dtype=np.int64, count=int(self.lengths.sum()))
-        return np.concatenate([np.arange(self.base), flat]), np.cumsum(size) - size
+        starts = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), dtype=np.int64)
+        flat[: self.base] = np.arange(self.base)
+        known, rest = np.arange(len(size)) < self.base, np.arange(len(self.left))
+        while len(rest):  # a layer: all rules whose two symbols are expanded
+            ready = known[self.left[rest]] & known[self.right[rest]]
+            layer, rest = rest[ready], rest[~ready]
+            rules, left, right = self.base + layer, self.left[layer], self.right[layer]
+            for symbols, places in ((left, starts[rules]), (right, starts[rules] + size[left])):
+                flat[_spread(places, size[symbols])] = flat[_spread(starts[symbols], size[symbols])]
+            known[rules] = True
+        return flat, starts
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """Expansion length of each symbol."""
@@ -46,11 +59,7 @@ class Grammar:
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """Ids of many symbols, by way of the expansions of all rules."""
         flat, starts = self._expansions
-        sizes = self.sizes(symbols)
-        ends = np.cumsum(sizes)
-        places = np.repeat(starts[symbols] - ends + sizes, sizes)
-        places += np.arange(len(places))
-        return flat[places]
+        return flat[_spread(starts[symbols], self.sizes(symbols))]
 
     def unfold(self, symbols: np.ndarray) -> np.ndarray:
         """Ids of few symbols, by the rules that these use only."""
@@ -74,7 +83,7 @@ class Grammar:
 
 
 def _hashed(codes: np.ndarray, bits: int) -> np.ndarray:
-    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def _frequent(likely: np.ndarray, least: int) -> np.ndarray:
@@ -133,6 +142,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
     with a new symbol.
     """
     n, lefts, rights, known = len(ids), [], [], 0
+    lengths = np.ones(base + n, dtype=np.int64)  # of every symbol's expansion
     row = _Sequence(ids, sizes)
     width = np.uint64(base + n + 1)  # there are fewer rules than ids
     places = np.flatnonzero(~row.last[:n])
@@ -141,7 +151,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
         bits = min(HASH_BITS, max(10, len(places).bit_length() + 1))
         buckets = _hashed(codes, bits)
         full = np.bincount(buckets, minlength=1 << bits) >= least  # one byte a bucket stays in the cache
-        likely = full[buckets]
+        likely = np.flatnonzero(full[buckets])
         places, codes, buckets = places[likely], codes[likely], buckets[likely]
         pairs = _frequent(codes, least) if len(codes) else codes
         if not len(pairs):
@@ -161,7 +171,8 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
         lefts.append((pairs[used] // width).astype(np.int64))
         rights.append((pairs[used] % width).astype(np.int64))
         row.replace(spots, (base + known + np.cumsum(used) - 1)[pair].astype(np.uint32))
-        known += int(used.sum())
+        lengths[base + known : base + known + len(lefts[-1])] = lengths[lefts[-1]] + lengths[rights[-1]]
+        known += len(lefts[-1])
         fresh = np.concatenate([spots, row.before[spots]])  # -1 is the spare place at the end
         if 16 * (len(places) + len(fresh)) < n:
             places = np.unique(np.concatenate([places, fresh]))
@@ -171,7 +182,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
             again[places] = again[fresh] = True
             places = np.flatnonzero(again & row.alive & ~row.last)
     empty = np.zeros(0, dtype=np.int64)
-    grammar = Grammar(base, np.concatenate([empty, *lefts]), np.concatenate([empty, *rights]))
+    grammar = Grammar(base, np.concatenate([empty, *lefts]), np.concatenate([empty, *rights]), lengths[base : base + known])
     ends = np.append(0, np.cumsum(row.alive[:n]))[np.cumsum(sizes)] if len(sizes) else empty
     return row.symbol[row.alive[:n]].astype(np.int64), np.diff(np.append(0, ends)), grammar
 

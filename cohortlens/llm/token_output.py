@@ -93,7 +93,9 @@ class Encoder:
     def _encoded(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Words of lower-case Latin letters, digits and signs go to ``tiktoken``, where each piece carries its end mark; the
         others, and all words of a tokenizer that is not of this kind, to ``tokenizers``."""
-        simple = [self.fast is not None and w.isprintable() and max(w) < LATIN and w == w.lower() and "<|" not in w for w in words]
+        simple = [
+            self.fast is not None and w.isprintable() and (w.isascii() or max(w) < LATIN) and w == w.lower() and "<|" not in w for w in words
+        ]
         out: list[bytes] = [b""] * len(words)
         for kind, encode in ((True, self._marked), (False, self._plain)):
             own = [i for i, s in enumerate(simple) if s is kind]

@@ -117,3 +117,22 @@ def test_a_grammar_is_found_in_few_bytes_a_token():
     row = repair._Sequence(np.arange(10_000, dtype="<u4"), np.full(10, 1000))
     assert sum(a.nbytes for a in vars(row).values()) < 20 * 10_000
     assert token_output.SHARD_TOKENS <= 250_000
+
+
+def test_lengths_and_expansions_are_worked_out_by_rounds(rng, monkeypatch):
+    ids = np.array([rng.randrange(6) for _ in range(4000)] + [3] * 3000 + list(range(5)) * 400)
+    sizes, given = np.array([4000, 3000, 2000]), []
+
+    class Watched(repair.Grammar):
+        def __init__(self, base, left, right, lengths=None):
+            given.append(lengths)
+            super().__init__(base, left, right, lengths)
+
+    monkeypatch.setattr(repair, "Grammar", Watched)
+    symbols, _, grammar = repair.compress(ids, sizes, 10)
+    assert given[0] is not None and (given[0] == repair.Grammar(10, grammar.left, grammar.right).lengths).all()
+    assert (grammar.expand(symbols) == ids).all() and (grammar.unfold(symbols) == ids).all()
+    for k in range(len(grammar.left)):
+        assert (grammar.expand(np.array([10 + k])) == grammar.unfold(np.array([10 + k]))).all()
+    none = repair.Grammar(10, ids[:0], ids[:0])
+    assert none.expand(ids[:5]).tolist() == ids[:5].tolist() and len(none.expand(ids[:0])) == 0
