@@ -340,3 +340,11 @@ def test_fits_at_a_time_come_back_in_order(spark):
     sizes = [3, 1, 2]
     models = members.fitted([(members.forest("y", numTrees=n, maxDepth=2), data) for n in sizes], 2)
     assert [len(m.trees) for m in models] == sizes and members.forest("y").getCacheNodeIds()
+
+
+def test_shallow_baseline_forest_keeps_no_node_of_each_row(spark):
+    data = small_training_set(spark)
+    small = {**members.BASELINE_FOREST, "numTrees": 5}
+    shallow, cached = (members.forest("y", **{**small, **more}) for more in ({}, {"cacheNodeIds": True}))
+    assert not shallow.getCacheNodeIds() and cached.getCacheNodeIds()
+    assert [t.toDebugString for t in shallow.fit(data).trees] == [t.toDebugString for t in cached.fit(data).trees]
