@@ -83,7 +83,9 @@ class Grammar:
 
 
 def _hashed(codes: np.ndarray, bits: int) -> np.ndarray:
-    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+    hashed = codes * np.uint64(0x9E3779B97F4A7C15)
+    hashed >>= np.uint64(64 - bits)
+    return hashed.view(np.int64)
 
 
 def _frequent(likely: np.ndarray, least: int) -> np.ndarray:
@@ -115,11 +117,12 @@ class _Sequence:
         A pair goes if its rank is lower than that of the pairs it overlaps; in a run of one pair every other one goes.
         """
         self.rank[places] = rank
-        ahead, behind = self.rank[self.before[places]], self.rank[self.next[places]]
-        index = np.arange(len(places))
-        same = np.append(False, self.before[places[1:]] == places[:-1]) & (ahead == rank)
-        start = np.maximum.accumulate(np.where(same, 0, index))
-        taken = ((index - start) % 2 == 0) & (same | (rank < ahead)) & (rank <= behind)
+        before = self.before[places]
+        ahead, behind = self.rank[before], self.rank[self.next[places]]
+        taken = (rank <= ahead) & (rank <= behind)
+        same = np.flatnonzero((before[1:] == places[:-1]) & (ahead[1:] == rank[1:])) + 1  # all but the first of each run
+        first = np.append(True, same[1:] != same[:-1] + 1)[: len(same)]
+        taken[same[(same - same[first][np.cumsum(first) - 1]) % 2 == 0]] = False
         self.rank[places] = len(self.rank)
         return np.flatnonzero(taken)
 
@@ -147,18 +150,17 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
     width = np.uint64(base + n + 1)  # there are fewer rules than ids
     places = np.flatnonzero(~row.last[:n])
     while len(places):
-        codes = row.symbol[places] * width + row.symbol[row.next[places]]  # 64 bits, as width is
-        bits = min(HASH_BITS, max(10, len(places).bit_length() + 1))
-        buckets = _hashed(codes, bits)
-        full = np.bincount(buckets, minlength=1 << bits) >= least  # one byte a bucket stays in the cache
-        likely = np.flatnonzero(full[buckets])
-        places, codes, buckets = places[likely], codes[likely], buckets[likely]
-        pairs = _frequent(codes, least) if len(codes) else codes
+        codes = row.symbol[places] * width  # 64 bits, as width is
+        codes += row.symbol[row.next[places]]
+        pairs = _frequent(codes, least)
         if not len(pairs):
             break
-        table = np.zeros(1 << bits, dtype=np.int32)
+        bits = min(HASH_BITS, len(pairs).bit_length() + 6)
+        table = np.full(1 << bits, -1, dtype=np.int32)
         table[_hashed(pairs, bits)[::-1]] = np.arange(len(pairs))[::-1]  # of two in one bucket the rarer waits for the next round
-        guess = table[buckets]
+        guess = table[_hashed(codes, bits)]
+        likely = np.flatnonzero(guess >= 0)
+        places, codes, guess = places[likely], codes[likely], guess[likely]
         sure = pairs[guess] == codes
         spots, rank = places[sure], guess[sure]
         taken = row.chosen(spots, rank)
@@ -175,7 +177,8 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = LEAST):
         known += len(lefts[-1])
         fresh = np.concatenate([spots, row.before[spots]])  # -1 is the spare place at the end
         if 16 * (len(places) + len(fresh)) < n:
-            places = np.unique(np.concatenate([places, fresh]))
+            places = np.sort(np.concatenate([places, fresh]))
+            places = places[np.append(True, places[1:] != places[:-1])]
             places = places[(places >= 0) & row.alive[places] & ~row.last[places]]
         else:
             again = np.zeros(n + 1, dtype=bool)

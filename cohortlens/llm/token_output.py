@@ -23,9 +23,11 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,10 +39,10 @@ from cohortlens.sources.files import new_folder
 
 END_ID = 1
 SHARD_TOKENS = 250_000  # arrays of a shard stay in a core's cache while its grammar is found
-TEXTS = 256  # texts encoded at a time
+TEXTS = 256  # texts that a shard grows by
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the tokenizer's own pattern
 MARK, LATIN = "\0", "\u0250"
-CACHE = 600_000  # encoded words kept by a worker; a full cache is emptied, with no effect on results
+BLOCK = 16_000_000  # bytes of texts whose words are told apart together
 
 _SHARD = (
     "part int, shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, symbol_ends array<bigint>, "
@@ -57,7 +59,7 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space, so the ids of a text are those of its
-    pieces between blanks and line breaks, and a piece that returns is not encoded again. Its
+    pieces between blanks and line breaks, and each distinct piece of the texts given together is encoded once. Its
     lower-casing makes pieces that differ in A-Z only the same."""
 
     def __init__(self, path: str, end_id: int):
@@ -71,59 +73,65 @@ class Encoder:
         for token, code in self.tokenizer.get_vocab().items():  # one character of a token is one byte of text
             self.bytes_of[code] = len(token.removesuffix("</w>"))
         self.fast = _fast(self.tokenizer)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each closed by the end id; ids per text)."""
-        plain = not any("<|" in t for t in texts)  # else upper case decides what is a special token
-        split = [(t.encode().lower().decode() if plain else t).replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        known = self.known
-        found = [list(map(known.get, words)) for words in split]
-        gaps = [[i for i, code in enumerate(codes) if code is None] if None in codes else () for codes in found]
-        fresh = list({words[i] for words, own in zip(split, gaps) for i in own})
-        known.update(zip(fresh, self._encoded(fresh)))
-        for words, codes, own in zip(split, found, gaps):
-            for i in own:
-                codes[i] = known[words[i]]
-        coded = [b"".join(codes) + self.end for codes in found]
-        return np.frombuffer(b"".join(coded), dtype="<u4"), np.array([len(c) // 4 for c in coded])
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words of lower-case Latin letters, digits and signs go to ``tiktoken``, where each piece carries its end mark; the
-        others, and all words of a tokenizer that is not of this kind, to ``tokenizers``."""
-        simple = [
-            self.fast is not None and w.isprintable() and (w.isascii() or max(w) < LATIN) and w == w.lower() and "<|" not in w for w in words
-        ]
-        out: list[bytes] = [b""] * len(words)
-        for kind, encode in ((True, self._marked), (False, self._plain)):
-            own = [i for i, s in enumerate(simple) if s is kind]
+
+    def ids(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed by the end id; ids per text); NULL is the empty text."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else upper case decides what is a special token
+            texts = pc.ascii_lower(texts)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        found = split.flatten().dictionary_encode()
+        codes, place = self._encoded(_listed(found.dictionary))
+        order = np.insert(place[found.indices.to_numpy()], ends, len(codes))  # the end id behind each text's words
+        coded = pa.concat_arrays([codes, pa.array([self.end], pa.large_binary())]).take(pa.array(order))
+        stops = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1, 8 * coded.offset)[1:][ends + np.arange(len(ends))] // 4
+        return np.frombuffer(coded.buffers()[2], "<u4", int(stops[-1]) if len(stops) else 0), np.diff(stops, prepend=0)
+
+    def _encoded(self, words: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(ids of the words in some order, place of each word there). Words of lower-case Latin letters, digits and signs go to ``tiktoken``,
+        where each piece carries its end mark (a word of letters is one piece); the others, and all words of a tokenizer that is not of this kind, to ``tokenizers``."""
+        kinds = np.array([
+            int(not w.isalpha()) if self.fast is not None and w.isprintable() and (w.isascii() or max(w) < LATIN) and w == w.lower() and "<|" not in w else 2
+            for w in words
+        ])
+        out, place = [pa.array([], pa.large_binary())], np.empty(len(words), np.int64)
+        place[np.argsort(kinds, kind="stable")] = np.arange(len(words))
+        for kind, encode in enumerate((self._letters, self._marked, self._plain)):
+            own = list(compress(words, kinds == kind))
             for at in range(0, len(own), 2000):
-                part = [words[i] for i in own[at : at + 2000]]
-                for i, code in zip(own[at : at + 2000], self._split(part, encode(part))):
-                    out[i] = code
-        return out
+                part = own[at : at + 2000]
+                out.append(self._split(part, encode(part)))
+        return pa.concat_arrays(out), place
+
+    def _letters(self, pieces: list[str]) -> np.ndarray:
+        return self.fast.encode_to_numpy(MARK.join(pieces) + MARK, disallowed_special=())
 
-    def _marked(self, words: list[str]) -> list[int]:
-        return self.fast.encode_ordinary(MARK.join(PIECES.findall(" ".join(words))) + MARK)
+    def _marked(self, words: list[str]) -> np.ndarray:
+        return self._letters(PIECES.findall(" ".join(words)))
 
     def _plain(self, words: list[str]) -> list[int]:
         return self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
 
-    def _split(self, words: list[str], codes: list[int]) -> list[bytes]:
+    def _split(self, words: list[str], codes: np.ndarray | list[int]) -> pa.Array:
         """Many words go as one text, which is faster; the bytes that tokens stand for tell where each word ends, and if they don't
         add up, the words are encoded one by one."""
-        ids, text = np.array(codes, dtype="<u4"), " ".join(words)
-        plain = unicodedata.normalize("NFC", text).lower().encode().split(b" ")
-        ends, covered = np.cumsum(list(map(len, plain))), np.cumsum(self.bytes_of[ids])
-        if len(ids) and len(plain) == len(words) and ends[-1] == covered[-1] and "<|" not in text:
+        ids, text = np.asarray(codes, dtype="<u4"), " ".join(words)
+        plain = np.frombuffer(unicodedata.normalize("NFC", text).lower().encode() + b" ", np.uint8)
+        ends = np.flatnonzero(plain == 32)
+        ends, covered = ends - np.arange(len(ends)), np.append(0, np.cumsum(self.bytes_of[ids]))
+        if len(ends) == len(words) and ends[-1] == covered[-1] and "<|" not in text:
             stops = np.searchsorted(covered, ends)
             if (covered[stops] == ends).all():
-                flat, cuts = ids.tobytes(), (4 * stops + 4).tolist()
-                return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+                cuts = pa.py_buffer(np.append(0, 4 * stops).astype(np.int64))
+                return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, cuts, pa.py_buffer(ids)])
         alone = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(code.ids, dtype="<u4").tobytes() for code in alone]
+        return pa.array([np.array(code.ids, dtype="<u4").tobytes() for code in alone], pa.large_binary())
+
+
+def _listed(words: pa.Array) -> list[str]:
+    """The words as Python strings, by way of one string, which is faster; none holds a blank."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ") if len(words) else []
 
 
 def _fast(tokenizer):
@@ -167,6 +175,19 @@ def _shard(part: int, shard: int, before: int, doc_ids: list, ids: np.ndarray, s
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], list(row))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about as many bytes as wanted, or as they come where one alone has more."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > wanted:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _writer(path: str, end_id: int, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(path, end_id), TaskContext.get().partitionId()
@@ -175,14 +196,16 @@ def _writer(path: str, end_id: int, shard_tokens: int):
         def close():
             return _shard(part, shard, before, doc_ids, np.concatenate(held), np.concatenate(sizes), encoder.base)
 
-        for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), TEXTS):
-                ids, counts = encoder.ids([t or "" for t in texts[at : at + TEXTS]])
-                doc_ids += names[at : at + TEXTS]
-                held.append(ids)
-                sizes.append(counts)
-                size += len(ids)
+        for block in _blocks(batches, BLOCK):
+            names = block.column("doc_id").to_pylist()
+            ids, counts = encoder.ids(block.column("text"))
+            ends = np.cumsum(counts)
+            for at in range(0, len(names), TEXTS):
+                own = slice(at, at + TEXTS)
+                doc_ids += names[own]
+                held.append(ids[ends[at] - counts[at] : ends[own][-1]])
+                sizes.append(counts[own])
+                size += len(held[-1])
                 if size >= shard_tokens:
                     yield close()
                     before, shard = before + size, shard + 1

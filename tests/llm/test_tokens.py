@@ -136,3 +136,32 @@ def test_lengths_and_expansions_are_worked_out_by_rounds(rng, monkeypatch):
         assert (grammar.expand(np.array([10 + k])) == grammar.unfold(np.array([10 + k]))).all()
     none = repair.Grammar(10, ids[:0], ids[:0])
     assert none.expand(ids[:5]).tolist() == ids[:5].tolist() and len(none.expand(ids[:0])) == 0
+
+
+def test_columns_are_encoded_by_distinct_words(tokenizer, rng, monkeypatch):
+    """Batches are put together to blocks, NULL and empty words among them, and a block encodes each of its words once."""
+    import pyarrow as pa
+
+    texts = [sentence(rng, 40) for _ in range(30)] + [None, "", "\n  ", " a  b\n\nA", "Ä ñandú 'tis x\0y", "<| a"] * 2
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7], pa.string())], ["text"]) for i in range(0, len(texts), 7)]
+    blocks = list(token_output._blocks(iter(batches), 2 * batches[0].nbytes))
+    assert 1 < len(blocks) < len(batches) and [t for b in blocks for t in b.column("text").to_pylist()] == texts
+    encoder, seen = token_output.Encoder(token_output.default_tokenizer(), 1), []
+    monkeypatch.setattr(encoder, "_encoded", lambda words: seen.append(words) or token_output.Encoder._encoded(encoder, words))
+    for block in [*blocks, blocks[-1].slice(3), blocks[0].slice(2, 0)]:
+        ids, sizes = encoder.ids(block.column("text"))
+        ends, own = np.cumsum(sizes), block.column("text").to_pylist()
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes)] == [ids_of(tokenizer, t) for t in own]
+        split = [w for t in own for w in (t or "").replace("\n", " ").split(" ")]
+        assert len(seen[-1]) == len(set(seen[-1])) <= len(set(split)) and {w.lower() for w in seen[-1]} == {w.lower() for w in split}
+
+
+def test_a_round_goes_on_with_frequent_pairs_only(monkeypatch):
+    """Of 10,000 places with rare pairs none is counted again; in a run every other pair is replaced."""
+    rare, counted, frequent = np.arange(100, 10_100), [], repair._frequent
+    ids = np.concatenate([rare, np.tile([1, 2, 3], 50), np.full(101, 7)])
+    monkeypatch.setattr(repair, "_frequent", lambda codes, least: counted.append(len(codes)) or frequent(codes, least))
+    symbols, _, grammar = repair.compress(ids, np.array([10_000, 150, 101]), 11_000)
+    assert (grammar.expand(symbols) == ids).all() and len(counted) > 2 and counted[0] > 10_000 > 500 > max(counted[1:])
+    row = repair._Sequence(np.full(9, 7), np.array([4, 5]))
+    assert row.chosen(np.array([0, 1, 2, 4, 5, 6, 7]), np.zeros(7, np.int32)).tolist() == [0, 2, 3, 5]
