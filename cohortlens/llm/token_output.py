@@ -90,11 +90,12 @@ class Encoder:
 
     def _encoded(self, words: list[str]) -> tuple[pa.Array, np.ndarray]:
         """(ids of the words in some order, place of each word there). Words of lower-case Latin letters, digits and signs go to ``tiktoken``,
-        where each piece carries its end mark (a word of letters is one piece); the others, and all words of a tokenizer that is not of this kind, to ``tokenizers``."""
-        kinds = np.array([
-            int(not w.isalpha()) if self.fast is not None and w.isprintable() and (w.isascii() or max(w) < LATIN) and w == w.lower() and "<|" not in w else 2
-            for w in words
-        ])
+        where each piece carries its end mark (a word of letters is one piece); the others, and all words of a tokenizer that is not of
+        this kind, to ``tokenizers``."""
+        simple = [
+            self.fast is not None and w.isprintable() and (w.isascii() or max(w) < LATIN) and w == w.lower() and "<|" not in w for w in words
+        ]
+        kinds = np.array([int(not w.isalpha()) if s else 2 for w, s in zip(words, simple)])
         out, place = [pa.array([], pa.large_binary())], np.empty(len(words), np.int64)
         place[np.argsort(kinds, kind="stable")] = np.arange(len(words))
         for kind, encode in enumerate((self._letters, self._marked, self._plain)):
