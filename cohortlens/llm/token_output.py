@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import repair
-from cohortlens.llm.common import mapped
+from cohortlens.llm.common import give_back, mapped
 from cohortlens.sources.files import new_folder
 
 END_ID = 1
@@ -42,7 +42,7 @@ SHARD_TOKENS = 250_000  # arrays of a shard stay in a core's cache while its gra
 TEXTS = 256  # texts that a shard grows by
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the tokenizer's own pattern
 MARK, LATIN = "\0", "\u0250"
-BLOCK = 16_000_000  # bytes of texts whose words are told apart together
+BLOCK = 4_000_000  # bytes of texts whose words are told apart together; a worker holds some ten times as many while it encodes them
 
 _SHARD = (
     "part int, shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, symbol_ends array<bigint>, "
@@ -79,12 +79,15 @@ class Encoder:
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else upper case decides what is a special token
             texts = pc.ascii_lower(texts)
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        ends = np.cumsum(pc.list_value_length(split).to_numpy())
-        found = split.flatten().dictionary_encode()
+        texts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ends = np.cumsum(pc.list_value_length(texts).to_numpy())
+        found = texts.flatten().dictionary_encode()
+        del texts  # the words stand in the dictionary now
         codes, place = self._encoded(_listed(found.dictionary))
         order = np.insert(place[found.indices.to_numpy()], ends, len(codes))  # the end id behind each text's words
+        del found
         coded = pa.concat_arrays([codes, pa.array([self.end], pa.large_binary())]).take(pa.array(order))
+        del order
         stops = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1, 8 * coded.offset)[1:][ends + np.arange(len(ends))] // 4
         return np.frombuffer(coded.buffers()[2], "<u4", int(stops[-1]) if len(stops) else 0), np.diff(stops, prepend=0)
 
@@ -96,7 +99,7 @@ class Encoder:
             self.fast is not None and w.isprintable() and (w.isascii() or max(w) < LATIN) and w == w.lower() and "<|" not in w for w in words
         ]
         kinds = np.array([int(not w.isalpha()) if s else 2 for w, s in zip(words, simple)])
-        out, place = [pa.array([], pa.large_binary())], np.empty(len(words), np.int64)
+        out, place = [pa.array([], pa.large_binary())], np.empty(len(words), np.int32)
         place[np.argsort(kinds, kind="stable")] = np.arange(len(words))
         for kind, encode in enumerate((self._letters, self._marked, self._plain)):
             own = list(compress(words, kinds == kind))
@@ -160,6 +163,7 @@ def _encoder(path: str, end_id: int) -> Encoder:
     key = (path, end_id)
     if key not in _workers:
         _workers[key] = Encoder(path, end_id)
+        give_back()  # reading the vocabulary takes more than it leaves
     return _workers[key]
 
 
@@ -181,12 +185,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.Recor
     held, size = [], 0
     for batch in batches:
         if held and size + batch.nbytes > wanted:
-            yield pa.concat_batches(held)
-            held, size = [], 0
+            yield _joined(held)
+            size = 0
         held.append(batch)
         size += batch.nbytes
     if held:
-        yield pa.concat_batches(held)
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The batches as one; the list is emptied, so that they are not kept while the block is worked on."""
+    block = pa.concat_batches(held)
+    held.clear()
+    return block
 
 
 def _writer(path: str, end_id: int, shard_tokens: int):
@@ -200,6 +211,8 @@ def _writer(path: str, end_id: int, shard_tokens: int):
         for block in _blocks(batches, BLOCK):
             names = block.column("doc_id").to_pylist()
             ids, counts = encoder.ids(block.column("text"))
+            del block
+            give_back()  # else the grammars come on top of what the encoding has left
             ends = np.cumsum(counts)
             for at in range(0, len(names), TEXTS):
                 own = slice(at, at + TEXTS)

@@ -165,3 +165,25 @@ def test_a_round_goes_on_with_frequent_pairs_only(monkeypatch):
     assert (grammar.expand(symbols) == ids).all() and len(counted) > 2 and counted[0] > 10_000 > 500 > max(counted[1:])
     row = repair._Sequence(np.full(9, 7), np.array([4, 5]))
     assert row.chosen(np.array([0, 1, 2, 4, 5, 6, 7]), np.zeros(7, np.int32)).tolist() == [0, 2, 3, 5]
+
+
+def test_a_worker_holds_little_of_its_task(rng, monkeypatch):
+    """Of 16 MB of texts a worker holds a few at once, and still fewer while it finds grammars; the files have all ids."""
+    import pyarrow as pa
+
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(700)) for _ in range(200)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(at, at + 200)), "text": texts}) for at in range(0, 3200, 200)]
+    assert sum(b.nbytes for b in batches) > 15_000_000
+    monkeypatch.setattr(token_output, "TaskContext", type("Task", (), {"get": lambda: type("Own", (), {"partitionId": lambda: 0})}))
+    known, pool, while_packing, compress = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool()), [], repair.compress
+    monkeypatch.setattr(repair, "compress", lambda *a: while_packing.append(pool.bytes_allocated()) or compress(*a))
+    given = list(token_output.Encoder(token_output.default_tokenizer(), 1).ids(texts)[1]) * 16
+    pa.set_memory_pool(pool)
+    try:
+        shards = [s.to_pylist()[0] for s in token_output._writer(token_output.default_tokenizer(), 1, 250_000)(iter(batches))]
+    finally:
+        pa.set_memory_pool(known)
+    assert [n for s in shards for n in s["n_tokens"]] == given and [d for s in shards for d in s["doc_ids"]] == list(range(3200))
+    assert pool.max_memory() < 40_000_000 and max(while_packing) < 20_000_000
+    assert list(token_output._blocks(iter([]), 10)) == []
