@@ -194,3 +194,58 @@ def test_nothing_beyond_the_reach_leaves_a_comparison():
     got = neighbours._compare(["a", "b"], 3, False)(rows, givers)
     found = {q: sorted(g["neighbour"].tolist()) for q, g in got.groupby("qid")}
     assert found == {1: [4, 7], 2: [4, 5, 7], 3: [4, 5, 7]}
+
+
+def test_missing_patterns_share_cells(spark):
+    """Vectors that miss different narrow columns lie in common cells, so that a query is compared with few cells, not with one of each pattern."""
+    source = random.Random(3)
+    narrow = ["b", "c", "d", "e"]
+    rows = [(i, source.uniform(0, 1000), *[None if source.random() < 0.3 else float(source.randint(0, 5)) for _ in narrow]) for i in range(600)]
+    columns = ["a", *narrow]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double, d double, e double")
+    points = materialize(neighbours.vectors(df, "id", columns, 3))
+    cells = neighbours.Cells(points, columns, 200, neighbours.frequent_kinds(points, columns))
+    assert len(cells.patterns) == 16 and len(cells.bucket) == 3
+    got = neighbours.knn_impute(df, "id", columns, 3, 200).collect()
+    want = brute_fill([(r[0], 0, *r[1:]) for r in rows], 3)
+    for row in got:
+        assert [row[c] for c in columns] == pytest.approx(want[row["id"]])
+
+
+def test_a_rarely_known_column_is_filled_exactly(spark):
+    source = random.Random(8)
+    rows = [(i, 0, source.uniform(0, 100), source.uniform(0, 60), source.uniform(0, 9) if i % 40 == 0 else None) for i in range(400)]
+    got = neighbours.knn_impute(frame(spark, rows), "id", COLUMNS, 3, 32).collect()
+    want = brute_fill(rows, 3)
+    for row in got:
+        assert [row[c] for c in COLUMNS] == pytest.approx(want[row["id"]])
+
+
+@pytest.mark.parametrize("large", [1.0, 1e8, 1e200, math.inf])
+def test_comparison_in_leaves_equals_all_pairs(large):
+    """Mixed missing patterns, ties and values far from zero or without bound; far fewer pairs than all are looked at."""
+    source = np.random.default_rng(2)
+    y = source.integers(0, 40, (3000, 3)).astype(float)
+    y[source.random(y.shape) < 0.1] = np.nan
+    y[0] = [large, 1.0, 2.0]
+    if large == 1e8:
+        y += large
+    x = np.where(source.random((200, 3)) < 0.2, np.nan, y[200:400])
+    donors = pd.DataFrame(y, columns=COLUMNS).assign(qid=range(3000), ids=[[i] for i in range(3000)])
+    queries = pd.DataFrame(x, columns=COLUMNS).assign(qid=range(200), reach=np.nan)
+    far = neighbours._distances(x, y)
+    for per_column in (False, True):
+        got = neighbours._compare(COLUMNS, 4, per_column)(queries, donors)
+        found = {key: g.sort_values(["distance", "neighbour"])["neighbour"].tolist() for key, g in got.groupby(["qid", "target"])}
+        want = {}
+        for i in range(200):
+            for target in np.flatnonzero(np.isnan(x[i])).tolist() if per_column else [-1]:
+                fit = np.isfinite(far[i]) & (~np.isnan(y[:, target]) if per_column else True)
+                best = sorted((far[i, j], j) for j in np.flatnonzero(fit).tolist())[:4]
+                if best:
+                    want[i, target] = [j for _, j in best]
+        assert found == want
+    if large == 1.0:
+        full = x[~np.isnan(x).any(axis=1)]
+        looked = sum(len(row) for row, *_ in neighbours.Leaves(y).near(full, np.full(len(full), np.inf), [np.ones(3000, dtype=bool)], 4))
+        assert looked < len(full) * 3000 / 20
